@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, merkle, pieces, quality, tokencount
+from . import chat, decontaminate, extract, linededup, merkle, pieces, quality, tokencount
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -119,6 +119,10 @@ FROM documents LEFT JOIN d USING (doc_id)
 """
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
+    "op8_main_text": op8_main_text,
     "op9_fingerprints": op9_fingerprints,
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
