@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, linededup, merkle, pieces, quality, tokencount
+from . import chat, decontaminate, extract, linededup, merkle, neardup, pieces, quality, tokencount
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -127,6 +127,25 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str, width: int = 2, percent: int = 80) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), width, percent)
+
+
+OP10_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE [w[p] || ' ' || w[p + 1] FOR p IN range(1, CAST(len(w) AS BIGINT))] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (sh) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
@@ -136,5 +155,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_main_text": op8_main_text,
     "op9_fingerprints": op9_fingerprints,
+    "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_duplicates": OP10_SQL}
