@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, linededup, merkle, neardup, pieces, quality, tokencount
+from . import chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, tokencount
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _left_out(id_col: str, folds: int, fold: int) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), _left_out("doc_id", 7, 2), order=order)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str, width: int = 5, min_percent: int = 80) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width, min_percent)
 
@@ -32,10 +40,6 @@ FROM s JOIN q USING (item_id) JOIN e USING (k, sh) GROUP BY doc_id, item_id HAVI
 """
 
 
-def _left_out(id_col: str, folds: int, fold: int) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
-
-
 def op3_quality(spark: SparkSession, sf_dir: str, least: float = 0.3) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~_left_out("doc_id", 5, 0))
@@ -147,6 +151,7 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_pieces": op4_pieces,
