@@ -7,9 +7,13 @@ its MATCHES - 1 longest posting lists when candidates are gathered (the prefix),
 looked at when a candidate's matches are counted. Candidates with enough matches are confirmed on full sets.
 
 Inside a list, a class is first tried against the list's most popular member only, which is linear in the
-list. What is linked is merged into components; then only classes of different components that share a list
-are tried against one another. So no link between different components is lost, and large groups of copies
-don't pair all their members.
+list. What is linked is merged into components; only classes of different components are tried further. Where
+two of them were tried against the same member, their differences from it tell how alike they are: what two
+sets differ in is what just one of their differences holds. If one of the two is not linked with that member,
+the differences of a pair that is alike must share (1 - c) / 2 of the smaller one's elements or more, with c =
+(1 - similarity) / (1 + similarity); so they are joined on the rarest elements of one (a prefix) and all of the
+other, and just the pairs that are alike come out. The other pairs that share a list are confirmed on full
+sets. So no link between different components is lost, and large groups don't pair all their members.
 """
 
 from __future__ import annotations
@@ -63,8 +67,8 @@ def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "t
                 chunk.clear()
 
             size = 0
-            for text in b.column(2).to_pylist():
-                seq = words.split(text)
+            for text in b.column(2):
+                seq = words.split(text.as_py())
                 s = words.whole_or_shingles(words.hashes(seq, len(seq)), width)
                 n.append(len(s))
                 name.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -93,8 +97,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                seq = words.split(text)
+            for text in b.column(1):
+                seq = words.split(text.as_py())
                 out.append(words.whole_or_shingles(words.hashes(seq, len(seq)), width).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["class", "hashes"])
 
@@ -102,8 +106,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     return rows.mapInArrow(run, "class binary, hashes binary").groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of candidate pairs (a, b), those that match in enough coordinates and are alike on their full sets."""
+def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, linked, difference) of candidate pairs (a, b) that match in enough coordinates.
+
+    linked is decided on full sets. difference has the hashes that one of the two sets lacks, or is null where
+    these are more than half as many as the larger set.
+    """
     a = classes.select(F.col("class").alias("a"), F.col("keys").alias("ka"))
     b = classes.select(F.col("class").alias("b"), F.col("keys").alias("kb"))
     matches = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda m: m))
@@ -116,15 +124,41 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
+            linked, difference = [], []
+            for p, q in zip(x.column(2), x.column(3), strict=True):
+                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                d = np.setxor1d(s, t, assume_unique=True)
+                both = (len(s) + len(t) - len(d)) // 2
+                linked.append(100 * both >= percent * (len(s) + len(t) - both))
+                difference.append(d.view(np.int64) if 2 * len(d) <= max(len(s), len(t)) else None)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(linked, pa.bool_()), pa.array(difference, pa.list_(pa.int64()))], ["a", "b", "linked", "difference"])
 
-    return materialize(with_b.mapInArrow(check, "a binary, b binary"))
+    return materialize(with_b.mapInArrow(check, "a binary, b binary, linked boolean, difference array<bigint>"))
+
+
+def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components that have an anchor in common.
+
+    anchored: (anchor, class, n, component, linked, difference), linked meaning with the anchor.
+    """
+    elements = anchored.withColumn("size", F.size("difference")).select("anchor", "class", "n", "component", "linked", "difference", "size", F.explode("difference").alias("e"))
+    known = elements.groupBy("anchor", "e").agg(F.count(F.lit(1)).alias("f"), F.sum((~F.col("linked")).cast("int")).alias("loose"))
+    known = materialize(known.filter("f > 1 AND loose > 0"))
+    ranked = elements.select("anchor", "class", "size", "e").join(known, ["anchor", "e"])
+    # an element that no unlinked class has can't be shared with one; it counts as the rarest
+    need = F.ceil(F.col("size") * ((1 - (100 - percent) / (100 + percent)) / 2) - F.lit(1e-9))
+    order = F.array_sort(F.collect_list(F.struct("f", "e")))
+    take = F.greatest(F.first("size") - F.first(need) + 1 - (F.first("size") - F.count(F.lit(1))), F.lit(0)).cast("int")
+    prefix = ranked.withColumn("need", need).groupBy("anchor", "class").agg(F.slice(order, F.lit(1), F.greatest(take, F.lit(0))).alias("p"))
+    prefix = prefix.select("anchor", "class", F.explode("p.e").alias("e"))
+    whole = anchored.select("anchor", "class", "n", "component", "difference")
+    y = prefix.join(whole, ["anchor", "class"]).select("anchor", "e", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("difference").alias("db"))
+    x = elements.filter(~F.col("linked")).select("anchor", "e", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("difference").alias("da"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    both = (F.col("na") + F.col("nb") - apart) / 2
+    alike = 100 * both >= percent * (F.col("na") + F.col("nb") - both)
+    found = x.join(y, ["anchor", "e"]).filter((F.col("ca") != F.col("cb")) & alike)
+    return found.select("a", "b").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,21 +186,28 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     def near(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    heads = prefix.groupBy("key").agg(F.max(F.struct("pop", "class", "n")).alias("h")).select("key", F.col("h.class").alias("b"), F.col("h.n").alias("nb"))
-    star = prefix.join(heads, "key").filter(F.col("class") != F.col("b")).filter(near("n", "nb")).select(F.col("class").alias("a"), "b").distinct()
-    links = _confirm(star, classes, docs, width, percent, id_col, text_col)
+    heads = prefix.groupBy("key").agg(F.max(F.struct("pop", "class")).alias("h")).select("key", F.col("h.class").alias("b"))
+    star = prefix.join(heads, "key").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
+    tried = _compare(star, classes, docs, width, percent, id_col, text_col)
+    links = tried.filter("linked").select("a", "b")
 
     merged = materialize(components(links).select(F.col("node").alias("class"), "component"))
+    anchor = tried.filter("difference IS NOT NULL").select(F.col("b").alias("anchor"), F.col("a").alias("class"), "linked", "difference")
+    size = classes.select("class", "n").join(merged, "class", "left").select("class", "n", F.coalesce("component", "class").alias("component"))
+    links = links.unionByName(materialize(_anchored_links(materialize(anchor.join(size, "class")), percent)))
+
+    own = anchor.select("class", "anchor").unionByName(anchor.select(F.col("anchor").alias("class"), "anchor")).groupBy("class").agg(F.collect_set("anchor").alias("anchors"))
     placed = prefix.join(merged, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
     per_list = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
     mixed = per_list.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    placed = materialize(placed.join(mixed.select("key", F.col("main.component").alias("main")), "key"))
-    x = placed.filter("component <> main").select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near("na", "nb"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirm(rest, classes, docs, width, percent, id_col, text_col))
+    placed = placed.join(mixed.select("key", F.col("main.component").alias("main")), "key").join(own, "class", "left")
+    placed = materialize(placed.withColumn("anchors", F.coalesce("anchors", F.array().cast("array<binary>"))))
+    x = placed.filter("component <> main").select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("anchors").alias("aa"))
+    y = placed.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("anchors").alias("ab"))
+    rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near("na", "nb") & ~F.arrays_overlap("aa", "ab"))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    links = links.unionByName(_compare(rest, classes, docs, width, percent, id_col, text_col).filter("linked").select("a", "b"))
     merged = materialize(components(links).select(F.col("node").alias("class"), "component"))
     return signed.drop("keys").join(merged, "class", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
 
