@@ -1,4 +1,392 @@
-"""Queries over the security event tables."""
+"""Queries over the security events, and the SQL that must return the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import admission, metrics, rules, store
+from ..operators.contract import outside_window, unstorable, violation
+from ..operators.project import COLUMNS, project
+from ..operators.route import analyse, classify_for_analysis, classify_for_store
+from ..operators.rules import All, Any, Not, Predicate, Rule, Technique
+from ..sources.codec import decode, quarantine, to_records
+from ..streaming.pipelines import limit_batch
+from .workload import RECORDS, flat, nested, records
+
+RULES = [
+    Rule(
+        "ssh.failed_password_from_outside",
+        All((
+            Predicate("authentication.outcome", "equals", ("failure",)),
+            Predicate("authentication.service.protocol", "equals", ("ssh",)),
+            Not(Predicate("authentication.network.source.ip", "starts_with", ("10.",))),
+        )),
+        severity="high",
+        technique=Technique("credential_access", "T1110.001", "Password guessing"),
+    ),
+    Rule("host.some", Predicate("origin.host.hostname", "one_of", ("host-3", "host-7"))),
+    Rule("port.range", All((Predicate("authentication.network.source.port", "at_least", (5000,)), Predicate("authentication.network.source.port", "below", (5100,)))), severity="low"),
+    Rule("sequence.edges", Any((Predicate("collection.sequence", "above", (9950,)), Predicate("collection.sequence", "at_most", (40,))))),
+    Rule("reason.without_tcp", All((Predicate("authentication.outcome_reason", "present"), Not(Predicate("authentication.network.transport", "equals", ("tcp",)))))),
+    Rule("user.ends", All((Predicate("authentication.user.name", "ends_with", ("9",)), Predicate("origin.tenant_id", "contains", ("nt-3",))))),
+    Rule("not.run", Predicate("authentication.outcome", "equals", ("failure",)), status="draft"),
+]
+AGENT_BATCH = 10
+WIDE = admission.Policy(age_seconds=40 * 86400)
+
+
+def _ntz(df: DataFrame) -> DataFrame:
+    """Times without a zone, as the SQL returns them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Store rows with the sequence as a long, in which form both engines hand it out."""
+    return _ntz(df).withColumn("sequence", F.col("sequence").cast("long"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as the writer appends them, with the order of writing."""
+    return project(classify_for_store(records(spark, sf_dir), undecodable=F.col("undecodable")).filter("outcome = 'row'"), keep=("offset",)).withColumnRenamed("offset", "write_seq")
+
+
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = records(spark, sf_dir).filter("NOT undecodable").select("n", "offset", violation(F.col("event")).alias("v"))
+    return df.filter("v IS NOT NULL").select("n", "offset", "v.field", "v.reason")
+
+
+def store_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_stored(spark, sf_dir).select(*COLUMNS))
+
+
+def store_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(store.final(_stored(spark, sf_dir)).filter("tenant_id = 'tenant-1'"))
+
+
+def store_final_count_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.final_count(_stored(spark, sf_dir), "tenant_id")
+
+
+def store_raw_count_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+def tenant_hunt_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.final(_stored(spark, sf_dir)).filter("tenant_id = 'tenant-2'")
+    return _ntz(rows.select("agent_id", "gateway", "batch_id", "event_time", "ingest_time", "auth_user_name").orderBy("auth_user_name"))
+
+
+def retention_filter(spark: SparkSession, sf_dir: str, now: str = "2025-01-15 12:00:00") -> DataFrame:
+    kept = store.retained(_stored(spark, sf_dir), F.lit(now).cast("timestamp"))
+    return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("retained"))
+
+
+def writer_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_for_store(records(spark, sf_dir), undecodable=F.col("undecodable")).groupBy("outcome").agg(F.count(F.lit(1)).alias("events"))
+
+
+def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = classify_for_store(records(spark, sf_dir), undecodable=F.col("undecodable"))
+    df = df.withColumn("key", F.col("event.origin.agent_id").cast("binary")).withColumn("value", F.to_json("event").cast("binary"))
+    out = quarantine(df)
+    return out.select("partition", "offset", "reason", "detail", F.col("key").cast("string").alias("record_key"), F.size("headers").cast("long").alias("n_headers"))
+
+
+def unstorable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = records(spark, sf_dir).filter("NOT undecodable").select("n", "offset", unstorable(F.col("event")).alias("reason"))
+    return df.filter("reason IS NOT NULL")
+
+
+def window_violations(spark: SparkSession, sf_dir: str, now: str = "2024-01-15 00:00:00") -> DataFrame:
+    df = records(spark, sf_dir).filter("NOT undecodable").select("n", "offset", outside_window(F.col("event"), F.lit(now).cast("timestamp")).alias("v"))
+    return df.filter("v IS NOT NULL").select("n", "offset", "v.field", "v.reason")
+
+
+def engine_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = classify_for_analysis(records(spark, sf_dir), undecodable=F.col("undecodable"))
+    return df.groupBy("outcome", F.when(~F.col("undecodable"), F.col("class")).alias("class"), "route").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse(records(spark, sf_dir), undecodable=F.col("undecodable"))
+
+
+def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'")
+    e = "canonical"
+    return df.select(
+        "n",
+        "offset",
+        F.col(f"{e}.origin.host.hostname").alias("hostname"),
+        F.col(f"{e}.origin.host.os").alias("os"),
+        F.col(f"{e}.origin.host.architecture").alias("architecture"),
+        F.col(f"{e}.authentication.method").alias("method"),
+        F.col(f"{e}.authentication.user.name").alias("user_name"),
+        F.col(f"{e}.authentication.user.domain").alias("user_domain"),
+        F.col(f"{e}.authentication.service.protocol").alias("protocol"),
+        F.col(f"{e}.authentication.network.source.ip").alias("source_ip"),
+        "rewritten",
+    )
+
+
+def normalized_share_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'")
+    return df.groupBy("route").agg(F.count(F.lit(1)).alias("routed"), F.sum(F.col("rewritten").cast("long")).alias("normalized"))
+
+
+def analysis_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir)
+    kind = F.when(F.col("outcome").isin("analysed", "unrouted"), F.col("outcome")).otherwise("refused")
+    count = lambda metric, label, when: F.struct(F.lit(metric).alias("metric"), label.alias("label"), when.alias("counts"))
+    pairs = F.array(
+        count("analysis_events_total", kind, F.lit(True)),
+        count("analysis_refusals_total", F.col("outcome"), kind == "refused"),
+        count("analysis_routed_total", F.col("route"), F.col("route").isNotNull()),
+        count("analysis_unrouted_total", F.col("class"), F.col("outcome") == "unrouted"),
+        count("analysis_normalized_total", F.col("route"), F.coalesce("rewritten", F.lit(False))),
+    )
+    # all counters in one pass: a record is one to several increments
+    return df.select(F.explode(F.filter(pairs, lambda p: p["counts"])).alias("p")).groupBy("p.metric", "p.label").agg(F.count(F.lit(1)).alias("value"))
+
+
+def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = classify_for_store(records(spark, sf_dir), undecodable=F.col("undecodable"))
+    stored = F.when(F.col("outcome") == "row", "stored").otherwise("quarantined")
+    a = metrics.counter(df, "eventstore_events_total", stored)
+    return a.unionByName(metrics.counter(df.filter("outcome <> 'row'"), "eventstore_refusals_total", F.col("outcome")))
+
+
+def event_delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'")
+    reached = F.col("event.time.observed_time") + F.expr("interval 600 seconds")
+    return metrics.histogram(df, metrics.seconds_between(F.col("event.reception.ingest_time"), reached), metrics.BUCKETS["event_delay_seconds"])
+
+
+def event_lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = records(spark, sf_dir).filter(~F.col("undecodable") & unstorable(F.col("event")).isNull())
+    return metrics.histogram(df, metrics.seconds_between(F.col("event.time.event_time"), F.col("event.reception.ingest_time")), metrics.BUCKETS["event_lag_seconds"])
+
+
+def batch_events_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = records(spark, sf_dir).groupBy(F.floor(F.col("n") / 700).alias("b")).agg(F.count(F.lit(1)).alias("records"))
+    return metrics.histogram(sizes, F.col("records"), metrics.BUCKETS["batch_events"])
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.nearest_rank(records(spark, sf_dir).select((F.col("n") * 7919 % 10007).alias("latency")), "latency")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat(spark, sf_dir).filter("copy = 0 AND NOT broken")
+    b = F.floor(F.col("n") / AGENT_BATCH)
+    made = rows.groupBy(b.alias("b")).agg(F.sort_array(F.collect_list(F.struct("n", nested().alias("event")))).alias("rows"))
+    return made.select(
+        "b",
+        F.when(F.col("b") % 31 == 0, "bad batch; id").otherwise(F.concat(F.lit("batch-"), F.col("b").cast("string"))).alias("batch_id"),
+        F.when(F.col("b") % 37 == 0, 2).otherwise(1).alias("protocol_version"),
+        F.when(F.col("b") % 41 == 0, F.array().cast(made.schema["rows"].dataType)).otherwise(F.col("rows")).getField("event").alias("events"),
+        F.lit("agent-1").alias("agent_id"),
+        F.lit("acme").alias("tenant_id"),
+        F.lit("2024-01-31 00:00:00").cast("timestamp").alias("received"),
+    )
+
+
+def admission_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = admission.admit(_batches(spark, sf_dir), WIDE)
+    return out.select("b", "accepted", "code", "field", F.coalesce("event_index", F.lit(-1)).alias("event_index"), "detail", F.col("n_valid").cast("long").alias("n_valid"), admission.status(F.col("code")).alias("status"))
+
+
+def admission_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = admission.rejections(admission.admit(_batches(spark, sf_dir), WIDE))
+    return out.groupBy("code", "field").agg(F.count(F.lit(1)).alias("batches"))
+
+
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = admission.admit(_batches(spark, sf_dir), WIDE)
+    verdict = F.when(F.col("accepted"), "accepted").otherwise("rejected")
+    return (
+        metrics.counter(df, "ingest_batches_total", verdict)
+        .unionByName(metrics.counter(df.filter("accepted"), "ingest_events_total", F.lit("accepted"), value=F.size("events")))
+        .unionByName(metrics.counter(df.filter("NOT accepted"), "ingest_rejections_total", F.col("code")))
+    )
+
+
+def gateway_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    requests = flat(spark, sf_dir).select(
+        "n",
+        F.col("agent_id").alias("identity"),
+        (n % 17 != 0).alias("allowed"),
+        F.when(n % 19 == 0, "application/json").when(n % 2 == 0, "application/protobuf").otherwise("application/x-protobuf; v=1").alias("media_type"),
+        F.when(n % 23 == 0, F.lit((8 << 20) + 1)).otherwise(n).alias("body_bytes"),
+        (n % 29 != 0).alias("readable"),
+        (~F.col("broken")).alias("decoded"),
+    )
+    code = admission.status(F.col("refusal"))
+    out = admission.gate(requests).select("refusal", code.alias("status"), admission.status_class(code).alias("status_class"))
+    return out.groupBy("refusal", "status", "status_class").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'")
+    return rules.matches(df.select("n", "offset", "canonical"), RULES, "canonical").select("n", "offset", "rule_id", "severity")
+
+
+def rule_matches_failed_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'")
+    hits = rules.matches(df.select("canonical"), RULES[:1], "canonical")
+    return hits.groupBy(F.col("canonical.origin.tenant_id").alias("tenant_id")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+def backbone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, keyed by agent, decoded again."""
+    sent = to_records(records(spark, sf_dir).filter("NOT undecodable"))
+    back = decode(sent).filter("NOT undecodable")
+    return back.groupBy(F.col("key").cast("string").alias("agent")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("event.authentication.network.source.port").alias("ports"), F.sum(F.size("headers")).alias("headers"), F.min("event.event_id").alias("first_id")
+    )
+
+
+def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records(spark, sf_dir).groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"), (F.max(F.when(F.col("n") % 10 < 7, F.col("offset"))) + 1 + F.col("partition") % 3 * 5).alias("next_offset"))
+    return metrics.lag(read.withColumn("topic", F.lit("events")))
+
+
+def setting_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = spark.createDataFrame([("retention.ms", "604800000"), ("cleanup.policy", "delete"), ("compression.type", "zstd")], "name string, value string")
+    current = spark.createDataFrame([("retention.ms", "86400000"), ("cleanup.policy", "delete")], "name string, value string")
+    return metrics.drift(declared, current)
+
+
+def pending_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipped = spark.createDataFrame([(1, "create"), (2, "add_process"), (3, "add_network")], "version long, name string")
+    return metrics.outstanding(shipped, spark.createDataFrame([(1,), (1,)], "version long"))
+
+
+def protocol_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.descriptor(spark.range(1))
+
+
+def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each agent, and how many stand before their predecessor in the order of delivery."""
+    df = records(spark, sf_dir).filter("NOT undecodable").select(F.col("event.origin.agent_id").alias("agent"), "partition", "offset")
+    w = Window.partitionBy("agent", "partition").orderBy("offset")
+    df = df.withColumn("before", F.lag("offset").over(w))
+    return df.groupBy("agent", "partition").agg(F.count(F.lit(1)).alias("records"), F.sum((F.col("before") >= F.col("offset")).cast("long")).alias("out_of_order"))
+
+
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by agent, one an event, at its time in seconds."""
+    df = flat(spark, sf_dir).filter("copy = 0").select("agent_id", F.col("n").alias("request_id"), F.unix_micros(F.col("observed_time").cast("timestamp")).alias("us"))
+    return limit_batch(df.withColumn("at_seconds", F.col("us") / 1e6).drop("us"), rate=1 / 3600, burst=5)
+
+
+QUERIES = {f.__name__: f for f in (
+    contract_violations, store_projection, store_final_rows, store_final_count_by_tenant, store_raw_count_by_tenant, tenant_hunt_ordered, retention_filter,
+    writer_classification, quarantine_rows, unstorable_rows, window_violations, engine_outcomes, normalized_events, normalized_share_by_route,
+    analysis_counters, store_counters, event_delay_histogram, event_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
+    admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
+    pending_migrations, protocol_descriptor, key_order, token_bucket,
+)}
+
+_VIOLATION = """CASE
+  WHEN strlen(event_id) < 8 THEN 'event_id|is shorter than 8 characters'
+  WHEN NOT regexp_full_match(event_id, '[A-Za-z0-9][A-Za-z0-9._:-]{0,63}') THEN 'event_id|is malformed'
+  WHEN schema_version <> 1 THEN 'schema_version|must be between 1 and 1'
+  WHEN event_time IS NULL THEN 'time.event_time|is missing'
+  WHEN no_origin THEN 'origin|is missing'
+  WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN 'origin.agent_id|is missing or malformed'
+  WHEN tenant_id = '' THEN 'origin.tenant_id|is required'
+  WHEN host_ip = 'not-an-ip' THEN 'origin.host.ip|is not an IP address'
+  WHEN collector = '' THEN 'collection.collector|is required'
+  WHEN event_class = 1 AND no_body THEN 'authentication|is required for this event class'
+  WHEN event_class <> 1 THEN 'event_class|is unspecified or unknown'
+  WHEN activity = 0 THEN 'authentication.activity|is unspecified'
+  WHEN outcome = 0 THEN 'authentication.outcome|is unspecified'
+  WHEN source_port > 65535 THEN 'authentication.network.source.port|is outside 0..65535'
+  WHEN strlen(raw_record) > 4096 THEN 'authentication.raw_record|is longer than 4096 bytes'
+END"""
+_NO_STORE = "CASE WHEN event_time > timestamp '2262-04-11 23:47:16' THEN 'time.event_time is outside the 1900-01-01..2262-04-11 the store can hold' END"
+_BASE = f"WITH r AS ({RECORDS}), v AS (SELECT *, CASE WHEN NOT broken THEN {_VIOLATION} END AS bad, CASE WHEN NOT broken THEN {_NO_STORE} END AS far FROM r)"
+_WRITER = """, w AS (SELECT *, CASE WHEN broken THEN 'undecodable' WHEN bad IS NOT NULL THEN 'contract_violation' WHEN far IS NOT NULL THEN 'unstorable' ELSE 'row' END AS verdict FROM v)"""
+_ENGINE = """, e AS (SELECT *,
+  CASE WHEN broken THEN 'undecodable' WHEN event_class NOT IN (0, 1) THEN 'unrouted' WHEN bad IS NOT NULL THEN 'contract_violation' ELSE 'analysed' END AS verdict,
+  CASE event_class WHEN 0 THEN 'unspecified' WHEN 1 THEN 'authentication' ELSE 'unknown' END AS class,
+  lower(rtrim(hostname, '.')) AS c_hostname, lower(trim(os)) AS c_os, lower(architecture) AS c_arch, lower(method) AS c_method, trim(user_name) AS c_user,
+  lower(user_domain) AS c_domain, lower(protocol) AS c_protocol, replace(source_ip, '::ffff:', '') AS c_ip FROM v),
+a AS (SELECT *, CASE WHEN verdict = 'analysed' THEN 'authentication' END AS route,
+  c_hostname <> hostname OR c_os <> os OR c_arch <> architecture OR c_method <> method OR c_user <> user_name OR c_domain <> user_domain OR c_protocol <> protocol OR c_ip <> source_ip AS changed FROM e)"""
+_ROW = """, s AS (SELECT pos AS write_seq, event_id, cast(schema_version AS BIGINT) AS schema_version, 'authentication' AS event_class, date_trunc('milliseconds', event_time) AS event_time,
+  date_trunc('milliseconds', observed_time) AS observed_time, date_trunc('milliseconds', coalesce(ingest_time, timestamp '1970-01-01 00:00:00')) AS ingest_time,
+  tenant_id, agent_id, hostname AS host_hostname, host_ip, os AS host_os, architecture AS host_architecture, collector, '/var/log/auth.log' AS source,
+  seq AS sequence, 'gateway-a' AS gateway, batch_id, 'logon' AS auth_activity, CASE outcome WHEN 1 THEN 'success' ELSE 'failure' END AS auth_outcome,
+  outcome_reason AS auth_outcome_reason, method AS auth_method, user_name AS auth_user_name, user_domain AS auth_user_domain, user_uid AS auth_user_uid,
+  service_name AS auth_service_name, protocol AS auth_service_protocol, source_ip AS auth_source_ip, cast(source_port AS INTEGER) AS auth_source_port,
+  '198.51.100.5' AS auth_destination_ip, 22 AS auth_destination_port, CASE transport WHEN 0 THEN '' WHEN 1 THEN 'tcp' ELSE cast(transport AS VARCHAR) END AS auth_transport,
+  raw_record AS auth_raw_record FROM w WHERE verdict = 'row'),
+f AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_time, event_id ORDER BY write_seq DESC) AS k FROM s) WHERE k = 1)"""
+_STORE = _BASE + _WRITER + _ROW
+_ANALYSIS = _BASE + _ENGINE
+
+
+def _histogram_sql(source: str, value: str, bounds: tuple[float, ...]) -> str:
+    parts = [f"SELECT '{b:g}' AS le, cast(count(*) FILTER (x <= {b}) AS DOUBLE) AS count FROM h" for b in bounds]
+    parts += [f"SELECT '{name}', cast(count(x) AS DOUBLE) FROM h" for name in ("+Inf", "_count")] + ["SELECT '_sum', coalesce(sum(x), 0) FROM h"]
+    return f"{source}, h AS (SELECT cast({value} AS DOUBLE) AS x {{}}) " + " UNION ALL ".join(parts)
+
+
+_BATCHES = f"""WITH r AS ({RECORDS}), v AS (
+  SELECT *, cast(floor(n / {AGENT_BATCH}) AS BIGINT) AS b, row_number() OVER (PARTITION BY cast(floor(n / {AGENT_BATCH}) AS BIGINT) ORDER BY n) - 1 AS i,
+    {_VIOLATION.replace("WHEN no_origin THEN 'origin|is missing'", "").replace("WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN 'origin.agent_id|is missing or malformed'", "").replace("WHEN tenant_id = '' THEN 'origin.tenant_id|is required'", "").replace("host_ip = 'not-an-ip'", "NOT no_origin AND host_ip = 'not-an-ip'")} AS broke,
+    CASE WHEN event_time > timestamp '2024-01-31 00:05:00' THEN 'time.event_time|is more than 5m0s ahead of the platform clock' WHEN observed_time > timestamp '2024-01-31 00:05:00' THEN 'time.observed_time|is more than 5m0s ahead of the platform clock' END AS outside
+  FROM r WHERE copy = 0 AND NOT broken),
+g AS (SELECT b, count(*) AS n, min(CASE WHEN coalesce(broke, outside) IS NOT NULL THEN i END) AS first_bad, arg_min(coalesce(broke, outside), i) FILTER (coalesce(broke, outside) IS NOT NULL) AS what FROM v GROUP BY b),
+c AS (SELECT b, CASE WHEN b % 41 = 0 THEN 0 ELSE n END AS n, first_bad, what,
+  CASE WHEN b % 41 = 0 THEN 'empty_batch' WHEN b % 37 = 0 THEN 'unsupported_protocol_version' WHEN b % 31 = 0 THEN 'malformed_batch_id' WHEN first_bad IS NOT NULL THEN 'invalid_event' END AS code FROM g)"""
+
+ORACLES = {
+    "contract_violations": _BASE + " SELECT n, pos AS \"offset\", split_part(bad, '|', 1) AS field, split_part(bad, '|', 2) AS reason FROM v WHERE bad IS NOT NULL",
+    "store_projection": _STORE + f" SELECT {', '.join(COLUMNS)} FROM s",
+    "store_final_rows": _STORE + f" SELECT {', '.join(COLUMNS)} FROM f WHERE tenant_id = 'tenant-1'",
+    "store_final_count_by_tenant": _STORE + " SELECT tenant_id, count(*) AS events FROM f GROUP BY tenant_id",
+    "store_raw_count_by_tenant": _STORE + " SELECT tenant_id, count(*) AS events FROM s GROUP BY tenant_id",
+    "tenant_hunt_ordered": _STORE + " SELECT agent_id, gateway, batch_id, event_time, ingest_time, auth_user_name FROM f WHERE tenant_id = 'tenant-2' ORDER BY auth_user_name",
+    "retention_filter": _STORE + " SELECT tenant_id, count(*) AS retained FROM s WHERE date_trunc('second', event_time) + INTERVAL 365 DAY > timestamp '2025-01-15 12:00:00' GROUP BY tenant_id",
+    "writer_classification": _BASE + _WRITER + " SELECT verdict AS outcome, count(*) AS events FROM w GROUP BY verdict",
+    "quarantine_rows": _BASE + _WRITER + " SELECT cast(part AS INTEGER) AS \"partition\", pos AS \"offset\", verdict AS reason, CASE WHEN broken THEN NULL ELSE coalesce(replace(bad, '|', ' '), far) END AS detail, CASE WHEN NOT broken AND NOT no_origin THEN agent_id END AS record_key, CAST(4 AS BIGINT) AS n_headers FROM w WHERE verdict <> 'row'",
+    "unstorable_rows": _BASE + " SELECT n, pos AS \"offset\", far AS reason FROM v WHERE far IS NOT NULL",
+    "window_violations": _BASE + ", t AS (SELECT n, pos, CASE WHEN event_time > timestamp '2024-01-15 00:05:00' THEN 'time.event_time|ahead' WHEN event_time < timestamp '2024-01-08 00:00:00' THEN 'time.event_time|old' WHEN observed_time > timestamp '2024-01-15 00:05:00' THEN 'time.observed_time|ahead' WHEN observed_time < timestamp '2024-01-08 00:00:00' THEN 'time.observed_time|old' END AS x FROM v WHERE NOT broken) SELECT n, pos AS \"offset\", split_part(x, '|', 1) AS field, CASE split_part(x, '|', 2) WHEN 'ahead' THEN 'is more than 5m0s ahead of the platform clock' ELSE 'is older than the 168h0m0s admission window' END AS reason FROM t WHERE x IS NOT NULL",
+    "engine_outcomes": _ANALYSIS + " SELECT verdict AS outcome, CASE WHEN NOT broken THEN class END AS class, route, count(*) AS events FROM a GROUP BY ALL",
+    "normalized_events": _ANALYSIS + " SELECT n, pos AS \"offset\", c_hostname AS hostname, c_os AS os, c_arch AS architecture, c_method AS method, c_user AS user_name, c_domain AS user_domain, c_protocol AS protocol, c_ip AS source_ip, changed AS rewritten FROM a WHERE verdict = 'analysed'",
+    "normalized_share_by_route": _ANALYSIS + " SELECT route, count(*) AS routed, cast(sum(cast(changed AS INTEGER)) AS BIGINT) AS normalized FROM a WHERE verdict = 'analysed' GROUP BY route",
+    "analysis_counters": _ANALYSIS + """, k AS (SELECT *, CASE WHEN verdict IN ('analysed', 'unrouted') THEN verdict ELSE 'refused' END AS kind FROM a)
+SELECT 'analysis_events_total' AS metric, kind AS label, count(*) AS value FROM k GROUP BY kind
+UNION ALL SELECT 'analysis_refusals_total', verdict, count(*) FROM k WHERE kind = 'refused' GROUP BY verdict
+UNION ALL SELECT 'analysis_routed_total', route, count(*) FROM k WHERE route IS NOT NULL GROUP BY route
+UNION ALL SELECT 'analysis_unrouted_total', class, count(*) FROM k WHERE verdict = 'unrouted' GROUP BY class
+UNION ALL SELECT 'analysis_normalized_total', route, count(*) FROM k WHERE verdict = 'analysed' AND changed GROUP BY route""",
+    "store_counters": _BASE + _WRITER + " SELECT 'eventstore_events_total' AS metric, CASE verdict WHEN 'row' THEN 'stored' ELSE 'quarantined' END AS label, count(*) AS value FROM w GROUP BY 2 UNION ALL SELECT 'eventstore_refusals_total', verdict, count(*) FROM w WHERE verdict <> 'row' GROUP BY verdict",
+    "event_delay_histogram": _histogram_sql(_ANALYSIS, "(epoch_us(observed_time + INTERVAL 600 SECOND) - epoch_us(ingest_time)) / 1e6", metrics.BUCKETS["event_delay_seconds"]).replace("{}", "FROM a WHERE verdict = 'analysed' AND ingest_time IS NOT NULL"),
+    "event_lag_histogram": _histogram_sql(_BASE, "(epoch_us(ingest_time) - epoch_us(event_time)) / 1e6", metrics.BUCKETS["event_lag_seconds"]).replace("{}", "FROM v WHERE NOT broken AND far IS NULL AND ingest_time IS NOT NULL AND event_time IS NOT NULL"),
+    "batch_events_histogram": _histogram_sql(f"WITH r AS ({RECORDS}), z AS (SELECT count(*) AS records FROM r GROUP BY floor(n / 700))", "records", metrics.BUCKETS["batch_events"]).replace("{}", "FROM z"),
+    "latency_percentiles": f"WITH r AS ({RECORDS}), o AS (SELECT n * 7919 % 10007 AS x, row_number() OVER (ORDER BY n * 7919 % 10007) - 1 AS i, count(*) OVER () AS c FROM r) SELECT max(x) FILTER (i = least(c * 50 // 100, c - 1)) AS p50, max(x) FILTER (i = least(c * 95 // 100, c - 1)) AS p95, max(x) FILTER (i = least(c * 99 // 100, c - 1)) AS p99, max(x) AS max FROM o",
+    "admission_batches": _BATCHES + " SELECT b, code IS NULL AS accepted, code, CASE WHEN code = 'invalid_event' THEN split_part(what, '|', 1) END AS field, CAST(CASE WHEN code = 'invalid_event' THEN first_bad ELSE -1 END AS INTEGER) AS event_index, CASE WHEN code = 'invalid_event' THEN split_part(what, '|', 2) END AS detail, CASE WHEN code IS NULL THEN n WHEN code = 'invalid_event' THEN first_bad ELSE 0 END AS n_valid, CASE WHEN code IS NULL THEN 200 WHEN code = 'unsupported_protocol_version' THEN 426 ELSE 422 END AS status FROM c",
+    "admission_rejections": _BATCHES + " SELECT code, CASE WHEN code = 'invalid_event' THEN split_part(what, '|', 1) END AS field, count(*) AS batches FROM c WHERE code IS NOT NULL GROUP BY ALL",
+    "ingest_counters": _BATCHES + " SELECT 'ingest_batches_total' AS metric, CASE WHEN code IS NULL THEN 'accepted' ELSE 'rejected' END AS label, count(*) AS value FROM c GROUP BY 2 UNION ALL SELECT 'ingest_events_total', 'accepted', cast(sum(n) AS BIGINT) FROM c WHERE code IS NULL HAVING count(*) > 0 UNION ALL SELECT 'ingest_rejections_total', code, count(*) FROM c WHERE code IS NOT NULL GROUP BY code",
+    "gateway_statuses": f"WITH r AS ({RECORDS}), g AS (SELECT CASE WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}') THEN 'unauthenticated_agent' WHEN n % 17 = 0 THEN 'rate_limited' WHEN n % 19 = 0 THEN 'unsupported_media_type' WHEN n % 23 = 0 THEN 'body_too_large' WHEN n % 29 = 0 OR broken THEN 'malformed_payload' END AS refusal FROM r), h AS (SELECT refusal, CASE refusal WHEN 'unauthenticated_agent' THEN 403 WHEN 'rate_limited' THEN 429 WHEN 'unsupported_media_type' THEN 415 WHEN 'body_too_large' THEN 413 WHEN 'malformed_payload' THEN 400 ELSE 200 END AS status FROM g) SELECT refusal, status, CASE WHEN status = 200 THEN '2xx' ELSE '4xx' END AS status_class, count(*) AS requests FROM h GROUP BY ALL",
+    "rule_matches": _ANALYSIS + """, c AS (SELECT * FROM a WHERE verdict = 'analysed')
+SELECT n, pos AS "offset", 'ssh.failed_password_from_outside' AS rule_id, 'high' AS severity FROM c WHERE outcome = 2 AND c_protocol = 'ssh' AND NOT starts_with(c_ip, '10.')
+UNION ALL SELECT n, pos, 'host.some', 'medium' FROM c WHERE c_hostname IN ('host-3', 'host-7')
+UNION ALL SELECT n, pos, 'port.range', 'low' FROM c WHERE source_port >= 5000 AND source_port < 5100
+UNION ALL SELECT n, pos, 'sequence.edges', 'medium' FROM c WHERE seq > 9950 OR seq <= 40
+UNION ALL SELECT n, pos, 'reason.without_tcp', 'medium' FROM c WHERE outcome_reason <> '' AND transport <> 1
+UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND tenant_id LIKE '%nt-3%'""",
+    "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome = 2 AND c_protocol = 'ssh' AND NOT starts_with(c_ip, '10.') GROUP BY tenant_id",
+    "backbone_records": _BASE + " SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, count(*) AS records, cast(sum(CASE WHEN NOT no_body THEN source_port END) AS BIGINT) AS ports, count(*) * 3 AS headers, min(event_id) AS first_id FROM v WHERE NOT broken GROUP BY 1",
+    "consumer_lag": f"WITH r AS ({RECORDS}) SELECT 'events' AS topic, cast(part AS INTEGER) AS \"partition\", greatest(max(pos) + 1 - coalesce(max(CASE WHEN n % 10 < 7 THEN pos END) + 1 + part % 3 * 5, 0), 0) AS lag FROM r GROUP BY part",
+    "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
+    "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
+    "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",
+    "key_order": f"WITH r AS ({RECORDS}) SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, cast(part AS INTEGER) AS \"partition\", count(*) AS records, CASE WHEN count(*) > 1 THEN CAST(0 AS BIGINT) END AS out_of_order FROM r WHERE NOT broken GROUP BY 1, 2",
+}
