@@ -110,7 +110,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     """(a, b, linked, difference) of candidate pairs (a, b) that match in enough coordinates.
 
     linked is decided on full sets. difference has the hashes that one of the two sets lacks, or is null where
-    these are more than half as many as the larger set.
+    these are more than the larger set has.
     """
     a = classes.select(F.col("class").alias("a"), F.col("keys").alias("ka"))
     b = classes.select(F.col("class").alias("b"), F.col("keys").alias("kb"))
@@ -130,7 +130,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 d = np.setxor1d(s, t, assume_unique=True)
                 both = (len(s) + len(t) - len(d)) // 2
                 linked.append(100 * both >= percent * (len(s) + len(t) - both))
-                difference.append(d.view(np.int64) if 2 * len(d) <= max(len(s), len(t)) else None)
+                difference.append(d.view(np.int64) if len(d) <= max(len(s), len(t)) else None)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(linked, pa.bool_()), pa.array(difference, pa.list_(pa.int64()))], ["a", "b", "linked", "difference"])
 
     return materialize(with_b.mapInArrow(check, "a binary, b binary, linked boolean, difference array<bigint>"))
@@ -139,26 +139,35 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of different components that have an anchor in common.
 
-    anchored: (anchor, class, n, component, linked, difference), linked meaning with the anchor.
+    anchored: (anchor, class, n, component, linked, difference), linked meaning with the anchor. Elements of a
+    difference are put in order, rarest first. At the first element that two differences share, what follows
+    it in either must suffice for the overlap that the pair needs; only such pairs leave the join, and they are
+    decided exactly.
     """
-    elements = anchored.withColumn("size", F.size("difference")).select("anchor", "class", "n", "component", "linked", "difference", "size", F.explode("difference").alias("e"))
+    c = (100 - percent) / (100 + percent)
+    heads = anchored.withColumn("size", F.size("difference")).select("anchor", "class", "n", "component", "linked", "size")
+    elements = anchored.select("anchor", "class", "linked", F.explode("difference").alias("e"))
     known = elements.groupBy("anchor", "e").agg(F.count(F.lit(1)).alias("f"), F.sum((~F.col("linked")).cast("int")).alias("loose"))
-    known = materialize(known.filter("f > 1 AND loose > 0"))
-    ranked = elements.select("anchor", "class", "size", "e").join(known, ["anchor", "e"])
-    # an element that no unlinked class has can't be shared with one; it counts as the rarest
-    need = F.ceil(F.col("size") * ((1 - (100 - percent) / (100 + percent)) / 2) - F.lit(1e-9))
-    order = F.array_sort(F.collect_list(F.struct("f", "e")))
-    take = F.greatest(F.first("size") - F.first(need) + 1 - (F.first("size") - F.count(F.lit(1))), F.lit(0)).cast("int")
-    prefix = ranked.withColumn("need", need).groupBy("anchor", "class").agg(F.slice(order, F.lit(1), F.greatest(take, F.lit(0))).alias("p"))
-    prefix = prefix.select("anchor", "class", F.explode("p.e").alias("e"))
-    whole = anchored.select("anchor", "class", "n", "component", "difference")
-    y = prefix.join(whole, ["anchor", "class"]).select("anchor", "e", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("difference").alias("db"))
-    x = elements.filter(~F.col("linked")).select("anchor", "e", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("difference").alias("da"))
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    both = (F.col("na") + F.col("nb") - apart) / 2
-    alike = 100 * both >= percent * (F.col("na") + F.col("nb") - both)
-    found = x.join(y, ["anchor", "e"]).filter((F.col("ca") != F.col("cb")) & alike)
-    return found.select("a", "b").distinct()
+    # an element that just one class has, or none that is not linked, can't decide; such count as the rarest
+    known = known.filter("f > 1 AND loose > 0").select("anchor", "e", "f")
+    ranked = elements.select("anchor", "class", "e").join(known, ["anchor", "e"]).groupBy("anchor", "class").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("known"))
+    ranked = ranked.join(heads, ["anchor", "class"]).withColumn("unknown", F.col("size") - F.size("known"))
+    placed = ranked.select("anchor", "class", "n", "component", "linked", "size", "unknown", F.posexplode("known").alias("i", "k"))
+    placed = materialize(placed.select("anchor", "class", "n", "component", "linked", "size", (F.col("unknown") + F.col("i") + 1).alias("pos"), F.col("k.e").alias("e")))
+
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select("anchor", "e", F.col("class").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("n", "component", "size", "pos")])
+
+    need = F.ceil(F.col("size") * ((1 - c) / 2) - 1e-9)
+    x, y = side(placed.filter("NOT linked"), "a"), side(placed.filter(F.col("pos") <= F.col("size") - need + 1), "b")
+    overlap = F.ceil((F.col("size_a") + F.col("size_b") - c * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9)
+    enough = 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= overlap
+    pairs = x.join(y, ["anchor", "e"]).filter((F.col("component_a") != F.col("component_b")) & enough).select("anchor", "a", "b").distinct()
+    whole = lambda k: anchored.select("anchor", F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("difference").alias(f"d_{k}"))
+    both = pairs.join(whole("a"), ["anchor", "a"]).join(whole("b"), ["anchor", "b"])
+    n, apart = F.col("n_a") + F.col("n_b"), F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    # the sets have (n - apart) / 2 in common and (n + apart) / 2 together
+    return both.filter(100 * (n - apart) >= percent * (n + apart)).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
