@@ -30,6 +30,8 @@ HELD_OUT, MAIN, DELETED = 0, 1, 2
 BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 12_000_000
 _BINS_PER_OCTAVE = 8
+#: Words of a block that get the least numbers, being its most frequent.
+_TOP = 4096
 _END, _START = b" ", b"  "
 
 
@@ -63,6 +65,11 @@ def _start_key() -> np.uint64:
     return words.mix(words.hashes([_START], 1))[0]
 
 
+def _numbered(n: int, top: np.ndarray) -> np.ndarray:
+    """Place, among sorted keys, of each number: first those in top, then the rest in order."""
+    return np.concatenate([top, np.delete(np.arange(n), top)])
+
+
 _BLOCK = "block long, kind int, bucket int, a binary, b binary, c binary, ids array<bigint>, roles array<int>, lens array<int>"
 
 
@@ -79,8 +86,8 @@ def _ask(order: int, buckets: int):
     """Blocks of (doc_id, role, text): a row of tokens for each, and rows of keys and counts for each bucket."""
     schema = _arrow("dest long, " + _BLOCK)
 
-    def block(number: int, ids: list, roles: list[int], lens: list[int], flat: list[bytes]) -> pa.RecordBatch:
-        token = words.mix(words.hashes(flat, len(flat)))
+    def block(number: int, ids: list, roles: list[int], lens: list[int], flat: list[np.ndarray]) -> pa.RecordBatch:
+        token = words.mix(np.concatenate(flat))
         n = np.array(lens)
         starts = np.cumsum(n) - n
         role = np.repeat(np.array(roles), n)
@@ -92,7 +99,10 @@ def _ask(order: int, buckets: int):
             train = np.bincount(at[role != HELD_OUT], minlength=len(distinct)).astype(np.uint32)
             deleted = np.bincount(at[role == DELETED], minlength=len(distinct)).astype(np.uint32)
             if k == 1:
-                rows.append({"dest": -1 - number, "block": number, "kind": 0, "bucket": 0, "a": _planes(at.astype(np.uint32)), "ids": ids, "roles": roles, "lens": lens})
+                top = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")[:_TOP]
+                number_of = np.empty(len(distinct), np.uint32)
+                number_of[_numbered(len(distinct), top)] = np.arange(len(distinct), dtype=np.uint32)
+                rows.append({"dest": -1 - number, "block": number, "kind": 0, "bucket": 0, "a": _planes(number_of[at]), "c": _planes(top.astype(np.uint32)), "ids": ids, "roles": roles, "lens": lens})
             bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(distinct)], strict=True):
@@ -102,19 +112,20 @@ def _ask(order: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        ids, roles, lens, flat = [], [], [], []
+        ids, roles, lens, flat, size = [], [], [], [], 0
         for batch in batches:
-            for doc_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seq = words.split(text)
-                flat += seq
-                flat.append(_END)
+            for doc_id, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                seq = words.split(text.as_py())
+                seq.append(_END)
+                flat.append(words.hashes(seq, len(seq)))
                 ids.append(doc_id)
                 roles.append(role)
-                lens.append(len(seq) + 1)
-                if len(flat) >= BLOCK_TOKENS:
+                lens.append(len(seq))
+                size += len(seq)
+                if size >= BLOCK_TOKENS:
                     yield block(number, ids, roles, lens, flat)
                     number += 1
-                    ids, roles, lens, flat = [], [], [], []
+                    ids, roles, lens, flat, size = [], [], [], [], 0
         if ids:
             yield block(number, ids, roles, lens, flat)
 
@@ -142,7 +153,8 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=schema)
 
 
-_COUNTED = "block long, ids array<bigint>, roles array<int>, lens array<int>, train array<binary>, deleted array<binary>"
+#: words: a number for each token, by which the first counts in train and deleted are found; the others are by token.
+_COUNTED = "block long, ids array<bigint>, roles array<int>, lens array<int>, words binary, train array<binary>, deleted array<binary>"
 
 
 def _place(order: int):
@@ -155,19 +167,22 @@ def _place(order: int):
             return pa.Table.from_pylist([{"block": rows[0]["block"], "ids": rows[0]["ids"]}], schema=schema)
         doc = next(r for r in rows if r["kind"] == 0)
         got = {k: sorted((r for r in rows if r["kind"] == k), key=lambda r: r["bucket"]) for k in range(1, order + 1)}
-        at = _unplanes(doc["a"], np.uint32)
-        token = np.concatenate([_unpack_keys(r["c"]) for r in got[1]])[at]
+        keys = np.concatenate([_unpack_keys(r["c"]) for r in got[1]])
+        order_of = _numbered(len(keys), _unplanes(doc["c"], np.uint32).astype(np.int64))
+        token = keys[order_of][_unplanes(doc["a"], np.uint32)]
         n = np.array(doc["lens"])
         starts = np.cumsum(n) - n
         gone = np.repeat(np.array(doc["roles"]) == DELETED, n)
-        key, train, deleted, first = token, [], [], _start_key()
-        for k in range(1, order + 1):
-            if k > 1:
-                key = _longer(key, token, starts, first)
-                at = np.unique(key, return_inverse=True)[1]
-            train.append(_planes(np.concatenate([_unplanes(r["a"], np.uint32) for r in got[k]])[at]))
-            deleted.append(_planes(np.concatenate([_unplanes(r["b"], np.uint32) for r in got[k]])[at[gone]]))
-        return pa.Table.from_pylist([{"block": doc["block"], "ids": doc["ids"], "roles": doc["roles"], "lens": doc["lens"], "train": train, "deleted": deleted}], schema=schema)
+        counts = lambda k, x: np.concatenate([_unplanes(r[x], np.uint32) for r in got[k]])
+        train, deleted = [_planes(counts(1, "a")[order_of])], [_planes(counts(1, "b")[order_of])]
+        key, first = token, _start_key()
+        for k in range(2, order + 1):
+            key = _longer(key, token, starts, first)
+            at = np.unique(key, return_inverse=True)[1]
+            train.append(_planes(counts(k, "a")[at]))
+            deleted.append(_planes(counts(k, "b")[at[gone]]))
+        out = {"block": doc["block"], "ids": doc["ids"], "roles": doc["roles"], "lens": doc["lens"], "words": doc["a"], "train": train, "deleted": deleted}
+        return pa.Table.from_pylist([out], schema=schema)
 
     return run
 
@@ -256,7 +271,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, orde
                 if not len(lens):
                     continue
                 gone = np.repeat(np.array(r["roles"]) == DELETED, r["lens"])
-                counts = [_unplanes(x, np.uint32)[gone].astype(np.int64) - _unplanes(y, np.uint32) for x, y in zip(r["train"], r["deleted"], strict=True)]
+                at = _unplanes(r["words"], np.uint32)[gone]
+                counts = [_unplanes(x, np.uint32)[gone if k else at].astype(np.int64) - _unplanes(y, np.uint32)[slice(None) if k else at] for k, (x, y) in enumerate(zip(r["train"], r["deleted"], strict=True))]
                 bucket, p = _estimates(counts, lens, main_tokens, main_vocabulary)
                 bins = np.zeros(len(bucket), np.int64)
                 for k in range(1, order + 1):
@@ -282,6 +298,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, orde
                 lens = np.array(r["lens"])
                 starts = np.cumsum(lens) - lens
                 counts = [_unplanes(x, np.uint32).astype(np.int64) for x in r["train"]]
+                counts[0] = counts[0][_unplanes(r["words"], np.uint32)]
                 bucket, p = _estimates(counts, lens, tokens, vocabulary)
                 mixed = (weights_of(learned, bucket) * p).sum(0)
                 base = np.log10((counts[0] + 1) / (tokens + vocabulary + 1))

@@ -9,7 +9,7 @@ import xxhash
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _P = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 200_000
 
 
 class _Memo(dict):
