@@ -279,7 +279,7 @@ def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by agent, one an event, at its time in seconds."""
     df = flat(spark, sf_dir).filter("copy = 0").select("agent_id", F.col("n").alias("request_id"), F.unix_micros(F.col("observed_time").cast("timestamp")).alias("us"))
-    return limit_batch(df.withColumn("at_seconds", F.col("us") / 1e6).drop("us"), rate=1 / 3600, burst=5)
+    return limit_batch(df.withColumn("at_seconds", F.col("us") / 1e6).drop("us"), rate=1 / 86400, burst=3)
 
 
 QUERIES = {f.__name__: f for f in (
