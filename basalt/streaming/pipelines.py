@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.project import project
 from ..operators.route import analyse, classify_for_store
@@ -57,30 +57,6 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).dropDuplicates(["partition", "offset"])
 
 
-class TokenBucket(StatefulProcessor):
-    """Each key may spend `burst` tokens at once and earns `rate` a second; a new key's bucket is full."""
-
-    def __init__(self, rate: float, burst: float, key: str, idle_ms: int):
-        self.rate, self.burst, self.key, self.idle_ms = rate, burst, key, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, at double", self.idle_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tokens, at = self.state.get() if self.state.exists() else (self.burst, None)
-        for pdf in rows:
-            pdf = pdf.sort_values(["at_seconds", "request_id"])
-            allowed = []
-            for t in pdf["at_seconds"]:
-                tokens, ok, at = spend(tokens, at, float(t), self.rate, self.burst)
-                allowed.append(ok)
-            yield pd.DataFrame({self.key: key[0], "request_id": pdf["request_id"].to_numpy(), "allowed": allowed})
-        self.state.update((tokens, at))
-
-    def close(self) -> None:
-        pass
-
-
 def spend(tokens: float, at: float | None, now: float, rate: float, burst: float) -> tuple[float, bool, float]:
     """One call: tokens left, whether it is allowed, and the time to count from; a rate of 0 or less disables."""
     if rate <= 0:
@@ -90,12 +66,34 @@ def spend(tokens: float, at: float | None, now: float, rate: float, burst: float
     return (tokens - 1, True, now) if tokens >= 1 else (tokens, False, now)
 
 
-def limit_stream(requests: DataFrame, rate: float, burst: float, key: str = "agent_id", idle_ms: int = 600_000) -> DataFrame:
-    """requests(key, request_id, at_seconds) with allowed; a bucket unused for idle_ms is forgotten, which is as good as full."""
+def limit_stream(requests: DataFrame, rate: float, burst: float, key: str = "agent_id", idle_ms: int | None = 600_000) -> DataFrame:
+    """requests(key, request_id, at_seconds) with allowed.
+
+    Each key may spend `burst` tokens at once and earns `rate` a second; a new key's bucket is full. The state
+    of a key is its tokens and the time they were counted at; one unused for idle_ms is forgotten, after which
+    it is as good as full where burst / rate is no longer than that. With idle_ms the query checks the time
+    again and again, so it has to run under a processing-time trigger; None keeps all keys.
+    """
     ship(requests.sparkSession)
-    return requests.groupBy(key).transformWithStateInPandas(
-        TokenBucket(rate, burst, key, idle_ms), outputStructType=f"{key} string, request_id long, allowed boolean", outputMode="append", timeMode="processingTime"
-    )
+
+    def run(name: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, at = state.get if state.exists else (burst, None)
+        for pdf in rows:
+            pdf = pdf.sort_values(["at_seconds", "request_id"])
+            allowed = []
+            for t in pdf["at_seconds"]:
+                tokens, ok, at = spend(tokens, at, float(t), rate, burst)
+                allowed.append(ok)
+            yield pd.DataFrame({key: name[0], "request_id": pdf["request_id"].to_numpy(), "allowed": allowed})
+        state.update((tokens, at))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests.groupBy(key).applyInPandasWithState(run, f"{key} string, request_id long, allowed boolean", "tokens double, at double", "append", timeout)
 
 
 def limit_batch(requests: DataFrame, rate: float, burst: float, key: str = "agent_id") -> DataFrame:
