@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
+
+__all__ = ["WORD", "drop", "keep_rows", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
+
 #: Everything but ASCII white space makes a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,15 +61,14 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that tasks can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_basalt_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="basalt-")) / "basalt_package.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(to))
-    sc._basalt_shipped = True
+def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """Rows of docs whose text is wanted, with all their columns, whatever these are called."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted(b.column(at).to_pylist()), pa.bool_()))
+
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import ship
+from .common import keep_rows, ship
 
 #: Items sent to every task at once; a larger benchmark is searched in blocks, each a pass over the documents.
 ITEMS_PER_BLOCK = 50_000
@@ -126,14 +126,7 @@ def find(
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, min_percent: int = 80, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, as find() decides, with all their columns."""
-    ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
     for index in _blocks(items, item_id_col, item_text_col, width, min_percent):
         sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not sent.value.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = keep_rows(docs, text_col, lambda texts, sent=sent: [not sent.value.search(t) for t in texts])
     return docs

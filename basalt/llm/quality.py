@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import ship
+from .common import keep_rows, ship
 
 #: Bounds of the training sample: documents of either label, and lines of such a document.
 TRAIN_DOCS_PER_LABEL = 3000
@@ -268,12 +268,11 @@ def train(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            f, n, per_doc = line_features(b.column(1).to_pylist())
-            starts = np.cumsum(per_doc) - per_doc
-            packed = [f[s : s + k].astype("<f8").tobytes() for s, k in zip(starts, per_doc, strict=True)]
-            sizes = [n[s : s + k].astype("<i8").tobytes() for s, k in zip(starts, per_doc, strict=True)]
+            packed, sizes = [], []
+            for text in b.column(1):
+                f, n, _ = line_features([text.as_py()])
+                packed.append(f.astype("<f8").tobytes())
+                sizes.append(n.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "label", "f", "n"])
 
     got = sorted(rows.mapInArrow(measure, "doc_id long, label int, f binary, n binary").collect(), key=lambda r: (r[0], r[2]))
@@ -306,11 +305,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score `least` or more, with all their columns."""
-    ship(docs.sparkSession)
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([s >= least for s in sent.value.quality(b.column(at).to_pylist())], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda texts: [s >= least for s in sent.value.quality(texts)])
