@@ -37,7 +37,7 @@ _END, _START = b" ", b"  "
 
 def _planes(x: np.ndarray) -> bytes:
     """Integers, compressed byte by byte: first all their lowest bytes, and so on."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _unplanes(raw: bytes, kind: type) -> np.ndarray:
@@ -300,7 +300,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, orde
                 counts = [_unplanes(x, np.uint32).astype(np.int64) for x in r["train"]]
                 counts[0] = counts[0][_unplanes(r["words"], np.uint32)]
                 bucket, p = _estimates(counts, lens, tokens, vocabulary)
-                mixed = (weights_of(learned, bucket) * p).sum(0)
+                mixed = (weights_of(learned, bucket) * p).sum(0) if tokens else p[0]
                 base = np.log10((counts[0] + 1) / (tokens + vocabulary + 1))
                 columns = [
                     pa.array(r["ids"], pa.int64()),
