@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join that follows can split the rows of a node with very many neighbours
+        return materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
 
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -27,12 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: every larger neighbour is tied to the least one
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = least(both)
+        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours are tied to the least of them
-        small = large.join(least(large), "a")
+        large = materialize(large)
+        lower = least(large)
+        small = large.join(lower, "a")
         tied = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         then = materialize(tied.filter("a <> b").distinct())
-        drop(now)
+        for done in (now, low, large, lower):
+            drop(done)
         now, before = then, seen
         seen = state(now)
         if seen == before:

@@ -228,7 +228,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     component_id is null, and all its rows are kept.
     """
     linked = link(docs, width, percent, id_col, text_col)
-    least = linked.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = materialize(linked)
+    # written by itself, so that the join can split the rows of a very large group
+    least = materialize(linked.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = linked.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -241,7 +243,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     linked = link(docs, width, percent, id_col, text_col).filter(F.col("component").isNotNull())
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     linked = materialize(linked.select("component", rank.alias("rank")))
-    best = linked.groupBy("component").agg(F.min("rank").alias("best"))
+    best = materialize(linked.groupBy("component").agg(F.min("rank").alias("best")))
     losers = linked.join(best, "component").filter("rank <> best").select("rank.doc_id", "rank.text_hash").distinct()
     twice = linked.groupBy("rank").count().filter("count > 1").select("rank.doc_id", "rank.text_hash")
     losers, twice = materialize(losers), materialize(twice)
