@@ -39,7 +39,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 #: Elements that are no article, and words in class, id or role that mark such.
 NEVER = frozenset("nav footer aside form script style noscript template button select dialog menu head iframe svg textarea object canvas audio video search".split())
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification outbrain pager pagination paywall popup promo promos promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification outbrain pager pagination paywall popup promo promos promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
 COMMENT_HINTS = frozenset("comment comments disqus reply replies respond".split())
 
@@ -219,7 +219,9 @@ def main_text(source: str | None, threshold: float = 0.3) -> str:
         inside[top] = True
     for e in range(1, len(inside)):
         inside[e] = inside[e] or inside[page.parent[e]]
-    kept = [b[0] for b, ok in zip(blocks, chosen, strict=True) if inside[b[1]] and (ok or page.article[b[1]] or 2 * b[2] <= len(b[0]))]
+    # without a marked article its title may stand above the element that holds the text
+    wanted = [(inside[e] and (ok or page.article[e] or 2 * linked <= len(text))) or (not big and page.tag[e] == "h1") for (text, e, linked, _), ok in zip(blocks, chosen, strict=True)]
+    kept = [b[0] for b, ok in zip(blocks, wanted, strict=True) if ok]
     return "\n".join(kept)
 
 
