@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Upper bounds of the histograms.
@@ -41,20 +41,21 @@ def histogram(df: DataFrame, value: Column, bounds: tuple[float, ...]) -> DataFr
 def nearest_rank(df: DataFrame, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """(p50, p95, ..., max): of the sorted values the one at index n * p / 100 rounded down, the last at most.
 
-    Values are counted first, so the sort is over distinct values, in ranges; no task holds them all.
+    Values are counted first and cut into ranges at approximate quantiles, so the running count is taken within
+    ranges of distinct values and over the ranges' sums; no task holds all values. Nulls are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    n = df.select(value).agg(F.count(value).alias("total"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    from pyspark.sql import Window
-
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # one row of as many numbers as there are ranges
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000)).first()[0] or [])) if parts > 1 else []
+    bounds = F.array(*map(F.lit, cuts))
+    ranged = counts.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("v"))) if cuts else F.lit(0))
     sums = ranged.groupBy("part").agg(F.sum("n").alias("in_part"))
-    before = sums.withColumn("before", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier, all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"), F.sum("in_part").over(all_parts).alias("total"))
     upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranged.withColumn("upto", upto).join(before.select("part", "before"), "part").withColumn("last", F.col("before") + F.col("upto"))
-    ranked = ranked.join(F.broadcast(n))
+    ranked = ranged.withColumn("upto", upto).join(sums, "part").withColumn("last", F.col("before") + F.col("upto"))
     rank = lambda p: F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1)
     pick = [F.min(F.when(F.col("last") > rank(p), F.col("v"))).alias(f"p{p}") for p in percents]
     return ranked.agg(*pick, F.max("v").alias("max"))
