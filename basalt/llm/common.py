@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import ship
 
-__all__ = ["WORD", "drop", "keep_rows", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
-
-#: Everything but ASCII white space makes a word.
-WORD = r"[^\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+__all__ = ["drop", "keep_rows", "materialize", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only, so that every engine agrees on the result."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="basalt-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -52,10 +44,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files behind a table that materialize() wrote."""
-    path = getattr(df, "_basalt_path", None)
-    if path:
+def drop(*tables: DataFrame) -> None:
+    """Remove the files behind tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df._basalt_path
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

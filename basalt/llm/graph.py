@@ -36,8 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, "a")
         tied = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         then = materialize(tied.filter("a <> b").distinct())
-        for done in (now, low, large, lower):
-            drop(done)
+        drop(now, low, large, lower)
         now, before = then, seen
         seen = state(now)
         if seen == before:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize, ship
+from .common import drop, materialize, ship
 from .graph import components
 
 K, ROWS, MATCHES = 32, 3, 3
@@ -133,7 +133,9 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 difference.append(d.view(np.int64) if len(d) <= max(len(s), len(t)) else None)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(linked, pa.bool_()), pa.array(difference, pa.list_(pa.int64()))], ["a", "b", "linked", "difference"])
 
-    return materialize(with_b.mapInArrow(check, "a binary, b binary, linked boolean, difference array<bigint>"))
+    out = materialize(with_b.mapInArrow(check, "a binary, b binary, linked boolean, difference array<bigint>"))
+    drop(pairs, wanted, sets)
+    return out
 
 
 def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +205,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     merged = materialize(components(links).select(F.col("node").alias("class"), "component"))
     anchor = tried.filter("difference IS NOT NULL").select(F.col("b").alias("anchor"), F.col("a").alias("class"), "linked", "difference")
     size = classes.select("class", "n").join(merged, "class", "left").select("class", "n", F.coalesce("component", "class").alias("component"))
-    links = links.unionByName(materialize(_anchored_links(materialize(anchor.join(size, "class")), percent)))
+    anchored = materialize(anchor.join(size, "class"))
+    among = materialize(_anchored_links(anchored, percent))
+    links = links.unionByName(among)
 
     own = anchor.select("class", "anchor").unionByName(anchor.select(F.col("anchor").alias("class"), "anchor")).groupBy("class").agg(F.collect_set("anchor").alias("anchors"))
     placed = prefix.join(merged, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
@@ -216,9 +220,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near("na", "nb") & ~F.arrays_overlap("aa", "ab"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    links = links.unionByName(_compare(rest, classes, docs, width, percent, id_col, text_col).filter("linked").select("a", "b"))
-    merged = materialize(components(links).select(F.col("node").alias("class"), "component"))
-    return signed.drop("keys").join(merged, "class", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
+    others = _compare(rest, classes, docs, width, percent, id_col, text_col)
+    links = links.unionByName(others.filter("linked").select("a", "b"))
+    grouped = materialize(components(links).select(F.col("node").alias("class"), "component"))
+    drop(classes, live, prefix, tried, merged, anchored, among, placed, others)
+    return signed.drop("keys").join(grouped, "class", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,10 +93,10 @@ def length_histogram(lengths: DataFrame, chunk: int = 4096) -> DataFrame:
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, docs_over, truncated_tokens, lost_tokens) for any limits, also lengths that don't occur."""
-    wanted = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
+    each = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit")
     over = F.col("n_tokens") > F.col("context_limit")
     return (
-        histogram.join(F.broadcast(wanted))
+        histogram.select("n_tokens", "n_docs", each)
         .groupBy("context_limit")
         .agg(
             F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"),
