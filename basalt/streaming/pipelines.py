@@ -19,6 +19,7 @@ from ..operators.route import analyse, classify_for_store
 from ..operators.store import append
 from ..sources.codec import decode, quarantine
 from ..sources.package import ship
+from .counters import observe
 
 RECORD = "key binary, value binary, partition int, offset long"
 
@@ -47,7 +48,7 @@ def start_writer(records: DataFrame, store: str, refused: str, checkpoint: str)
 
 def start_analysis(records: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Outcome, route and canonical event of every record; stateless, so no watermark is needed."""
-    found = analyse(decode(records), undecodable=F.col("undecodable"))
+    found = observe(analyse(decode(records), undecodable=F.col("undecodable")), "analysis")
     found = found.select("partition", "offset", "outcome", "class", "route", "rewritten", F.struct("violation.field", "violation.reason").alias("violation"), "canonical")
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -8,6 +9,7 @@ from basalt.operators.contract import EVENT_TYPE
 from basalt.operators.project import COLUMNS
 from basalt.sources import migrations
 from basalt.sources.codec import decode, encode, publish, to_records
+from basalt.streaming.counters import Totals
 from basalt.streaming.pipelines import RECORD, limit_stream, quarantined, read_backbone, spend, start_analysis, start_writer
 from test_contract import event, frame
 
@@ -63,7 +65,17 @@ def test_last_write_survives(spark):
 def test_analysis_stream(spark, tmp_path):
     topic, out = str(tmp_path / "topic"), str(tmp_path / "out")
     records(spark, [event(), event(event_class=4242), event(event_id="")], [b"nonsense"]).write.parquet(topic)
-    start_analysis(read_backbone(spark, topic), out, str(tmp_path / "cp")).awaitTermination()
+    totals = Totals()
+    spark.streams.addListener(totals)
+    try:
+        assert start_analysis(read_backbone(spark, topic), out, str(tmp_path / "cp")).awaitTermination(60)
+        for _ in range(100):
+            if totals.totals:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(totals)
+    assert totals.totals["analysis"] == {"records": 4, "outcome_analysed": 1, "outcome_contract_violation": 1, "outcome_undecodable": 1, "outcome_unrouted": 1}
     assert sorted(r.outcome for r in spark.read.parquet(out).collect()) == ["analysed", "contract_violation", "undecodable", "unrouted"]
 
 
