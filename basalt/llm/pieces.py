@@ -250,7 +250,8 @@ def encode_texts(df: DataFrame, model: str, n: int = 3, keys: tuple[str, ...] =
     it equals the text's own digest if nothing was lost. nbest_ids_sha256 has a digest of the little-endian
     32-bit ids of each of the n best segmentations. A null text is encoded as an empty one: no ids, score 0,
     one segmentation. Repeated rows stay; key columns are passed on as they are, other columns ignored; an
-    empty table gives no rows. with_ids leaves the ids out where only figures are wanted. The model file is read by the driver and sent with the tasks.
+    empty table gives no rows. with_ids leaves the ids out where only figures are wanted. A task holds about 200
+    bytes for each character of the longest run without spaces. The model file is read by the driver and sent with the tasks.
     """
     ship(df.sparkSession)
     raw = Path(model).read_bytes()
