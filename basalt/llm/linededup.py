@@ -16,6 +16,12 @@ def normalized(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
 
 
+def _trimmed_chars(text: str) -> Column:
+    """Characters of a text's lines after trimming."""
+    kept = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x20]*\n[\x00-\x20]*", "\n"), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.char_length(F.replace(kept, F.lit("\n"), F.lit("")))
+
+
 def lines_of(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """(line_hash, site_hash) of every line that isn't blank."""
     rows = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
@@ -52,7 +58,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = 10,
-    max_share: float = 0.7,
+    max_share: float | None = 0.7,
     text_col: str = "text",
     site_col: str = "source",
     id_col: str = "doc_id",
@@ -61,7 +67,8 @@ def remove_boilerplate(
     """docs, with boilerplate lines taken out of text_col, and a column lines_removed (long).
 
     A document of whose trimmed characters more than max_share are boilerplate lines is a copy rather than a
-    page around content of its own: it stays as it is, for near-duplicate removal to judge. So no document is
+    page around content of its own: it stays as it is, for near-duplicate removal to judge. With max_share None
+    the share doesn't matter: only a document all of whose lines are boilerplate stays. So no document is
     emptied. A null text stays null; an empty table stays empty; repeated rows are treated alike and all kept;
     other columns pass through whatever their names. Only the numbers of removed lines are joined to the
     documents, so the text of a document is shuffled once at most.
@@ -80,9 +87,10 @@ def remove_boilerplate(
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), text.alias("x"), key.alias("k")).join(found, "k", "left")
-    kept_all = F.regexp_replace(F.regexp_replace("x", r"[\x00-\x20]*\n[\x00-\x20]*", "\n"), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
-    chars = F.char_length(F.replace(kept_all, F.lit("\n"), F.lit("")))
-    act = F.col("gone").isNotNull() & (F.col("gone_chars") <= max_share * chars)
+    if max_share is None:
+        act = F.col("gone").isNotNull() & (F.size("gone") < F.size(F.filter(F.split("x", "\n"), lambda line: normalized(line) != "")))
+    else:
+        act = F.col("gone").isNotNull() & (F.col("gone_chars") <= max_share * _trimmed_chars("x"))
     rest = F.array_join(F.filter(F.split("x", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     out = [F.when(act, rest).otherwise(F.col("x")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return rows.select(*out, F.when(act, F.size("gone")).otherwise(0).cast("long").alias("lines_removed"))

@@ -101,7 +101,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKE
     return tokencount.length_histogram(tokencount.token_lengths(table(spark, sf_dir, "documents"), vocabulary))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str, min_sites: int = 10, max_share: float = 0.7) -> DataFrame:
+def op7_line_dedup(spark: SparkSession, sf_dir: str, min_sites: int = 10, max_share: float | None = 0.7) -> DataFrame:
     out = linededup.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites, max_share)
     return out.select("doc_id", "lines_removed", F.char_length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on ten sites or more; n_chars is that of the new text."""
-    out = linededup.remove_boilerplate(docs, min_sites=10, max_share=0.7)
+    """Documents without the lines that stand on ten sites or more, unless no other would be left; n_chars is that of the new text."""
+    out = linededup.remove_boilerplate(docs, min_sites=10, max_share=None)
     changed = F.col("lines_removed") > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

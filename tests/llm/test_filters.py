@@ -1,8 +1,9 @@
 import oddrows
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from basalt.llm import decontaminate, linededup, quality
-from basalt.llm.queries import op3_quality
+from basalt.llm.queries import OP7_SQL, op3_quality, op7_line_dedup
 from conftest import SF
 
 ITEM = "the quick brown fox jumps over the lazy dog near the old stone bridge by the river"
@@ -95,6 +96,23 @@ def test_line_dedup(spark):
     assert linededup.remove_boilerplate(oddrows.docs(spark, [])).count() == 0
 
 
+def test_line_dedup_whatever_the_share(spark):
+    foot = "All rights reserved by nobody in particular."
+    rows = [(i, f"Own text of document {i}, which is long enough to be its own.\n{foot}", f"site{i}") for i in range(12)]
+    rows += [(100, f"{foot}\n \nshort", "site1"), (101, f"{foot}\n\n{foot}", "site1"), (102, f"{foot}\nb\n{foot}", None), (103, None, "site1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for out in (linededup.remove_boilerplate(docs, min_sites=10, max_share=None), corpus_pipeline.line_dedup(spark, docs, SF)):
+        by = {r.doc_id: r.text for r in out.collect()}
+        assert (by[100], by[101], by[102], by[103]) == (" \nshort", f"{foot}\n\n{foot}", "b", None)
+        assert not any(foot in by[i] for i in range(12))
+
+
+def test_line_dedup_whatever_the_share_as_sql(same_rows):
+    share = "sum(CASE WHEN gone THEN length(norm) ELSE 0 END) <= 0.7 * sum(length(norm)) AS act"
+    assert share in OP7_SQL
+    same_rows(lambda spark, sf: op7_line_dedup(spark, sf, max_share=None), OP7_SQL.replace(share, "bool_or(NOT gone AND norm <> '') AS act"))
+
+
 def test_line_dedup_far_above_the_threshold(spark):
     rows = [(i, f"shared line\nown line number {i} which is long", f"s{i}") for i in range(300)]
     out = linededup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=20)
