@@ -15,7 +15,7 @@ def _left_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def op1_lm_score(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+def op1_lm_score(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), _left_out("doc_id", 7, 2), order=order)
 
 

@@ -78,6 +78,14 @@ def test_as_brute_force(spark, order, monkeypatch):
         assert r.score == pytest.approx(score, rel=0.01)  # estimates are binned while weights are learned
 
 
+def test_query_as_brute_force_of_trigrams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    gone = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).collect()}
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], lambda i: zlib.crc32(str(i).encode()) % 7 == 2, gone.__contains__, 3)
+    got = {r.doc_id: r.score for r in op1_lm_score(spark, SF).collect()}
+    assert got == {i: pytest.approx(w[5], rel=0.01) for i, w in want.items()}
+
+
 def test_beats_its_base_on_held_out_text(spark):
     s = op1_lm_score(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert s[0] > s[1]
