@@ -2,8 +2,9 @@
 
 A page becomes blocks of text, each with the path of tags that leads to it. Text length, punctuation and
 linked text are summed per path; their ratios to the path's number of blocks are fused, smoothed over
-neighbouring blocks and thresholded. The blocks that stand out tell which element holds the article. What lies
-in parts that are never article (menus, footers, adverts, forms, scripts, comments and the like) takes no part.
+neighbouring blocks and thresholded. The blocks that stand out are the article, with what lies between them in
+the elements that hold it. What lies in parts that are never article (menus, footers, adverts, forms, scripts,
+comments and the like) takes no part.
 """
 
 from __future__ import annotations
@@ -44,12 +45,26 @@ HINTS = frozenset(
 COMMENT_HINTS = frozenset("comment comments disqus reply replies respond".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"<]*+\"|'[^'<]*+'|[^'\">]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HINT_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+#: Words after which a hint says what the element has or lacks, not what it is.
+_ABOUT = frozenset("has have no not with without".split())
 _MARKS = re.compile(r"[.,;:!?…。、，！？]")
 
 
+def _hints(value: str) -> set[str]:
+    """The hints among the words of a class, id or role, but for those that follow has, no or with in their name."""
+    found = set()
+    for name in value.split():
+        for w in map(str.lower, _HINT_WORDS.findall(name)):
+            if w in _ABOUT:
+                break
+            if w in HINTS:
+                found.add(w)
+    return found
+
+
 def _reading(attrs: str) -> tuple[str, frozenset[str], bool]:
     """Of an element's attributes: its class for the path, the hints in them, whether it is hidden."""
     name, found, hidden = "", set(), False
@@ -60,9 +75,9 @@ def _reading(attrs: str) -> tuple[str, frozenset[str], bool]:
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif key in ("class", "id", "role"):
-            found |= {w.lower() for w in _HINT_WORDS.findall(value)}
+            found |= _hints(value)
             name = name or value
-    return name, frozenset(found & HINTS), hidden
+    return name, frozenset(found), hidden
 
 
 class Page:
@@ -70,14 +85,17 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.out, self.article = [-1], [""], [0], [False], [False]
+        self.hints: dict[int, frozenset[str]] = {}  # of elements that may be out for them
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[str, int, int, int]] = []  # text, element, linked characters, path
+        self.owners: list[int] = []  # the innermost element of each block
         self.stack = [0]
         self.text: list[str] = []
         self.linked, self.links = 0, 0
         self.open_tags: dict[str, int] = {}
         self._read(source)
         self._close_block()
+        self._leave_out()
 
     def _close_block(self) -> None:
         if self.text:
@@ -85,18 +103,48 @@ class Page:
                 at = next((e for e in reversed(self.stack) if self.tag[e] in BLOCK), 0)
                 if not self.out[self.stack[-1]]:
                     self.blocks.append((text, at, min(self.linked, len(text)), self.path[at]))
+                    self.owners.append(self.stack[-1])
             self.text, self.linked = [], 0
 
+    def _leave_out(self) -> None:
+        """Leave out what lies in elements with hints, but for those that hold most of the page's own text.
+
+        An advert may be longer than a short article: with an <article> or <main> beside it, an element's hints
+        count. Comments may be most of a page; an element with their hints stays only if no block would be left.
+        """
+        if not self.hints or not self.blocks:
+            return
+        own, marked = [0] * len(self.tag), [0] * len(self.tag)
+        for (text, _, linked, _), e in zip(self.blocks, self.owners, strict=True):
+            own[e] += len(text) - linked
+        for e in range(len(own) - 1, 0, -1):
+            if self.article[e] and not self.article[self.parent[e]]:
+                marked[e] = own[e]
+            own[self.parent[e]] += own[e]
+            marked[self.parent[e]] += marked[e]
+        for strict in (True, False):
+            out = list(self.out)
+            for e in range(1, len(out)):
+                hints = self.hints.get(e)
+                most = 2 * own[e] > own[0] and (self.article[e] or marked[e] == marked[0]) and not (strict and hints and hints & COMMENT_HINTS)
+                out[e] = out[e] or out[self.parent[e]] or bool(hints) and not most
+            left = [not out[e] for e in self.owners]
+            if any(left):
+                break
+        self.out, self.blocks = out, [b for b, ok in zip(self.blocks, left, strict=True) if ok]
+
     def _open(self, tag: str, attrs: str) -> None:
         top = self.stack[-1]
         name, hints, hidden = _reading(attrs) if attrs.strip() else ("", frozenset(), False)
         inside = self.article[top]
         if tag in ("article", "main"):
-            out = bool(hints & COMMENT_HINTS)
+            out, hints = False, hints & COMMENT_HINTS
         elif tag in ("html", "body"):
-            out = False
+            out, hints = False, frozenset()
         else:
-            out = tag in NEVER or bool(hints) or tag == "header" and not inside
+            out = tag in NEVER or tag == "header" and not inside
+        if hints:
+            self.hints[len(self.tag)] = hints
         key = (self.path[top], f"{tag}.{name}")
         self.parent.append(top)
         self.tag.append(tag)
@@ -202,25 +250,21 @@ def main_text(source: str | None, threshold: float = 0.3) -> str:
     whole = held[0]
     inside = [False] * len(page.tag)
     articles = [e for e in range(1, len(held)) if page.article[e] and not page.article[page.parent[e]] and not page.out[e]]
-    big = [e for e in articles if held[e] >= 0.2 * whole]
-    if whole and sum(held[e] for e in big) >= 0.5 * whole:
-        for e in big:
-            inside[e] = True
-    else:
-        children: dict[int, list[int]] = {}
-        for e in range(1, len(held)):
-            children.setdefault(page.parent[e], []).append(e)
+    marked = [e for e in articles if held[e]]
+    if 2 * sum(held[e] for e in marked) < whole:
+        marked = []
+    for e in marked:
+        inside[e] = True
+    if not marked:  # the innermost element that holds all chosen blocks
         top = 0
-        while True:
-            deeper = [c for c in children.get(top, ()) if page.tag[c] in BLOCK and held[c] >= 0.85 * whole]
-            if not whole or not deeper or page.tag[deeper[0]] in ("p", "li", "td", "tr", "h1"):
-                break
-            top = deeper[0]
+        for e in range(1, len(held)):
+            if page.parent[e] == top and held[e] == whole and page.tag[e] not in ("p", "li", "td", "tr", "h1"):
+                top = e
         inside[top] = True
     for e in range(1, len(inside)):
         inside[e] = inside[e] or inside[page.parent[e]]
     # without a marked article its title may stand above the element that holds the text
-    wanted = [(inside[e] and (ok or page.article[e] or 2 * linked <= len(text))) or (not big and page.tag[e] == "h1") for (text, e, linked, _), ok in zip(blocks, chosen, strict=True)]
+    wanted = [ok or (inside[e] and (page.article[e] or 2 * linked <= len(text))) or (not marked and page.tag[e] == "h1") for (text, e, linked, _), ok in zip(blocks, chosen, strict=True)]
     kept = [b[0] for b, ok in zip(blocks, wanted, strict=True) if ok]
     return "\n".join(kept)
 

@@ -131,6 +131,31 @@ def test_pages(spark):
     assert extract.main_text(plain) == want
 
 
+PARAGRAPHS = [f"Paragraph {i} of the text, with marks; it goes on, and on, for a while. It says {i} things." for i in range(10)]
+WRITTEN = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class=lead><p>{PARAGRAPHS[0]}</p></div><div class=text>{WRITTEN[WRITTEN.index('</p>') + 4 :]}</div></body>",
+        f"<body><article><p>{PARAGRAPHS[0]}</p></article><article>{WRITTEN[WRITTEN.index('</p>') + 4 :]}</article></body>",
+        f"<body><div><p>{PARAGRAPHS[0]}</p></div><main>{WRITTEN[WRITTEN.index('</p>') + 4 :]}</main></body>",
+        *[f"<body><div class='{c}'>{WRITTEN}</div><div class=sidebar><p>Aside.</p></div></body>" for c in ("post has-sidebar", "no-comments", "post withSidebar", "widget", "comments")],
+        *[f"<body><div {a}>{WRITTEN}</div></body>" for a in ("title='a hidden gem'", "data-hidden", "data-class=nav", "data-x='id=menu'", 'data-x="style=display:none"')],
+    ],
+)
+def test_all_of_the_article_is_kept(page):
+    assert extract.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+def test_hidden_and_hinted_parts_stay_out():
+    for a in ("hidden", "HIDDEN", "title='x' hidden", "aria-hidden=true", "style='display: none'", "class='no-js nav'", "id=sidebarNav", 'role="navigation"'):
+        assert extract.main_text(f"<div>{WRITTEN}</div><div {a}><p>{PARAGRAPHS[0]} Out.</p></div>") == "\n".join(PARAGRAPHS), a
+    assert extract.main_text(f"<article><p>{PARAGRAPHS[0]}</p></article><section id=comments>{WRITTEN}</section>") == PARAGRAPHS[0]
+    assert extract.main_text(f"<div class=ad>{PARAGRAPHS[0]}, now.</div><article><p>{PARAGRAPHS[0]}</p></article>") == PARAGRAPHS[0]
+
+
 def test_fingerprints(spark):
     rows = [(5, "a b c d e\nf g h"), (5, "second of five"), (3, None), (9, "x" * 10 + "é中" * 5), (7, "a b c d e\nf g h"), (None, "last, without an id"), (1, oddrows.LONG)]
     docs = oddrows.docs(spark, rows)
