@@ -10,7 +10,7 @@ from ..operators.contract import outside_window, unstorable, violation
 from ..operators.project import COLUMNS, project
 from ..operators.route import analyse, classify_for_analysis, classify_for_store
 from ..operators.rules import All, Any, Not, Predicate, Rule, Technique
-from ..sources.codec import decode, quarantine, to_records
+from ..sources.codec import decode, delivery, partition_of, quarantine, to_records
 from ..streaming.pipelines import limit_batch
 from .workload import RECORDS, flat, nested, records
 
@@ -283,6 +283,14 @@ def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("agent", "partition").agg(F.count(F.lit(1)).alias("records"), F.sum((F.col("before") >= F.col("offset")).cast("long")).alias("out_of_order"))
 
 
+def key_delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each agent's records, partitioned by key, how many have a lower or the same sequence as the one before."""
+    df = records(spark, sf_dir).filter("NOT undecodable")
+    key = F.col("event.origin.agent_id")
+    df = df.select(key.alias("agent"), partition_of(key.cast("binary")).alias("partition"), "offset", F.col("event.collection.sequence").alias("sequence"))
+    return delivery(df, "agent")
+
+
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by agent, one an event, at its time in seconds."""
     df = flat(spark, sf_dir).filter("copy = 0").select("agent_id", F.col("n").alias("request_id"), F.unix_micros(F.col("observed_time").cast("timestamp")).alias("us"))
@@ -294,7 +302,7 @@ QUERIES = {f.__name__: f for f in (
     writer_classification, quarantine_rows, unstorable_rows, window_violations, engine_outcomes, normalized_events, normalized_share_by_route,
     analysis_counters, store_counters, event_delay_histogram, event_lag_histogram, ingest_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
     admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
-    pending_migrations, protocol_descriptor, key_order, token_bucket,
+    pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket,
 )}
 
 _VIOLATION = """CASE
@@ -398,5 +406,6 @@ UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND
     "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
     "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
     "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",
+    "key_delivery_order": f"WITH r AS ({RECORDS}), o AS (SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, seq, lag(seq) OVER (PARTITION BY CASE WHEN NOT no_origin THEN agent_id END ORDER BY pos) AS prior FROM r WHERE NOT broken) SELECT agent, count(*) AS records, CAST(1 AS BIGINT) AS partitions, count(*) FILTER (seq < prior) AS out_of_order, count(*) FILTER (seq = prior) AS repeated FROM o GROUP BY agent",
     "key_order": f"WITH r AS ({RECORDS}) SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, cast(part AS INTEGER) AS \"partition\", count(*) AS records, CASE WHEN count(*) > 1 THEN CAST(0 AS BIGINT) END AS out_of_order FROM r WHERE NOT broken GROUP BY 1, 2",
 }

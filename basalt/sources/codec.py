@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,28 @@ def publish(records: DataFrame, path: str, partitions: int = PARTITIONS) -> None
     out.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
+    """The partition in which publish() puts a key."""
+    return F.pmod(F.hash(key), F.lit(partitions))
+
+
+def delivery(df: DataFrame, key: str = "key", sequence: str = "sequence", partition: str = "partition", offset: str = "offset") -> DataFrame:
+    """(key, records, partitions, out_of_order, repeated) of each key.
+
+    Within a key and partition, in order of offset: records whose sequence is below their predecessor's, and
+    those that have the same.
+    """
+    before = F.lag(sequence).over(Window.partitionBy(key, partition).orderBy(offset))
+    df = df.select(key, partition, F.col(sequence).alias("_now"), before.alias("_before"))
+    count = lambda when: F.coalesce(F.sum(when.cast("long")), F.lit(0))
+    return df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("records"),
+        F.countDistinct(partition).alias("partitions"),
+        count(F.col("_now") < F.col("_before")).alias("out_of_order"),
+        count(F.col("_now") == F.col("_before")).alias("repeated"),
+    )
+
+
 def quarantine(df: DataFrame) -> DataFrame:
     """Refused records with their bytes and key untouched, and why and where they were read."""
     header = lambda k, c: F.struct(F.lit(k).alias("key"), F.coalesce(c.cast("string"), F.lit("")).cast("binary").alias("value"))

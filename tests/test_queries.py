@@ -31,6 +31,21 @@ def test_ingest_lag_leaves_out_what_validation_stops(spark, duck):
     assert got["_count"] != {r["le"]: r["count"] for r in event_lag_histogram(spark, SF).collect()}["_count"]
 
 
+def test_disorder_is_reported(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from basalt.sources.codec import delivery, partition_of, publish
+
+    rows = [("a", 0, 1, 5), ("a", 0, 2, 3), ("a", 0, 3, 3), ("a", 0, 4, 9), ("a", 1, 0, 1), ("b", 1, 7, 2), (None, 0, 1, 2), (None, 0, 2, 1)]
+    df = spark.createDataFrame(rows, "key string, partition int, offset long, sequence long")
+    got = {r.key: tuple(r)[1:] for r in delivery(df).collect()}
+    assert got == {"a": (5, 2, 1, 1), "b": (1, 1, 0, 0), None: (2, 1, 1, 0)}
+    sent = spark.range(40).select(F.concat(F.lit("agent-"), F.col("id").cast("string")).cast("binary").alias("key"))
+    publish(sent, str(tmp_path / "records"))
+    back = spark.read.parquet(str(tmp_path / "records")).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("file"), partition_of(F.col("key")).alias("partition"))
+    assert back.filter("file <> partition").count() == 0 and back.count() == 40
+
+
 def test_token_bucket_as_brute_force(spark, duck):
     got = {r["request_id"]: r["allowed"] for r in token_bucket(spark, SF).collect()}
     from basalt.plans.workload import RECORDS
