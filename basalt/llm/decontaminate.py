@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from . import words
 from .common import keep_rows, ship
 
-#: Items sent to every task at once; a larger benchmark is searched in blocks, each a pass over the documents.
+#: Items, and bytes of their texts, sent to every task at once; a larger benchmark is searched in blocks, each a
+#: pass over the documents. Only an item that is longer by itself makes a larger block, of that item alone.
 ITEMS_PER_BLOCK = 50_000
+BYTES_PER_BLOCK = 16 << 20
+_MOST_BITS = 48
 _FILTER_BITS = 20
 
 
@@ -85,11 +88,27 @@ class Index:
 
 def _blocks(items: DataFrame, item_id_col: str, item_text_col: str, width: int, min_percent: int) -> Iterator[Index]:
     rows = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    n = rows.count()
-    parts = max(1, -(-2 * n // ITEMS_PER_BLOCK)) if n > ITEMS_PER_BLOCK else 1
-    for k in range(parts):
-        block = rows.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Index([tuple(r) for r in block.collect()], width, min_percent)
+    bytes_of = F.sum(F.octet_length("t"))
+    fits = lambda n, size: n <= ITEMS_PER_BLOCK and size <= BYTES_PER_BLOCK
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(bytes_of, F.lit(0))).first()
+    if fits(n, size):
+        yield Index([tuple(r) for r in rows.collect()], width, min_percent)
+        return
+    # ranges of the hash of id and text, halved until each fits or holds one row, then joined while they fit
+    bits, cells = 0, []
+    while not cells or bits < _MOST_BITS and any(c.n > 1 and not fits(c.n, c.size) for c in cells):
+        bits = bits + 1 if cells else max(1, min(_MOST_BITS, max(n // ITEMS_PER_BLOCK, size // BYTES_PER_BLOCK).bit_length() + 2))
+        place = F.shiftrightunsigned(F.xxhash64("i", "t"), 64 - bits)
+        cells = rows.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), bytes_of.alias("size")).orderBy("place").collect()
+    blocks: list[list[int]] = []  # first and last place, items, bytes
+    for c in cells:
+        if blocks and fits(blocks[-1][2] + c.n, blocks[-1][3] + c.size):
+            first, _, items_before, bytes_before = blocks[-1]
+            blocks[-1] = [first, c.place, items_before + c.n, bytes_before + c.size]
+        else:
+            blocks.append([c.place, c.place, c.n, c.size])
+    for first, last, *_ in blocks:
+        yield Index([tuple(r) for r in rows.filter(place.between(first, last)).collect()], width, min_percent)
 
 
 def find(

@@ -25,6 +25,25 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.clean(oddrows.docs(spark), items).count() == len(oddrows.ROWS)
 
 
+def test_blocks_of_items_are_bounded_by_bytes(spark, monkeypatch):
+    rows = [(7, f"item {i} with some words of its own {i * i}") for i in range(40)] + [(i, f"another one {i} " * (1 + i % 9)) for i in range(40)] + [(99, "very long item " * 60)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = oddrows.docs(spark, [(i, f"before {t} after") for i, (_, t) in enumerate(rows)])
+    want = sorted(decontaminate.find(docs, items).collect())
+    kept = decontaminate.clean(docs, items).count()
+    sizes, make = [], decontaminate.Index
+    monkeypatch.setattr(decontaminate, "BYTES_PER_BLOCK", 800, raising=False)
+    monkeypatch.setattr(decontaminate, "Index", lambda block, *a: sizes.append((len(block), sum(len(t) for _, t in block))) or make(block, *a))
+    found = list(decontaminate._blocks(items, "item_id", "text", 5, 80))
+    assert sum(n for n, _ in sizes) == len(rows) and 1 < len(found) == len(sizes)
+    assert all(size <= 800 or n == 1 for n, size in sizes)
+    few = items.filter("item_id = 7")
+    monkeypatch.setattr(decontaminate, "Index", make)
+    got = decontaminate.find(docs, few).collect()
+    assert sorted(got) == [r for r in want if r.item_id == 7] and got
+    assert decontaminate.clean(docs, few).count() + len({r.doc_id for r in got}) == len(rows) and kept == 0
+
+
 def test_sketch_has_no_false_negatives():
     import random
 
