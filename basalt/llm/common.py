@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import ship
 
-__all__ = ["drop", "keep_rows", "materialize", "shared_dir", "ship", "table"]
+__all__ = ["drop", "keep_rows", "materialize", "prepare", "release", "shared_dir", "ship", "table"]
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}  # of each application: its own folder, and the scratch tables it has left
+_left: dict[str, set[str]] = {}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings that the queries over whole texts want of their session: batches of at most 1,000 rows go to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,36 +32,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a session in one process makes a temporary one; on a cluster that is an error,
+    since executors don't see each other's local folders.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="basalt-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not re.fullmatch(r"local(\[[\d*]+(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = _own.get(spark.sparkContext.applicationId)
+        if where is None:
+            where = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="basalt-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where.rstrip("/")
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the shuffle files of a finished write are removed instead of waiting for the driver's garbage collection."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The result has no lineage, survives a lost executor and is read as often as needed without being
-    computed again. The folder is scratch space; drop() removes a table that is no longer needed.
+    computed again. The folder is scratch space: drop() removes a table that is no longer needed, and release()
+    what is left of a session's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/basalt-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._basalt_path = path
+    _left.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _left.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove the files behind tables that materialize() wrote, once nothing reads them any more."""
     for df in tables:
-        path = df._basalt_path
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, df._basalt_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables of this session that are left: those that results returned so far still read."""
+    for path in sorted(_left.get(spark.sparkContext.applicationId, ())):
+        _remove(spark, path)
 
 
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[list[str | None]], list[bool]]) -> DataFrame:

@@ -8,11 +8,16 @@ training documents.
 Tokens are never rows. A task turns a block of documents into the sorted distinct keys of its n-grams and
 sends each range of keys, with its own counts, to the bucket of that range; a bucket adds up and answers each
 block with the counts of the keys that it asked for. So what is shuffled are a few bytes for each distinct
-n-gram of a block, however frequent it is. A word is known by a 64-bit hash, as is an n-gram.
+n-gram of a block, however frequent it is. Where there are so many buckets that a block would have few keys
+for each, blocks send to ranges of buckets first, a group of blocks at a time; a group's keys are merged, asked
+for as one block's are, and the answers dealt back, so rows grow with the input to the power 1.5 at most and
+not with its square. A word is known by a 64-bit hash; an n-gram by one that is 16 bits longer than the
+number of bytes in the corpus is, so the odds that one is mistaken for another are under 1 in 65,536.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,26 +28,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize, ship
+from .common import drop, materialize, ship
 
 HELD_OUT, MAIN, DELETED = 0, 1, 2
 #: A block ends with the document that takes it over so many tokens; a bucket is made for so many bytes of text.
 BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 12_000_000
+#: Buckets that a block sends to directly.
+DIRECT = 4096
 _BINS_PER_OCTAVE = 8
 #: Words of a block that get the least numbers, being its most frequent.
 _TOP = 4096
+_SPARE_BITS = 16
 _END, _START = b" ", b"  "
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers, compressed byte by byte: first all their lowest bytes, and so on."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    """Integers of 0 or more in as many bytes as the largest needs, compressed byte by byte: first all their lowest bytes, and so on."""
+    kind = np.dtype(np.min_scalar_type(int(x.max(initial=0))))
+    x = np.ascontiguousarray(x, kind)
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), kind.itemsize).T.tobytes())
 
 
-def _unplanes(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _unplanes(raw: bytes) -> np.ndarray:
+    """The integers, as int64 (uint64 where these take 8 bytes)."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(raw)[1:]), np.uint8)
+    x = np.ascontiguousarray(flat.reshape(raw[0], -1).T).view(f"<u{raw[0]}").ravel()
+    return x if raw[0] == 8 else x.astype(np.int64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -50,7 +62,7 @@ def _pack_keys(keys: np.ndarray) -> bytes:
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+    return np.cumsum(_unplanes(raw).astype(np.uint64), dtype=np.uint64)
 
 
 def _longer(shorter: np.ndarray, key: np.ndarray, starts: np.ndarray, start: np.uint64) -> np.ndarray:
@@ -70,7 +82,10 @@ def _numbered(n: int, top: np.ndarray) -> np.ndarray:
     return np.concatenate([top, np.delete(np.arange(n), top)])
 
 
-_BLOCK = "block long, kind int, bucket int, a binary, b binary, c binary, ids array<bigint>, roles array<int>, lens array<int>"
+#: kind: 0 tokens of a block, 1 and more keys of that order, -1 sums of a bucket of words. asker: who wants an answer;
+#: part: the place of the row among those of its asker and kind. a: counts in training documents, or tokens; b: in
+#: deleted ones; c: keys.
+_ROW = "asker long, kind int, part int, gone boolean, a binary, b binary, c binary, ids array<bigint>, roles array<int>, lens array<int>"
 
 
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -78,113 +93,184 @@ def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
 
 
 def _arrow(fields: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])
 
 
-def _ask(order: int, buckets: int):
-    """Blocks of (doc_id, role, text): a row of tokens for each, and rows of keys and counts for each bucket."""
-    schema = _arrow("dest long, " + _BLOCK)
+class Plan:
+    """Where keys go: how many buckets there are, in how many ranges, from how many groups of blocks; how long keys are."""
 
-    def block(number: int, ids: list, roles: list[int], lens: list[int], flat: list[np.ndarray]) -> pa.RecordBatch:
+    def __init__(self, size: int):
+        self.buckets = 1 + size // BUCKET_BYTES
+        self.ranges = self.buckets if self.buckets <= DIRECT else math.isqrt(self.buckets) + 1
+        self.within = -(-self.buckets // self.ranges)
+        self.direct = self.within == 1
+        self.bits = min(64, max(32, int(size).bit_length() + _SPARE_BITS))
+
+    def short(self, key: np.ndarray, order: int) -> np.ndarray:
+        return key if order == 1 else key >> np.uint64(64 - self.bits)
+
+    def place(self, key: np.ndarray, order: int, parts: int) -> np.ndarray:
+        """The one of so many equal ranges that each key is in; keys in order give places in order."""
+        top = key >> np.uint64((64 if order == 1 else self.bits) - 32)
+        return ((top * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _cut(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(place, from, to) of each run of equal places."""
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+        yield int(place[lo]), lo, hi
+
+
+def _ask(order: int, plan: Plan):
+    """Blocks of (doc_id, role, text): a row of tokens for each, and rows of keys and counts for each range of buckets."""
+    schema = _arrow("dest long, " + _ROW)
+
+    def block(number: int, gone: bool, ids: list, roles: list[int], lens: list[int], flat: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         token = words.mix(np.concatenate(flat))
+        flat.clear()
         n = np.array(lens)
         starts = np.cumsum(n) - n
-        role = np.repeat(np.array(roles), n)
-        rows, key, first = [], token, _start_key()
+        train = np.repeat(np.array(roles) != HELD_OUT, n)
+        group = number % plan.within
+        key, first = token, _start_key()
         for k in range(1, order + 1):
             if k > 1:
                 key = _longer(key, token, starts, first)
-            distinct, at = np.unique(key, return_inverse=True)
-            train = np.bincount(at[role != HELD_OUT], minlength=len(distinct)).astype(np.uint32)
-            deleted = np.bincount(at[role == DELETED], minlength=len(distinct)).astype(np.uint32)
+            distinct, at = np.unique(plan.short(key, k), return_inverse=True)
+            count = np.bincount(at[train], minlength=len(distinct))
             if k == 1:
                 top = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")[:_TOP]
                 number_of = np.empty(len(distinct), np.uint32)
                 number_of[_numbered(len(distinct), top)] = np.arange(len(distinct), dtype=np.uint32)
-                rows.append({"dest": -1 - number, "block": number, "kind": 0, "bucket": 0, "a": _planes(number_of[at]), "c": _planes(top.astype(np.uint32)), "ids": ids, "roles": roles, "lens": lens})
-            bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(distinct)], strict=True):
-                b = int(bucket[lo])
-                rows.append({"dest": (k << 40) + b, "block": number, "kind": k, "bucket": b, "a": _planes(train[lo:hi]), "b": _planes(deleted[lo:hi]), "c": _pack_keys(distinct[lo:hi])})
-        return _rows(schema, rows)
+                yield _rows(schema, [{"dest": -1 - number, "asker": number, "kind": 0, "part": 0, "gone": gone, "a": _planes(number_of[at]), "c": _planes(top), "ids": ids, "roles": roles, "lens": lens}])
+            rows = []
+            for r, lo, hi in _cut(plan.place(distinct, k, plan.ranges)):
+                own = _planes(count[lo:hi])
+                dest = (k << 56) + (r << 28) + group
+                rows.append({"dest": dest, "asker": number, "kind": k, "part": r, "gone": gone, "a": own, "b": own if gone else None, "c": _pack_keys(distinct[lo:hi])})
+            yield _rows(schema, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        ids, roles, lens, flat, size = [], [], [], [], 0
+        open_blocks = {gone: ([], [], [], []) for gone in (False, True)}
+        size = dict.fromkeys(open_blocks, 0)
         for batch in batches:
             for doc_id, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 seq = words.split(text.as_py())
                 seq.append(_END)
-                flat.append(words.hashes(seq, len(seq)))
-                ids.append(doc_id)
-                roles.append(role)
-                lens.append(len(seq))
-                size += len(seq)
-                if size >= BLOCK_TOKENS:
-                    yield block(number, ids, roles, lens, flat)
+                gone = role == DELETED
+                for column, x in zip(open_blocks[gone], (doc_id, role, len(seq), words.hashes(seq, len(seq))), strict=True):
+                    column.append(x)
+                size[gone] += len(seq)
+                if size[gone] >= BLOCK_TOKENS:
+                    yield from block(number, gone, *open_blocks[gone])
                     number += 1
-                    ids, roles, lens, flat, size = [], [], [], [], 0
-        if ids:
-            yield block(number, ids, roles, lens, flat)
+                    open_blocks[gone], size[gone] = ([], [], [], []), 0
+        for gone, columns in open_blocks.items():
+            if columns[0]:
+                yield from block(number, gone, *columns)
+                number += 1
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """What a bucket answers: for each block that asked, the counts of its keys; for words, sums as well."""
-    schema = _arrow(_BLOCK)
-    rows = table.to_pylist()
-    if rows[0]["kind"] == 0:
-        return table.select(schema.names).cast(schema)
+def _total(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of rows with keys: these, the distinct ones, the place of each key among them, and the sums of their counts (below 2 ** 53)."""
     keys = [_unpack_keys(r["c"]) for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = {x: np.bincount(at, np.concatenate([_unplanes(r[x], np.uint32) for r in rows]), len(distinct)).astype(np.uint32) for x in "ab"}
-    out, lo = [], 0
+    none = lambda k: np.zeros(len(k), np.int64)
+    total = {x: np.bincount(at, np.concatenate([_unplanes(r[x]) if r[x] is not None else none(k) for r, k in zip(rows, keys, strict=True)]), len(distinct)).astype(np.int64) for x in "ab"}
+    return keys, distinct, at, total
+
+
+def _answered(rows: list[dict], keys: list[np.ndarray], at: np.ndarray, total: dict[str, np.ndarray]) -> Iterator[dict]:
+    """For each row, the totals of its keys; those of deleted documents only where they are asked for."""
+    lo = 0
     for r, k in zip(rows, keys, strict=True):
         own = at[lo : lo + len(k)]
         lo += len(k)
-        out.append({"block": r["block"], "kind": r["kind"], "bucket": r["bucket"], "a": _planes(total["a"][own]), "b": _planes(total["b"][own]), "c": r["c"] if r["kind"] == 1 else None})
+        yield {x: r[x] for x in ("asker", "kind", "part", "gone")} | {"a": _planes(total["a"][own]), "b": _planes(total["b"][own]) if r["gone"] else None, "c": r["c"] if r["kind"] == 1 else None}
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """What a bucket answers: for each row that asked, the counts of its keys; for words, sums as well."""
+    schema = _arrow(_ROW)
+    rows = table.to_pylist()
+    if rows[0]["kind"] == 0:
+        return table.select(schema.names).cast(schema)
+    keys, _, at, total = _total(rows)
+    out = list(_answered(rows, keys, at, total))
     if rows[0]["kind"] == 1:
-        train, main = total["a"].astype(np.int64), total["a"].astype(np.int64) - total["b"]
+        train, main = total["a"], total["a"] - total["b"]
         sums = [int(train.sum()), int((train > 0).sum()), int(main.sum()), int((main > 0).sum())]
-        out.append({"block": -1 - rows[0]["bucket"], "kind": -1, "bucket": 0, "ids": sums})
+        out.append({"asker": -1 - rows[0]["dest"], "kind": -1, "part": 0, "gone": False, "ids": sums})
     return pa.Table.from_pylist(out, schema=schema)
 
 
-#: words: a number for each token, by which the first counts in train and deleted are found; the others are by token.
-_COUNTED = "block long, ids array<bigint>, roles array<int>, lens array<int>, words binary, train array<binary>, deleted array<binary>"
+def _merge(plan: Plan):
+    """What a group of blocks asks of the buckets of one range: each key once, with the group's counts."""
+    schema = _arrow("dest long, " + _ROW)
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        kind, out = rows[0]["kind"], []
+        _, distinct, _, total = _total(rows)
+        for bucket, lo, hi in _cut(plan.place(distinct, kind, plan.ranges * plan.within)):
+            out.append({"dest": (kind << 56) + bucket, "asker": rows[0]["dest"], "kind": kind, "part": bucket, "gone": True, "a": _planes(total["a"][lo:hi]), "b": _planes(total["b"][lo:hi]), "c": _pack_keys(distinct[lo:hi])})
+        return pa.Table.from_pylist(out, schema=schema)
 
-def _place(order: int):
-    """Answers to a block, put at its tokens: for each order, the counts of the n-gram that ends there."""
-    schema = _arrow(_COUNTED)
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
+
+def _deal(table: pa.Table) -> pa.Table:
+    """The answers to a group of blocks, dealt to the blocks."""
+    rows = table.to_pylist()
+    asked = [r for r in rows if not r["back"]]
+    back = sorted((r for r in rows if r["back"]), key=lambda r: r["part"])
+    keys = [_unpack_keys(r["c"]) for r in asked]
+    at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    total = {x: np.concatenate([_unplanes(r[x]) for r in back]) for x in "ab"}
+    return pa.Table.from_pylist(list(_answered(asked, keys, at, total)), schema=_arrow(_ROW))
+
+
+def _answers(asked: DataFrame, plan: Plan) -> DataFrame:
+    """Rows of tokens, of answers to blocks, and of sums, in the shared folder."""
+    if plan.direct:
+        return materialize(asked.groupBy("dest").applyInArrow(_answer, _ROW))
+    first = materialize(asked)
+    posted = first.filter("kind > 0")
+    merged = posted.groupBy("dest").applyInArrow(_merge(plan), "dest long, " + _ROW)
+    answers = materialize(merged.groupBy("dest").applyInArrow(_answer, _ROW))
+    back = answers.filter("kind > 0").withColumn("dest", F.col("asker")).withColumn("back", F.lit(True))
+    dealt = posted.withColumn("back", F.lit(False)).unionByName(back).groupBy("dest").applyInArrow(_deal, _ROW)
+    out = materialize(dealt.unionByName(first.filter("kind = 0").drop("dest")).unionByName(answers.filter("kind = -1")))
+    drop(first, answers)
+    return out
+
+
+class Counted:
+    """A block's documents, and for each order the counts of the n-gram that ends at each token."""
+
+    def __init__(self, table: pa.Table, order: int, plan: Plan):
         rows = table.to_pylist()
-        if rows[0]["kind"] == -1:
-            return pa.Table.from_pylist([{"block": rows[0]["block"], "ids": rows[0]["ids"]}], schema=schema)
         doc = next(r for r in rows if r["kind"] == 0)
-        got = {k: sorted((r for r in rows if r["kind"] == k), key=lambda r: r["bucket"]) for k in range(1, order + 1)}
+        self.ids, self.roles, self.lens = doc["ids"], np.array(doc["roles"]), np.array(doc["lens"])
+        got = {k: sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"]) for k in range(1, order + 1)}
         keys = np.concatenate([_unpack_keys(r["c"]) for r in got[1]])
-        order_of = _numbered(len(keys), _unplanes(doc["c"], np.uint32).astype(np.int64))
-        token = keys[order_of][_unplanes(doc["a"], np.uint32)]
-        n = np.array(doc["lens"])
-        starts = np.cumsum(n) - n
-        gone = np.repeat(np.array(doc["roles"]) == DELETED, n)
-        counts = lambda k, x: np.concatenate([_unplanes(r[x], np.uint32) for r in got[k]])
-        train, deleted = [_planes(counts(1, "a")[order_of])], [_planes(counts(1, "b")[order_of])]
+        token = keys[_numbered(len(keys), _unplanes(doc["c"]))][_unplanes(doc["a"])]
+        starts = np.cumsum(self.lens) - self.lens
+        self.train, self.main = [], []
         key, first = token, _start_key()
-        for k in range(2, order + 1):
-            key = _longer(key, token, starts, first)
-            at = np.unique(key, return_inverse=True)[1]
-            train.append(_planes(counts(k, "a")[at]))
-            deleted.append(_planes(counts(k, "b")[at[gone]]))
-        out = {"block": doc["block"], "ids": doc["ids"], "roles": doc["roles"], "lens": doc["lens"], "words": doc["a"], "train": train, "deleted": deleted}
-        return pa.Table.from_pylist([out], schema=schema)
-
-    return run
+        for k in range(1, order + 1):
+            if k > 1:
+                key = _longer(key, token, starts, first)
+            at = np.unique(plan.short(key, k), return_inverse=True)[1]
+            train = np.concatenate([_unplanes(r["a"]) for r in got[k]])
+            self.train.append(train[at].astype(np.int64))
+            if doc["gone"]:
+                self.main.append(self.train[-1] - np.concatenate([_unplanes(r["b"]) for r in got[k]])[at].astype(np.int64))
 
 
 def _estimates(counts: list[np.ndarray], lens: np.ndarray, tokens: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +324,7 @@ def weights_of(learned: dict[int, np.ndarray], bucket: np.ndarray) -> np.ndarray
     return out
 
 
-def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
     held_out and deleted are conditions on docs. Tokens are words cut at ASCII white space, A-Z lower-cased, and
@@ -254,63 +340,48 @@ def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, orde
     role = F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(MAIN)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), role.alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + size // BUCKET_BYTES
-    asked = rows.mapInArrow(_ask(order, buckets), "dest long, " + _BLOCK)
-    answered = asked.groupBy("dest").applyInArrow(_answer, _BLOCK)
-    counted = materialize(answered.groupBy("block").applyInArrow(_place(order), _COUNTED))
-
-    sums = counted.filter("block < 0").select(*[F.col("ids")[i].alias(f"s{i}") for i in range(4)]).agg(*[F.sum(f"s{i}") for i in range(4)]).first()
+    plan = Plan(size)
+    answered = _answers(rows.mapInArrow(_ask(order, plan), "dest long, " + _ROW), plan)
+    sums = answered.filter("kind = -1").select(*[F.col("ids")[i].alias(f"s{i}") for i in range(4)]).agg(*[F.sum(f"s{i}") for i in range(4)]).first()
     tokens, vocabulary, main_tokens, main_vocabulary = (int(x or 0) for x in sums)
-    blocks = counted.filter("block >= 0")
-    binned = _arrow("bucket long, bins long, n double, " + ", ".join(f"p{k} double" for k in range(1, order + 1)))
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                lens = np.array(r["lens"])[np.array(r["roles"]) == DELETED]
-                if not len(lens):
-                    continue
-                gone = np.repeat(np.array(r["roles"]) == DELETED, r["lens"])
-                at = _unplanes(r["words"], np.uint32)[gone]
-                counts = [_unplanes(x, np.uint32)[gone if k else at].astype(np.int64) - _unplanes(y, np.uint32)[slice(None) if k else at] for k, (x, y) in enumerate(zip(r["train"], r["deleted"], strict=True))]
-                bucket, p = _estimates(counts, lens, main_tokens, main_vocabulary)
-                bins = np.zeros(len(bucket), np.int64)
-                for k in range(1, order + 1):
-                    ratio = np.where(p[k] > 0, np.log2(np.maximum(p[k], 1e-300) / p[0]) * _BINS_PER_OCTAVE, -1000)
-                    bins = bins * 4096 + np.round(np.clip(ratio, -1000, 2000)).astype(np.int64) + 1000
-                distinct, at = np.unique(bucket * (1 << 48) + bins, return_inverse=True)
-                sums = [np.bincount(at, p[k], len(distinct)) for k in range(1, order + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct >> 48, distinct & ((1 << 48) - 1), np.bincount(at).astype(float), *sums)], schema=binned)
+    blocks = answered.filter("kind >= 0")
+    binned = "bucket long, bins long, n double, " + ", ".join(f"p{k} double" for k in range(1, order + 1))
+
+    def tally(table: pa.Table) -> pa.Table:
+        block = Counted(table, order, plan)
+        bucket, p = _estimates(block.main, block.lens, main_tokens, main_vocabulary)
+        bins = np.zeros(len(bucket), np.int64)
+        for k in range(1, order + 1):
+            ratio = np.where(p[k] > 0, np.log2(np.maximum(p[k], 1e-300) / p[0]) * _BINS_PER_OCTAVE, -1000)
+            bins = bins * 4096 + np.round(np.clip(ratio, -1000, 2000)).astype(np.int64) + 1000
+        distinct, at = np.unique(bucket * (1 << 48) + bins, return_inverse=True)
+        sums = [np.bincount(at, p[k], len(distinct)) for k in range(1, order + 1)]
+        return pa.Table.from_arrays([pa.array(x) for x in (distinct >> 48, distinct & ((1 << 48) - 1), np.bincount(at).astype(float), *sums)], schema=_arrow(binned))
 
     # the held-out counts: a row for each bucket and bin of the estimates, a bounded number
-    by_bin = blocks.mapInArrow(tally, ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in binned)).groupBy("bucket", "bins")
+    by_bin = blocks.filter("gone").groupBy("asker").applyInArrow(tally, binned).groupBy("bucket", "bins")
     held = by_bin.agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, order + 1)]).orderBy("bucket", "bins").toPandas()
     n = held["n"].to_numpy(float)
     p = np.stack([np.full(len(n), 1 / (main_vocabulary + 1)), *(held[f"p{k}"].to_numpy(float) / np.maximum(n, 1) for k in range(1, order + 1))])
     learned = learn_weights(held["bucket"].to_numpy(np.int64), p, n)
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    schema = _arrow(fields)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                lens = np.array(r["lens"])
-                starts = np.cumsum(lens) - lens
-                counts = [_unplanes(x, np.uint32).astype(np.int64) for x in r["train"]]
-                counts[0] = counts[0][_unplanes(r["words"], np.uint32)]
-                bucket, p = _estimates(counts, lens, tokens, vocabulary)
-                mixed = (weights_of(learned, bucket) * p).sum(0) if tokens else p[0]
-                base = np.log10((counts[0] + 1) / (tokens + vocabulary + 1))
-                columns = [
-                    pa.array(r["ids"], pa.int64()),
-                    pa.array(np.array(r["roles"]) == HELD_OUT),
-                    pa.array(lens.astype(np.int64)),
-                    pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(lens), tokens, np.int64)),
-                    pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(np.log10(mixed), starts)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return blocks.mapInArrow(finish, fields)
+
+    def finish(table: pa.Table) -> pa.Table:
+        block = Counted(table, order, plan)
+        starts = np.cumsum(block.lens) - block.lens
+        bucket, p = _estimates(block.train, block.lens, tokens, vocabulary)
+        mixed = (weights_of(learned, bucket) * p).sum(0) if tokens else p[0]
+        base = np.log10((block.train[0] + 1) / (tokens + vocabulary + 1))
+        columns = [
+            pa.array(block.ids, pa.int64()),
+            pa.array(block.roles == HELD_OUT),
+            pa.array(block.lens.astype(np.int64)),
+            pa.array(np.add.reduceat((block.train[0] > 0).astype(np.int64), starts)),
+            pa.array(np.full(len(block.lens), tokens, np.int64)),
+            pa.array(np.add.reduceat(base, starts)),
+            pa.array(np.add.reduceat(np.log10(mixed), starts)),
+        ]
+        return pa.Table.from_arrays(columns, schema=_arrow(fields))
+
+    return blocks.groupBy("asker").applyInArrow(finish, fields)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, tokencount
-from .common import table
+from .common import prepare, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -150,16 +153,18 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
+def _prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str, **parameters) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir, **parameters)
+
+    return run
+
+
 QUERIES = {
-    "op1_lm_score": op1_lm_score,
-    "op2_decontaminate": op2_decontaminate,
-    "op3_quality": op3_quality,
-    "op4_pieces": op4_pieces,
-    "op5_chat_format": op5_chat_format,
-    "op6_token_counts": op6_token_counts,
-    "op7_line_dedup": op7_line_dedup,
-    "op8_main_text": op8_main_text,
-    "op9_fingerprints": op9_fingerprints,
-    "op10_near_duplicates": op10_near_duplicates,
+    q.__name__: _prepared(q)
+    for q in (op1_lm_score, op2_decontaminate, op3_quality, op4_pieces, op5_chat_format, op6_token_counts, op7_line_dedup, op8_main_text, op9_fingerprints, op10_near_duplicates)
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_duplicates": OP10_SQL}

@@ -109,3 +109,67 @@ def test_odd_rows(spark):
     assert lm.score(oddrows.docs(spark, []), F.lit(True)).count() == 0
     none = lm.score(oddrows.docs(spark), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.score == 0 and r.base_score == 0 for r in none)
+
+
+def test_weights_as_plain_em():
+    """One weight vector a bucket, by the textbook's steps over single tokens."""
+    import random
+
+    rng = random.Random(5)
+    tuples = []
+    for _ in range(300):
+        b = rng.choice([0, 64, 65, 130])
+        p = [0.001, rng.choice([0.0, 0.01, 0.2]), rng.choice([0.0, 0.1, 0.5]) if b >= 64 else 0.0, rng.choice([0.0, 0.9]) if b >= 128 else 0.0]
+        tuples.append((b, p))
+    got = lm.learn_weights(np.array([b for b, _ in tuples]), np.array([p for _, p in tuples]).T, np.ones(len(tuples)))
+    for b in (0, 64, 65, 130):
+        here = [p for x, p in tuples if x == b]
+        n = 2 + b // 64  # orders that this context has
+        w = [1 / n] * n
+        for _ in range(40):
+            got_by = [0.0] * n
+            for p in here:
+                whole = sum(x * y for x, y in zip(w, p, strict=False))
+                for k in range(n):
+                    got_by[k] += w[k] * p[k] / whole
+            w = [(x + 0.1) / (len(here) + 0.1 * n) for x in got_by]
+        assert got[b][:n].tolist() == pytest.approx(w, rel=1e-9) and not got[b][n:].any()
+
+
+def test_all_continuations_sum_to_one(spark):
+    """T(h, w) u(w) + s(h) = u(h), where u is a word's odds to come first, has a solution that sums to one with the empty text."""
+    known = ["a", "b", "c", "never-seen"]
+    rows = [(i, t) for i, t in enumerate(["a b c a b a", "b b a", "c a b", "a", "c c c b a", ""] * 9)]
+    asked = [("", 1000)] + [(w, 1001 + i) for i, w in enumerate(known)] + [(f"{h} {w}", 2000 + 10 * i + j) for i, h in enumerate(known) for j, w in enumerate(known)]
+    df = spark.createDataFrame(rows + [(i, t) for t, i in asked], "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in lm.score(df, F.col("doc_id") >= 1000, F.col("doc_id") % 5 == 1, order=2).collect()}
+    s = np.array([got[1001 + i] for i in range(4)])
+    t = np.array([[got[2000 + 10 * i + j] / s[j] for j in range(4)] for i in range(4)])
+    u = np.linalg.solve(np.eye(4) - t, s)
+    assert u.sum() + got[1000] == pytest.approx(1, rel=1e-9) and (u > 0).all()
+
+
+def test_counts_beyond_32_bits():
+    """Two blocks of three thousand million of one word."""
+    key = np.array([7, 9], np.uint64)
+    row = lambda asker, n: {"dest": 1 << 56, "asker": asker, "kind": 1, "part": 0, "gone": True, "a": lm._planes(np.array(n)), "b": lm._planes(np.array([0, 1])), "c": lm._pack_keys(key), "ids": None, "roles": None, "lens": None}
+    import pyarrow as pa
+
+    got = lm._answer(pa.Table.from_pylist([row(0, [3 * 10**9, 1]), row(1, [3 * 10**9, 2])], schema=lm._arrow("dest long, " + lm._ROW))).to_pylist()
+    assert [lm._unplanes(r["a"]).tolist() for r in got if r["kind"] == 1] == [[6 * 10**9, 3]] * 2
+    assert next(r["ids"] for r in got if r["kind"] == -1) == [6 * 10**9 + 3, 2, 6 * 10**9 + 1, 2]
+
+
+def test_ranges_of_buckets(spark, monkeypatch):
+    """Asking in two steps gives what asking directly does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "doc_id")
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20000)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 20000)
+    want = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 7 == 2).collect()}
+    monkeypatch.setattr(lm, "DIRECT", 5)
+    plan = lm.Plan(docs.agg(F.sum(F.octet_length("text"))).first()[0])
+    assert not plan.direct and plan.within > 1 and plan.ranges * plan.within >= plan.buckets
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 7 == 2).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert tuple(r)[:5] == tuple(want[i])[:5] and r.base_score == pytest.approx(want[i].base_score, rel=1e-12) and r.score == pytest.approx(want[i].score, rel=1e-9)
