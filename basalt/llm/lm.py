@@ -36,7 +36,9 @@ BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 12_000_000
 #: Buckets that a block sends to directly.
 DIRECT = 4096
+#: Bins of an estimate for each doubling, while weights are learned for a bucket; an eighth of it for all buckets together.
 _BINS_PER_OCTAVE = 8
+ROUNDS = 40
 #: Words of a block that get the least numbers, being its most frequent.
 _TOP = 4096
 _SPARE_BITS = 16
@@ -288,24 +290,26 @@ def _estimates(counts: list[np.ndarray], lens: np.ndarray, tokens: int, vocabula
     return bucket, np.stack(p)
 
 
-def learn_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = 40) -> dict[int, np.ndarray]:
-    """Weights of the orders for each bucket, by expectation-maximisation: n tokens have the estimates p[:, i].
+def _weights(b: int, p: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights of the orders for bucket b, by expectation-maximisation: n tokens have the estimates p[:, i]."""
+    usable = np.arange(len(p)) <= (len(p) - 1 if b == -1 else 1 + b // 64)
+    w = usable / usable.sum()
+    for _ in range(rounds if n.sum() else 0):
+        share = w[:, None] * p
+        share /= np.maximum(share.sum(0), 1e-300)
+        w = (share @ n + 0.1 * usable) / (n.sum() + 0.1 * usable.sum())
+    return w
+
+
+def learn_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
+    """Weights of the orders for each bucket; see _weights().
 
     Orders beyond a bucket's context have no weight. A little is added to every other order's share, so that no
     token is impossible. Bucket -1 has the weights of all tokens together, for buckets that were not seen.
     """
-    orders = len(p)
-    learned = {}
-    for b in [-1, *np.unique(bucket).tolist()]:
-        here = slice(None) if b == -1 else bucket == b
-        q, m = p[:, here], n[here]
-        usable = np.arange(orders) <= (orders - 1 if b == -1 else 1 + b // 64)
-        w = usable / usable.sum()
-        for _ in range(rounds if m.sum() else 0):
-            share = w[:, None] * q
-            share /= np.maximum(share.sum(0), 1e-300)
-            w = (share @ m + 0.1 * usable) / (m.sum() + 0.1 * usable.sum())
-        learned[int(b)] = w
+    learned = {-1: _weights(-1, p, n, rounds)}
+    for b in np.unique(bucket).tolist():
+        learned[int(b)] = _weights(int(b), p[:, bucket == b], n[bucket == b], rounds)
     return learned
 
 
@@ -350,20 +354,32 @@ def score(docs: DataFrame, held_out: Column, deleted: Column | None = None, orde
     def tally(table: pa.Table) -> pa.Table:
         block = Counted(table, order, plan)
         bucket, p = _estimates(block.main, block.lens, main_tokens, main_vocabulary)
-        bins = np.zeros(len(bucket), np.int64)
+        fine, coarse = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
         for k in range(1, order + 1):
             ratio = np.where(p[k] > 0, np.log2(np.maximum(p[k], 1e-300) / p[0]) * _BINS_PER_OCTAVE, -1000)
-            bins = bins * 4096 + np.round(np.clip(ratio, -1000, 2000)).astype(np.int64) + 1000
-        distinct, at = np.unique(bucket * (1 << 48) + bins, return_inverse=True)
-        sums = [np.bincount(at, p[k], len(distinct)) for k in range(1, order + 1)]
-        return pa.Table.from_arrays([pa.array(x) for x in (distinct >> 48, distinct & ((1 << 48) - 1), np.bincount(at).astype(float), *sums)], schema=_arrow(binned))
-
-    # the held-out counts: a row for each bucket and bin of the estimates, a bounded number
+            place = np.round(np.clip(ratio, -1000, 2000)).astype(np.int64) + 1000
+            fine, coarse = fine * 4096 + place, coarse * 4096 + place // 8
+        out = []
+        for key in (np.stack([bucket, fine]), np.stack([np.full(len(bucket), -1), coarse])):
+            by = np.lexsort(key[::-1])
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(key[:, by]) != 0).any(0)]))
+            sums = [np.add.reduceat(p[k][by], first) for k in range(1, order + 1)]
+            out.append([*key[:, by[first]], np.diff([*first, len(by)]).astype(float), *sums])
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_arrow(binned))
+
+    # the held-out counts: a row for each bucket and bin of the estimates, a number that doesn't grow without bound
     by_bin = blocks.filter("gone").groupBy("asker").applyInArrow(tally, binned).groupBy("bucket", "bins")
-    held = by_bin.agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, order + 1)]).orderBy("bucket", "bins").toPandas()
-    n = held["n"].to_numpy(float)
-    p = np.stack([np.full(len(n), 1 / (main_vocabulary + 1)), *(held[f"p{k}"].to_numpy(float) / np.maximum(n, 1) for k in range(1, order + 1))])
-    learned = learn_weights(held["bucket"].to_numpy(np.int64), p, n)
+    held = by_bin.agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, order + 1)])
+
+    def learn(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        p = np.stack([np.full(len(n), 1 / (main_vocabulary + 1)), *(table.column(f"p{k}").to_numpy() / n for k in range(1, order + 1))])
+        b = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": [b], "w": [_weights(b, p, n, ROUNDS)]})
+
+    # a row for each bucket
+    learned = {r[0]: np.array(r[1]) for r in held.groupBy("bucket").applyInArrow(learn, "bucket long, w array<double>").collect()}
+    learned.setdefault(-1, np.full(order + 1, 1 / (order + 1)))
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
