@@ -26,23 +26,35 @@ from .common import ship
 SPACE = "▁"
 MAX_MODEL_BYTES = 64 << 20
 _CELLS = 150_000
+#: Segments longer than this are cut one by one, over the arcs that they have.
+_LONG = 512
+#: Scores are multiples of this, so that sums over a text are exact and equal ones are equal however they are added.
+_GRAIN = 2.0**-24
 _CUT = re.compile(f"{SPACE}| +[^ \n{SPACE}]*|\n|[^ \n{SPACE}]+")
 _NONE = -np.inf
 
 
+def _grained(score: np.ndarray | float) -> np.ndarray | float:
+    return np.round(np.asarray(score) / _GRAIN) * _GRAIN
+
+
 class Pieces:
-    """A piece vocabulary as a trie. A piece's score is the log of Zipf's law at its rank, since files of merges hold ranks and no probabilities."""
+    """A piece vocabulary as a trie.
+
+    A piece's score is the file's. Files of merges hold bare ranks instead, which are no log-probabilities: there a
+    piece's score is the log of Zipf's law at its rank.
+    """
 
-    def __init__(self, pieces: list[str], byte_ids: dict[int, int]):
-        """pieces: by id, "" for what is no text piece; byte_ids: the id of each of the 256 byte pieces."""
+    def __init__(self, pieces: list[str], byte_ids: dict[int, int], scores: list[float] | None = None):
+        """pieces: by id, "" for what is no text piece; byte_ids: the id of each of the 256 byte pieces; scores: by id, None for ranks."""
         self.byte_ids = byte_ids
         self.raw = [p.replace(SPACE, " ").encode() for p in pieces]
         for byte, i in byte_ids.items():
             self.raw[i] = bytes([byte])
         ranked = [i for i, p in enumerate(pieces) if p]
         self.score = np.full(len(pieces), _NONE)
-        self.score[ranked] = -np.log(np.arange(len(ranked)) + 2.0)
-        self.unknown = -math.log(len(ranked) + 2.0) - 10
+        self.score[ranked] = _grained(-np.log(np.arange(len(ranked)) + 2.0) if scores is None else [scores[i] for i in ranked])
+        self.unknown = float(_grained(-math.log(len(ranked) + 2.0) - 10 if scores is None else min(scores[i] for i in ranked) - 10))
         self.ids = {pieces[i]: i for i in reversed(ranked)}
         self.longest = max(map(len, self.ids))
         nodes, edges, piece = 1, {}, [-1]
@@ -69,7 +81,10 @@ class Pieces:
         m = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = m.get_piece_size()
         special = [m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i) for i in range(n)]
-        return cls(["" if special[i] else m.id_to_piece(i) for i in range(n)], {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)})
+        own = np.array([m.get_score(i) for i in range(n) if not special[i]])
+        bare = bool((own == np.round(own)).all())  # ranks, in whatever order the pieces stand
+        pieces = ["" if special[i] else m.id_to_piece(i) for i in range(n)]
+        return cls(pieces, {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)}, None if bare else [m.get_score(i) for i in range(n)])
 
     def decode(self, ids: list[int]) -> str:
         """The text that encode() cut into these ids."""
@@ -156,35 +171,68 @@ class Pieces:
                 ids[s : s + len(x)] = x
         return best, best - second, counts, ids
 
-    def nbest_segment(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of one segment, best first; fewer where there aren't as many."""
-        text = "".join(SPACE if c == " " else "\0" if c == SPACE else c for c in segment)
-        m = len(text)
-        arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(m + 1)]
+    def _lattice(self, segment: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+        """The arcs that end at each place of one segment, as (start, score, piece; -1 for bytes), longest first, and the best score up to each place."""
+        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.where(codes == 0x20, ord(SPACE), np.where(codes == ord(SPACE), 0, codes))
+        m = len(codes)
+        arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(m + 1)]
+        start, node = np.arange(m), np.zeros(m, np.int32)
+        by_length = []
+        for n in range(min(self.longest, m)):
+            here = start + n < m
+            start, node = start[here], node[here]
+            node = self._step(node, codes[start + n])
+            start, node = start[node > 0], node[node > 0]
+            if not len(start):
+                break
+            ends = self.piece[node] >= 0
+            by_length.append((n + 1, start[ends], self.piece[node[ends]]))
+        whole = np.zeros(m, bool)
+        for n, start, piece in reversed(by_length):
+            if n == 1:
+                whole[start] = True
+            for a, i, x in zip(start.tolist(), piece.tolist(), self.score[piece].tolist(), strict=True):
+                arcs[a + n].append((a, x, i))
+        for a in np.flatnonzero(~whole).tolist():
+            arcs[a + 1].append((a, self.unknown, -1))
         fwd = [0.0] + [_NONE] * m
         for end in range(1, m + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = self.ids.get(text[start:end])
-                if i is not None:
-                    arcs[end].append((start, float(self.score[i]), (i,)))
-                elif end - start == 1:
-                    arcs[end].append((start, self.unknown, tuple(self.byte_ids[b] for b in segment[start].encode("utf-8", "surrogatepass"))))
-            for start, s, _ in arcs[end]:
-                fwd[end] = max(fwd[end], fwd[start] + s)
-        found, tick = [], 0
-        heap = [(-fwd[m], 0, m, 0.0, None)]
+            fwd[end] = max([fwd[a] + x for a, x, _ in arcs[end]])
+        return arcs, fwd
+
+    def _own(self, segment: str, start: int, piece: int) -> tuple[int, ...]:
+        return (piece,) if piece >= 0 else tuple(self.byte_ids[b] for b in segment[start].encode("utf-8", "surrogatepass"))
+
+    def nbest_segment(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best (score, ids) of one segment, best first; fewer where there aren't as many.
+
+        The forward scores are what the rest of a path costs exactly, so paths leave the queue best first. Of equally good ones
+        the one nearest its end goes on, and no place is left by more than n paths, as no more can be among the n
+        best: the time is linear in the segment whatever it repeats.
+        """
+        arcs, fwd = self._lattice(segment)
+        m = len(segment)
+        found: list[tuple[float, tuple[int, ...]]] = []
+        left = [0] * (m + 1)
+        tick = 0
+        heap: list[tuple] = [(-fwd[m], m, 0, 0.0, None)]
         while heap and len(found) < n:
-            cost, _, at, tail, path = heapq.heappop(heap)
+            cost, at, _, tail, path = heapq.heappop(heap)
+            if left[at] >= n:
+                continue
+            left[at] += 1
             if at == 0:
                 ids: list[int] = []
                 while path:
-                    ids += path[0]
-                    path = path[1]
+                    start, piece, path = path
+                    ids += self._own(segment, start, piece)
                 found.append((-cost, tuple(ids)))
                 continue
-            for start, s, i in arcs[at]:
-                tick += 1
-                heapq.heappush(heap, (-(fwd[start] + s + tail), tick, start, s + tail, (i, path)))
+            for start, x, piece in arcs[at]:
+                if left[start] < n:
+                    tick += 1
+                    heapq.heappush(heap, (-(fwd[start] + x + tail), start, tick, x + tail, (start, piece, path)))
         return found
 
     def encode(self, texts: list[str | None], n: int = 1) -> Iterator[tuple[np.ndarray, list[tuple[float, dict[int, tuple[int, ...]]]], np.ndarray]]:
@@ -198,20 +246,26 @@ class Pieces:
         order = sorted(range(len(names)), key=lambda i: len(names[i]))
         score, second, counts = np.empty(len(names)), np.empty(len(names)), np.empty(len(names), np.int64)
         parts: list[np.ndarray] = []
+        listed: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         a = 0
         while a < len(order):
-            b, most = a, 0
-            while b < len(order) and (b == a or (b - a + 1) * len(names[order[b]]) <= _CELLS):
+            b = a
+            while b < len(order) and (b == a or (b - a + 1) * len(names[order[b]]) <= _CELLS and len(names[order[b]]) <= _LONG):
                 b += 1
             pick = order[a:b]
-            score[pick], second[pick], counts[pick], ids = self._best([names[i] for i in pick])
-            parts.append(ids)
+            if len(names[pick[-1]]) > _LONG:
+                (i,) = pick
+                (best, ids), *others = listed[i] = self.nbest_segment(names[i], max(n, 2))
+                score[i], second[i], counts[i] = best, best - others[0][0] if others else np.inf, len(ids)
+                parts.append(np.array(ids, np.int32))
+            else:
+                score[pick], second[pick], counts[pick], ids = self._best([names[i] for i in pick])
+                parts.append(ids)
             a = b
         starts = np.empty(len(names), np.int64)
         if order:
             starts[order] = np.cumsum(counts[order]) - counts[order]
         ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        listed: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         for segs in cut:
             s = np.array(segs, np.int64)
             c = counts[s]
@@ -250,8 +304,8 @@ def encode_texts(df: DataFrame, model: str, n: int = 3, keys: tuple[str, ...] =
     it equals the text's own digest if nothing was lost. nbest_ids_sha256 has a digest of the little-endian
     32-bit ids of each of the n best segmentations. A null text is encoded as an empty one: no ids, score 0,
     one segmentation. Repeated rows stay; key columns are passed on as they are, other columns ignored; an
-    empty table gives no rows. with_ids leaves the ids out where only figures are wanted. A task holds about 200
-    bytes for each character of the longest run without spaces. The model file is read by the driver and sent with the tasks.
+    empty table gives no rows. with_ids leaves the ids out where only figures are wanted. A task holds up to 2 KB
+    for each character of the longest run without spaces. The model file is read by the driver and sent with the tasks.
     """
     ship(df.sparkSession)
     raw = Path(model).read_bytes()
