@@ -1,8 +1,9 @@
 """Token counts from an exact histogram of encoded lengths.
 
-Documents are encoded once, in Arrow batches; all that is shuffled is one row per length and task. Suffix
-sums over the histogram answer, for every context limit, how many documents are longer, how many tokens
-there are in all and how many are left when documents are cut at the limit.
+Documents are encoded once, in Arrow batches; all that is shuffled is one row per length and task. The
+histogram, a row for each length, is written to the shared folder, and all else is read from it. Suffix sums
+over the histogram answer, for every context limit, how many documents are longer, how many tokens there are in
+all and how many are left when documents are cut at the limit.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship
 
 #: Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,24 +45,25 @@ def token_lengths(df: DataFrame, vocabulary: str, text_col: str = "text", patter
     ship(df.sparkSession)
     packed = df.sparkSession.sparkContext.broadcast(zlib.compress(raw))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(packed.value, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"n_tokens": [len(enc.encode_ordinary(x)) for x in pdf["text"]]}, dtype="int64")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(x.as_py())) for x in b.column(0)], pa.int64())], ["n_tokens"])
 
     texts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInPandas(encode, "n_tokens long")
+    return texts.mapInArrow(encode, "n_tokens long")
 
 
-def length_histogram(lengths: DataFrame, chunk: int = 4096) -> DataFrame:
+def length_histogram(lengths: DataFrame, chunk: int = 64) -> DataFrame:
     """One row per length that occurs: n_tokens, n_docs, and what holds at a context limit of that length.
 
     docs_at_least counts documents of this length or longer, tokens_at_least their tokens; total_docs and
     total_tokens cover all; truncated_tokens is the sum of min(length, this length); quantile is the share of
-    documents of at most this length. All are exact. Suffix sums are taken within chunks of lengths, and
-    over the sums of chunks, so no task has to see all lengths. An empty table gives no rows.
+    documents of at most this length. All are exact. Suffix sums are taken within chunks of `chunk` lengths, and
+    in one task over the sums of chunks, which has a row for each chunk: the longest length / `chunk` at most,
+    whatever the number of documents. An empty table gives no rows.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
     hist = hist.withColumn("chunk", F.floor(F.col("n_tokens") / chunk)).withColumn("n", F.col("n_tokens") * F.col("n_docs"))
     sums = hist.groupBy("chunk").agg(F.sum("n_docs").alias("chunk_docs"), F.sum("n").alias("chunk_tokens"))
     above = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)

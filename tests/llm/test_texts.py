@@ -196,3 +196,53 @@ def test_native_operators_run_no_python(spark):
     for df in (chat.format_chats(conv), merkle.compare_with_edit(spark.read.parquet(f"{SF}/documents.parquet"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def k_best(p, text, k):
+    """The k best scores of cutting a text, by keeping the k best at each place."""
+    text = (" " + text).replace(" ", pieces.SPACE)
+    best = [[0.0]] + [[] for _ in text]
+    for end in range(1, len(text) + 1):
+        cand = []
+        for start in range(max(0, end - 16), end):
+            i = p.ids.get(text[start:end])
+            if i is not None or end == start + 1:
+                cand += [s + (p.unknown if i is None else p.score[i]) for s in best[start]]
+        best[end] = sorted(cand, reverse=True)[:k]
+    return best[-1]
+
+
+@pytest.mark.parametrize("text", ["a" * 40, "a" * 700, "ha" * 400, "-" * 600, "x" * 513, "中" * 520, "z" * 511])
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_runs_of_one_letter_as_k_best(vocabulary, text, n):
+    ((ids, top, offsets),) = list(vocabulary.encode([text], n))
+    assert [s for s, _ in top] == k_best(vocabulary, text, n)
+    cuts = [tuple(pieces.swap(ids, offsets, change)) for _, change in top]
+    assert len(set(cuts)) == len(cuts) and all(vocabulary.decode(list(c)) == text for c in cuts)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "ha" * 50_000, "0123456789abcdef" * 6_000])
+def test_long_runs_take_linear_time(vocabulary, text):
+    import time
+
+    def seconds(t):
+        began = time.process_time()
+        ((ids, top, _),) = list(vocabulary.encode([t], 3))
+        assert vocabulary.decode(ids.tolist()) == t and len(top) == 3
+        return time.process_time() - began
+
+    quarter = seconds(text[: len(text) // 4])
+    assert seconds(text) < 5 + 12 * quarter
+
+
+def test_scores_of_the_file_count_unless_they_are_ranks(vocabulary):
+    p = pieces.Pieces(["", "▁", "a", "b", "ab", *[""] * 256], {b: 5 + b for b in range(256)}, [0, -1.0, -2.0, -2.5, -5.5, *[0] * 256])
+    ((ids, top, _),) = list(p.encode(["ab"], 2))
+    assert ids.tolist() == [1, 2, 3] and [s for s, _ in top] == [-5.5, -6.5] and p.unknown == -15.5
+    assert vocabulary.score[261] == pytest.approx(-np.log(4.0), abs=1e-6)  # the third piece of a file of ranks
+
+
+def test_documents_are_encoded_once(spark):
+    """What length_histogram() returns reads the written histogram, not the texts."""
+    out = tokencount.length_histogram(tokencount.token_lengths(oddrows.docs(spark), RANKS))
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
