@@ -1,10 +1,14 @@
 """HTML extraction by tag-path ratios.
 
-A page becomes blocks of text, each with the path of tags that leads to it. Text length, punctuation and
-linked text are summed per path; their ratios to the path's number of blocks are fused, smoothed over
-neighbouring blocks and thresholded. The blocks that stand out are the article, with what lies between them in
-the elements that hold it. What lies in parts that are never article (menus, footers, adverts, forms, scripts,
-comments and the like) takes no part.
+A page becomes blocks of text, each with the path of tags and classes that leads to it from the root. Length,
+sentence marks and linked characters of the text are summed per path; the ratios of these sums to the path's
+number of blocks are fused into one, which is smoothed over neighbouring blocks and weighed by what marks the
+path. Two thresholds, shares of the page's greatest ratio, select the content: blocks above the upper one are
+the article, and so are blocks above the lower one that lie among those, such as headings, lists and captions.
+
+Only elements whose names or roles say that they are no article (nav, footer, form, script and so on), and hidden
+ones, take no part. A class or id that names something else (a menu, an advert, comments) lowers its path's
+ratio, an <article> or <main> raises it; neither decides by itself.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +42,21 @@ SIBLINGS = {
 SCOPES = frozenset("ul ol dl table select article aside section div main body".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 
-#: Elements that are no article, and words in class, id or role that mark such.
-NEVER = frozenset("nav footer aside form script style noscript template button select dialog menu head iframe svg textarea object canvas audio video search".split())
+#: Elements and roles that are no article, and words that, as the last of a class or id, name what is none.
+NEVER = frozenset("nav footer aside form script style noscript template button select head iframe svg textarea object canvas audio video search".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification outbrain pager pagination paywall popup promo promos promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
-COMMENT_HINTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that say how an element is laid out, not what it is; they are passed over when its last word is looked for.
+_LAYOUT = frozenset("area bar block box button buttons container form group holder inner item items link links list module outer panel row section slot unit wrap wrapper zone".split())
+#: Elements in which a block may lie within the container of the text around it.
+_WITHIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd menu blockquote figure figcaption table caption tbody thead tfoot tr td th pre address details summary hgroup header".split())
+
+#: What a path's ratio is multiplied by where it is marked as an article, and for each element that a hint is about.
+ARTICLE, HINTED = 1.5, 0.05
+#: Shares of the page's greatest ratio above which a block is the article, and above which it is if it lies within.
+UPPER, LOWER = 0.35, 2e-5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"<]*+\"|'[^'<]*+'|[^'\">]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -51,110 +65,99 @@ _HINT_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 #: Words after which a hint says what the element has or lacks, not what it is.
 _ABOUT = frozenset("has have no not with without".split())
 _MARKS = re.compile(r"[.,;:!?…。、，！？]")
+#: How a copyright notice begins; outside an article such a block counts as hinted.
+_NOTICE = re.compile(r"(?:copyright\s*)?(?:©|\(c\))|copyright\s*\d{4}", re.I)
 
 
-def _hints(value: str) -> set[str]:
-    """The hints among the words of a class, id or role, but for those that follow has, no or with in their name."""
-    found = set()
+def _hinted(value: str) -> bool:
+    """A class or id is named after what is no article: its last word, but for layout and numbers, is a hint that no has, no or with precedes."""
     for name in value.split():
-        for w in map(str.lower, _HINT_WORDS.findall(name)):
-            if w in _ABOUT:
-                break
-            if w in HINTS:
-                found.add(w)
-    return found
+        ws = [w.lower() for w in _HINT_WORDS.findall(name)]
+        while len(ws) > 1 and (ws[-1] in _LAYOUT or ws[-1].isdigit()):
+            ws.pop()
+        if ws and ws[-1] in HINTS and not _ABOUT.intersection(ws[:-1]):
+            return True
+    return False
 
 
-def _reading(attrs: str) -> tuple[str, frozenset[str], bool]:
-    """Of an element's attributes: its class for the path, the hints in them, whether it is hidden."""
-    name, found, hidden = "", set(), False
+def _reading(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Of an element's attributes: its class for the path, whether there is a hint in them, whether they take it out."""
+    name, hinted, out, opened = "", False, False, False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key == "style":
-            hidden |= bool(_HIDDEN.search(value))
+            out |= bool(_HIDDEN.search(value))
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            hidden = True
-        elif key in ("class", "id", "role"):
-            found |= _hints(value)
-            name = name or value
-    return name, frozenset(found), hidden
+            out = True
+        elif key == "role":
+            out |= not ROLES.isdisjoint(value.lower().split()) and tag not in ("article", "main")
+        elif key == "open":
+            opened = True
+        elif key in ("class", "id"):
+            hinted |= _hinted(value)
+            if key == "class":
+                name = value
+    return name, hinted, out or tag == "dialog" and not opened
+
+
+@dataclass(frozen=True)
+class Block:
+    """A run of text without a block element's start or end in it."""
+
+    text: str
+    element: int  # the innermost block element
+    linked: int  # characters in links
+    path: int
+    weight: float  # of the path's marks
+    article: bool
 
 
 class Page:
     """Blocks and elements of one page."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.out, self.article = [-1], [""], [0], [False], [False]
-        self.hints: dict[int, frozenset[str]] = {}  # of elements that may be out for them
+        self.parent, self.tag, self.path, self.out, self.article, self.weight = [-1], [""], [0], [False], [False], [1.0]
         self.paths: dict[tuple[int, str], int] = {}
-        self.blocks: list[tuple[str, int, int, int]] = []  # text, element, linked characters, path
-        self.owners: list[int] = []  # the innermost element of each block
+        self.blocks: list[Block] = []
         self.stack = [0]
         self.text: list[str] = []
         self.linked, self.links = 0, 0
         self.open_tags: dict[str, int] = {}
         self._read(source)
         self._close_block()
-        self._leave_out()
 
     def _close_block(self) -> None:
         if self.text:
-            if text := " ".join("".join(self.text).split()):
+            top = self.stack[-1]
+            if not self.out[top] and (text := " ".join("".join(self.text).split())):
                 at = next((e for e in reversed(self.stack) if self.tag[e] in BLOCK), 0)
-                if not self.out[self.stack[-1]]:
-                    self.blocks.append((text, at, min(self.linked, len(text)), self.path[at]))
-                    self.owners.append(self.stack[-1])
+                notice = HINTED if not self.article[at] and _NOTICE.match(text) else 1.0
+                self.blocks.append(Block(text, at, min(self.linked, len(text)), self.path[at], self.weight[top] * notice, self.article[at]))
             self.text, self.linked = [], 0
 
-    def _leave_out(self) -> None:
-        """Leave out what lies in elements with hints, but for those that hold most of the page's own text.
-
-        An advert may be longer than a short article: with an <article> or <main> beside it, an element's hints
-        count. Comments may be most of a page; an element with their hints stays only if no block would be left.
-        """
-        if not self.hints or not self.blocks:
-            return
-        own, marked = [0] * len(self.tag), [0] * len(self.tag)
-        for (text, _, linked, _), e in zip(self.blocks, self.owners, strict=True):
-            own[e] += len(text) - linked
-        for e in range(len(own) - 1, 0, -1):
-            if self.article[e] and not self.article[self.parent[e]]:
-                marked[e] = own[e]
-            own[self.parent[e]] += own[e]
-            marked[self.parent[e]] += marked[e]
-        for strict in (True, False):
-            out = list(self.out)
-            for e in range(1, len(out)):
-                hints = self.hints.get(e)
-                most = 2 * own[e] > own[0] and (self.article[e] or marked[e] == marked[0]) and not (strict and hints and hints & COMMENT_HINTS)
-                out[e] = out[e] or out[self.parent[e]] or bool(hints) and not most
-            left = [not out[e] for e in self.owners]
-            if any(left):
-                break
-        self.out, self.blocks = out, [b for b, ok in zip(self.blocks, left, strict=True) if ok]
-
     def _open(self, tag: str, attrs: str) -> None:
         top = self.stack[-1]
-        name, hints, hidden = _reading(attrs) if attrs.strip() else ("", frozenset(), False)
-        inside = self.article[top]
-        if tag in ("article", "main"):
-            out, hints = False, hints & COMMENT_HINTS
-        elif tag in ("html", "body"):
-            out, hints = False, frozenset()
-        else:
-            out = tag in NEVER or tag == "header" and not inside
-        if hints:
-            self.hints[len(self.tag)] = hints
+        name, hinted, out = _reading(tag, attrs) if attrs.strip() else ("", False, tag == "dialog")
+        article = tag in ("article", "main")
+        if tag in ("html", "body"):
+            hinted, out = False, False
         key = (self.path[top], f"{tag}.{name}")
         self.parent.append(top)
         self.tag.append(tag)
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
-        self.out.append(self.out[top] or out or hidden)
-        self.article.append(inside or tag in ("article", "main"))
+        self.out.append(self.out[top] or out or tag in NEVER or tag == "header" and not self.article[top])
+        self.weight.append(self.weight[top] * (HINTED if hinted else 1.0) * (ARTICLE if article and not self.article[top] else 1.0))
+        self.article.append(self.article[top] or article)
         self.stack.append(len(self.tag) - 1)
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         self.links += tag == "a"
 
+    def home(self, element: int) -> int:
+        """The container that a block's element lies in."""
+        while self.tag[element] in _WITHIN:
+            element = self.parent[element]
+        return element
+
     def _pop_to(self, depth: int) -> None:
         for e in self.stack[depth:]:
             self.links -= self.tag[e] == "a"
@@ -215,57 +218,58 @@ class Page:
         self._say(source[at:].partition("<!--")[0])
 
 
-def path_ratios(blocks: list[tuple[str, int, int, int]]) -> list[float]:
-    """The fused, smoothed ratio of each block's path."""
-    sums: dict[int, list[float]] = {}
-    for text, _, linked, path in blocks:
-        s = sums.setdefault(path, [0, 0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(_MARKS.findall(text))
-        s[2] += linked
-        s[3] += 1
-    ratio = {p: (n / k) ** 0.5 * (1 + marks / k) * (1 - links / n) ** 2 for p, (n, marks, links, k) in sums.items()}
-    v = [ratio[b[3]] for b in blocks]
-    near = [v[0], *v, v[-1]] if v else []
-    return [(x * (0.25 * near[i] + 0.5 * x + 0.25 * near[i + 2])) ** 0.5 for i, x in enumerate(v)]
+def path_sums(blocks: list[Block]) -> dict[int, tuple[int, int, int, int]]:
+    """Of each path: characters, sentence marks, linked characters and blocks."""
+    sums: dict[int, tuple[int, int, int, int]] = {}
+    for b in blocks:
+        n, marks, linked, k = sums.get(b.path, (0, 0, 0, 0))
+        sums[b.path] = (n + len(b.text), marks + len(_MARKS.findall(b.text)), linked + b.linked, k + 1)
+    return sums
 
 
-def main_text(source: str | None, threshold: float = 0.3) -> str:
+def path_ratios(blocks: list[Block]) -> list[float]:
+    """The fused ratio of each block's path, smoothed over its neighbours on the page and weighed.
+
+    Length and sentence marks a block each go from 0 to 1, so one very long block doesn't put all others in the shade; a path
+    that holds little of the page's text counts less. Linked text counts against a path, in an article less so.
+    """
+    sums = path_sums(blocks)
+    total = sum(n for n, *_ in sums.values())
+    fused = {p: (n / (n + 80 * k) * (marks + 0.3 * k) / (marks + 1.5 * k)) ** 1.5 * (n / total) ** 0.25 for p, (n, marks, _, k) in sums.items()}
+    x = [fused[b.path] for b in blocks]
+    most = max(x, default=0)
+    near = [0.0, *x, 0.0]
+    out = []
+    for i, b in enumerate(blocks):
+        n, _, linked, _ = sums[b.path]
+        words_of_links = 1 - 0.7 * linked / n if b.article else (1 - linked / n) ** 4
+        smooth = (x[i] * (0.25 * near[i] + 0.5 * x[i] + 0.25 * near[i + 2])) ** 0.5
+        out.append((smooth if x[i] < most else x[i]) * b.weight * words_of_links)
+    return out
+
+
+def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, one to a line; empty for a null or empty page."""
     if not source:
         return ""
     page = Page(source)
     blocks = page.blocks
-    if not blocks:
+    ratio = path_ratios(blocks)
+    most = max(ratio, default=0)
+    if not most:
         return ""
-    fused = path_ratios(blocks)
-    total = sum(len(b[0]) for b in blocks)
-    least = threshold * sum(f * len(b[0]) for f, b in zip(fused, blocks, strict=True)) / total
-    chosen = [f >= least for f in fused]
-    held = [0] * len(page.tag)
-    for (text, at, *_), ok in zip(blocks, chosen, strict=True):
-        held[at] += len(text) * ok
-    for e in range(len(held) - 1, 0, -1):
-        held[page.parent[e]] += held[e]
-    whole = held[0]
-    inside = [False] * len(page.tag)
-    articles = [e for e in range(1, len(held)) if page.article[e] and not page.article[page.parent[e]] and not page.out[e]]
-    marked = [e for e in articles if held[e]]
-    if 2 * sum(held[e] for e in marked) < whole:
-        marked = []
-    for e in marked:
-        inside[e] = True
-    if not marked:  # the innermost element that holds all chosen blocks
-        top = 0
-        for e in range(1, len(held)):
-            if page.parent[e] == top and held[e] == whole and page.tag[e] not in ("p", "li", "td", "tr", "h1"):
-                top = e
-        inside[top] = True
-    for e in range(1, len(inside)):
-        inside[e] = inside[e] or inside[page.parent[e]]
-    # without a marked article its title may stand above the element that holds the text
-    wanted = [ok or (inside[e] and (page.article[e] or 2 * linked <= len(text))) or (not marked and page.tag[e] == "h1") for (text, e, linked, _), ok in zip(blocks, chosen, strict=True)]
-    kept = [b[0] for b, ok in zip(blocks, wanted, strict=True) if ok]
+    sure = [r >= UPPER * most for r in ratio]
+    homes = {page.home(b.element) for b, ok in zip(blocks, sure, strict=True) if ok}
+    below = [e in homes and page.tag[e] not in ("", "html", "body") for e in range(len(page.tag))]
+    for e in range(1, len(below)):
+        below[e] = below[e] or below[page.parent[e]]
+    least_weight = min(b.weight for b, ok in zip(blocks, sure, strict=True) if ok)
+    first, last = sure.index(True), len(sure) - 1 - sure[::-1].index(True)
+    kept = []
+    for i, b in enumerate(blocks):
+        among = first < i < last or page.home(b.element) in homes or below[b.element] or page.tag[b.element] == "h1"
+        if sure[i] or among and ratio[i] >= LOWER * most and (b.weight >= least_weight or b.weight >= 1):
+            kept.append(b.text)
     return "\n".join(kept)
 
 

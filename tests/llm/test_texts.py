@@ -246,3 +246,89 @@ def test_documents_are_encoded_once(spark):
     """What length_histogram() returns reads the written histogram, not the texts."""
     out = tokencount.length_histogram(tokencount.token_lengths(oddrows.docs(spark), RANKS))
     assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def true_article(page):
+    """The article of the driver's pages, cut out by its tags, in plain steps."""
+    import html
+    import re
+
+    inside = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    inside = re.sub(r"</?(p|h1|li|ul|div)\b[^>]*>", "\n", inside).replace("<br>", " ")
+    lines = (" ".join(html.unescape(x).split()) for x in re.sub(r"<[^>]*>", "", inside).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_ratios_select_the_article(spark, monkeypatch):
+    """With or without its tag, the article of every page is found; with all ratios equal it isn't."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").filter("html IS NOT NULL").collect()]
+    want = [true_article(p) for p in pages]
+    unmarked = [p.replace("<article>", "<div class=c1>").replace("</article>", "</div>") for p in pages]
+    assert [extract.main_text(p) for p in pages] == want
+    assert [extract.main_text(p) for p in unmarked] == want
+    monkeypatch.setattr(extract, "path_ratios", lambda blocks: [1.0] * len(blocks))
+    for p, u, w in zip(pages, unmarked, want, strict=True):
+        assert extract.main_text(p) != w and extract.main_text(u) != w
+
+
+SAID = "Shares rose to 12 dollars on Monday, traders said."
+
+
+@pytest.mark.parametrize("holder", ["article", "div class=x"])
+@pytest.mark.parametrize("element", ["p class='share-price'", "p id='search-results'", "p class='comment-on-law'", "section class='related-work'", "dialog open", "menu"])
+def test_names_alone_take_nothing_out(holder, element):
+    tag, end = element.split()[0], holder.split()[0]
+    said = f"<{element}>{'<li>' * (tag == 'menu')}{SAID}</{tag}>"
+    p = [f"<p>{x}</p>" for x in PARAGRAPHS[:3]]
+    assert extract.main_text(f"<body><{holder}>{p[0]}{said}{p[1]}{p[2]}</{end}></body>") == "\n".join([PARAGRAPHS[0], SAID, *PARAGRAPHS[1:3]])
+    assert extract.main_text(f"<body><{holder}>{''.join(p)}{said}</{end}></body>") == "\n".join([*PARAGRAPHS[:3], SAID])
+
+
+@pytest.mark.parametrize("text", ["Copyright 2024 Example Inc. All rights reserved.", "© 2024 Example", "Terms and contact"])
+@pytest.mark.parametrize("k", [3, 10])
+def test_unmarked_footers_stay_out(text, k):
+    w = "".join(f"<p>{x}</p>" for x in PARAGRAPHS[:k])
+    want = "\n".join(["A title", *PARAGRAPHS[:k]])
+    for page in (f"<div class=c1><h1>A title</h1>{w}</div><div class='c3'><p>{text}</p></div>", f"<div id=all><div class=c1><h1>A title</h1>{w}</div><div class=c3><p>{text}</p></div></div>", f"<h1>A title</h1>{w}<div class=c3><p>{text}</p></div>"):
+        assert extract.main_text(f"<body>{page}</body>") == want
+
+
+def test_short_blocks_within_the_article_stay():
+    w = "".join(f"<p>{x}</p>" for x in PARAGRAPHS[:5])
+    inner = f"<h1>A title</h1>{w}<h2>Things</h2><ul><li>one thing</li><li>two</ul><p>{PARAGRAPHS[6]}</p><table><tr><td>a<td>12</table>"
+    want = "\n".join(["A title", *PARAGRAPHS[:5], "Things", "one thing", "two", PARAGRAPHS[6], "a", "12"])
+    around = "<div class=m><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div>{}<div class=r><a href=q>Read this other one</a></div>"
+    assert extract.main_text(around.format(f"<div class=c1>{inner}</div>")) == want
+    assert extract.main_text(around.format(f"<article>{inner}<div class=ad>Buy it now, at once. Really. Do.</div></article>")) == want
+
+
+def test_path_sums_as_a_plain_parser_has_them():
+    """Of well-formed pages: text and marks of each path of tags."""
+    import re
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at, self.n, self.marks, self.linked, self.k = [], Counter(), Counter(), Counter(), Counter()
+
+        def handle_starttag(self, tag, attrs):
+            self.at.append(tag)
+
+        def handle_endtag(self, tag):
+            self.at.pop()
+
+        def handle_data(self, data):
+            if text := " ".join(data.split()):
+                path = tuple(t for t in self.at if t != "a")
+                self.n[path] += len(text)
+                self.marks[path] += len(re.findall(r"[.,;:!?]", text))
+                self.linked[path] += len(text) * ("a" in self.at)
+                self.k[path] += 1
+
+    page = f"<html><body><div>{WRITTEN}<ul><li>one, two</li><li><a>three</a></li></ul></div><section>{WRITTEN[:200].rpartition('<p>')[0]}<h2>Head.</h2></section></body></html>"
+    plain = Plain()
+    plain.feed(page)
+    got = sorted(extract.path_sums(extract.Page(page).blocks).values())
+    assert got == sorted((plain.n[p], plain.marks[p], plain.linked[p], plain.k[p]) for p in plain.n) and len(got) == 4
