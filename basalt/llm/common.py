@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import ship
 
-__all__ = ["drop", "keep_rows", "materialize", "prepare", "release", "shared_dir", "ship", "table"]
+__all__ = ["drop", "free_name", "keep_rows", "materialize", "prepare", "release", "shared_dir", "ship", "table"]
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}  # of each application: its own folder, and the scratch tables it has left
@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores after it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 

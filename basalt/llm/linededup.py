@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, free_name, materialize
 
 #: Hashes of boilerplate lines that may be sent to every task: 8 MB of them.
 BROADCAST_LINES = 1_000_000
@@ -38,6 +38,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
     Sketches of sites merge per line hash, on the map side first. A sketch's standard error is about
     1.04 / sqrt(2 ** lg_k); lines whose estimate is within `sigmas` of these from the threshold are counted
     exactly, all others are decided by the sketch. A null site is a site of its own; blank lines never count.
+    The result is a table in the shared folder.
     """
     lines = lines_of(docs, text_col, site_col)
     band = sigmas * 1.04 / (2**lg_k) ** 0.5
@@ -52,28 +53,30 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
         .agg(F.count(F.lit(1)).alias("n_sites"))
         .filter(F.col("n_sites") >= min_sites)
     )
-    return spread.filter(F.col("n_sites") > high).unionByName(exact)
+    out = materialize(spread.filter(F.col("n_sites") > high).unionByName(exact))
+    drop(spread)
+    return out
 
 
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = 10,
-    max_share: float | None = 0.7,
+    max_share: float | None = None,
     text_col: str = "text",
     site_col: str = "source",
     id_col: str = "doc_id",
     **sketch: float,
 ) -> DataFrame:
-    """docs, with boilerplate lines taken out of text_col, and a column lines_removed (long).
-
-    A document of whose trimmed characters more than max_share are boilerplate lines is a copy rather than a
-    page around content of its own: it stays as it is, for near-duplicate removal to judge. With max_share None
-    the share doesn't matter: only a document all of whose lines are boilerplate stays. So no document is
-    emptied. A null text stays null; an empty table stays empty; repeated rows are treated alike and all kept;
-    other columns pass through whatever their names. Only the numbers of removed lines are joined to the
-    documents, so the text of a document is shuffled once at most.
+    """docs, with boilerplate lines taken out of text_col, and a last column with their number (long).
+
+    That column is called lines_removed, with underscores after it where docs has such a column. A document stays as
+    it is where nothing of its own would be left: all its lines that aren't blank are boilerplate. It is a copy
+    rather than a page around content, for near-duplicate removal to judge. max_share also keeps documents of whose
+    trimmed characters more than that share are boilerplate. A null text stays null; an empty table stays empty;
+    repeated rows are treated alike and all kept; other columns pass through whatever their names. Only the numbers
+    of removed lines are joined to the documents, so the text of a document is shuffled once at most.
     """
-    lines = materialize(boilerplate(docs, min_sites, text_col, site_col, **sketch).select("line_hash"))
+    lines = boilerplate(docs, min_sites, text_col, site_col, **sketch).select("line_hash")
     if lines.count() <= BROADCAST_LINES:
         lines = F.broadcast(lines)
     text = F.col(text_col).cast("string")
@@ -93,4 +96,4 @@ def remove_boilerplate(
         act = F.col("gone").isNotNull() & (F.col("gone_chars") <= max_share * _trimmed_chars("x"))
     rest = F.array_join(F.filter(F.split("x", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     out = [F.when(act, rest).otherwise(F.col("x")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return rows.select(*out, F.when(act, F.size("gone")).otherwise(0).cast("long").alias("lines_removed"))
+    return rows.select(*out, F.when(act, F.size("gone")).otherwise(0).cast("long").alias(free_name("lines_removed", docs.columns)))

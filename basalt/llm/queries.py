@@ -104,7 +104,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKE
     return tokencount.length_histogram(tokencount.token_lengths(table(spark, sf_dir, "documents"), vocabulary))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str, min_sites: int = 10, max_share: float | None = 0.7) -> DataFrame:
+def op7_line_dedup(spark: SparkSession, sf_dir: str, min_sites: int = 10, max_share: float | None = None) -> DataFrame:
     out = linededup.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites, max_share)
     return out.select("doc_id", "lines_removed", F.char_length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -116,7 +116,7 @@ WITH l AS (
 b AS (SELECT norm FROM l WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT coalesce(source, '')) >= 10),
 m AS (SELECT l.*, b.norm IS NOT NULL AS gone FROM l LEFT JOIN b USING (norm)),
 d AS (
-  SELECT doc_id, sum(CASE WHEN gone THEN length(norm) ELSE 0 END) <= 0.7 * sum(length(norm)) AS act, count(*) FILTER (gone) AS n_gone,
+  SELECT doc_id, bool_or(NOT gone AND norm <> '') AS act, count(*) FILTER (gone) AS n_gone,
     coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '') AS rest
   FROM m GROUP BY doc_id)
 SELECT doc_id, CASE WHEN act THEN n_gone ELSE 0 END AS lines_removed,

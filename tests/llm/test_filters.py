@@ -107,7 +107,7 @@ def test_line_dedup(spark):
     by = {r.doc_id: r for r in out.collect()}
     assert by[3].text == "Own text of document 3, which is long enough to be its own.\n\nlast 3" and by[3].lines_removed == 1
     assert by[0].lines_removed == 1 and foot not in by[None].text
-    assert by[100].text == f"{foot}\nshort"  # mostly boilerplate: a copy, which stays
+    assert by[100].text == "short"  # mostly boilerplate, yet with a line of its own
     assert (by[101].text, by[102].text, by[103].text) == (None, "", "\n\n")
     assert linededup.remove_boilerplate(docs, min_sites=14).agg(F.sum("lines_removed")).first()[0] == 0
     assert linededup.boilerplate(docs, min_sites=13).first()["n_sites"] == 13
@@ -126,10 +126,22 @@ def test_line_dedup_whatever_the_share(spark):
         assert not any(foot in by[i] for i in range(12))
 
 
-def test_line_dedup_whatever_the_share_as_sql(same_rows):
-    share = "sum(CASE WHEN gone THEN length(norm) ELSE 0 END) <= 0.7 * sum(length(norm)) AS act"
-    assert share in OP7_SQL
-    same_rows(lambda spark, sf: op7_line_dedup(spark, sf, max_share=None), OP7_SQL.replace(share, "bool_or(NOT gone AND norm <> '') AS act"))
+def test_line_dedup_by_share_as_sql(same_rows):
+    whole = "bool_or(NOT gone AND norm <> '') AS act"
+    assert whole in OP7_SQL
+    same_rows(lambda spark, sf: op7_line_dedup(spark, sf, max_share=0.7), OP7_SQL.replace(whole, "sum(CASE WHEN gone THEN length(norm) ELSE 0 END) <= 0.7 * sum(length(norm)) AS act"))
+
+
+def test_line_dedup_of_a_table_with_its_own_names(spark):
+    foot = "All rights reserved by nobody in particular."
+    rows = [(i, f"own {i}\n{foot}", f"site{i}", "a", "b", i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lines_removed string, LINES_REMOVED_ string, n_chars int")
+    out = linededup.remove_boilerplate(docs, min_sites=10)
+    assert out.columns == [*docs.columns, "lines_removed__"]
+    assert {(r.text, r.lines_removed, r.lines_removed__) for r in out.collect()} == {(f"own {i}", "a", 1) for i in range(12)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    assert {(r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()} == {(f"own {i}", len(f"own {i}")) for i in range(12)}
 
 
 def test_line_dedup_far_above_the_threshold(spark):
