@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Neighbours are never gathered: a round takes the least neighbour by aggregation and joins it back. Each
     round's edges are written to the shared folder, so a lost executor costs one round at most. Rounds grow
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. The result is a table in the shared folder.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
@@ -42,4 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
     tails = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return tails.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(tails.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    drop(now)
+    return out

@@ -12,8 +12,10 @@ two of them were tried against the same member, their differences from it tell h
 sets differ in is what just one of their differences holds. If one of the two is not linked with that member,
 the differences of a pair that is alike must share (1 - c) / 2 of the smaller one's elements or more, with c =
 (1 - similarity) / (1 + similarity); so they are joined on the rarest elements of one (a prefix) and all of the
-other, and just the pairs that are alike come out. The other pairs that share a list are confirmed on full
-sets. So no link between different components is lost, and large groups don't pair all their members.
+other, and just the pairs that are alike come out. Other pairs that share a list of up to PAIRED classes are
+confirmed on full sets one by one; classes of longer lists, such as of documents that have a passage in common and
+nothing else, are joined in the same way on the rarest elements of their whole sets, which such documents don't
+share. So no link between different components is lost, and no list's members are all paired.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .graph import components
 K, ROWS, MATCHES = 32, 3, 3
 #: Documents whose keys may be sent to every task when sets are computed again: 16 MB of them.
 BROADCAST_DOCS = 500_000
+#: Classes of a list that are paired with one another; those of longer lists are joined on their rarest elements.
+PAIRED = 64
 _CHUNK = 1 << 16
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, K * ROWS), dtype=np.int64).astype(np.uint64)
 
@@ -148,10 +152,10 @@ def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
     """
     c = (100 - percent) / (100 + percent)
     heads = anchored.withColumn("size", F.size("difference")).select("anchor", "class", "n", "component", "linked", "size")
-    elements = anchored.select("anchor", "class", "linked", F.explode("difference").alias("e"))
-    known = elements.groupBy("anchor", "e").agg(F.count(F.lit(1)).alias("f"), F.sum((~F.col("linked")).cast("int")).alias("loose"))
-    # an element that just one class has, or none that is not linked, can't decide; such count as the rarest
-    known = known.filter("f > 1 AND loose > 0").select("anchor", "e", "f")
+    elements = anchored.select("anchor", "class", "component", "linked", F.explode("difference").alias("e"))
+    known = elements.groupBy("anchor", "e").agg(F.count(F.lit(1)).alias("f"), F.sum((~F.col("linked")).cast("int")).alias("loose"), (F.min("component") != F.max("component")).alias("mixed"))
+    # an element that just one class or component has, or none that is not linked, can't decide; such count as the rarest
+    known = known.filter("f > 1 AND loose > 0 AND mixed").select("anchor", "e", "f")
     ranked = elements.select("anchor", "class", "e").join(known, ["anchor", "e"]).groupBy("anchor", "class").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("known"))
     ranked = ranked.join(heads, ["anchor", "class"]).withColumn("unknown", F.col("size") - F.size("known"))
     placed = ranked.select("anchor", "class", "n", "component", "linked", "size", "unknown", F.posexplode("known").alias("i", "k"))
@@ -160,8 +164,10 @@ def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
     def side(df: DataFrame, k: str) -> DataFrame:
         return df.select("anchor", "e", F.col("class").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("n", "component", "size", "pos")])
 
-    need = F.ceil(F.col("size") * ((1 - c) / 2) - 1e-9)
-    x, y = side(placed.filter("NOT linked"), "a"), side(placed.filter(F.col("pos") <= F.col("size") - need + 1), "b")
+    # what a class's difference shares with that of any one alike, whose set is at most 100 / percent as large
+    need = F.greatest(F.col("size") * ((1 - c) / 2), F.col("size") - F.col("n") * (c * (1 + 100 / percent)))
+    first = placed.filter(F.col("pos") <= F.col("size") - F.ceil(need - 1e-9) + 1)
+    x, y = side(first.filter("NOT linked"), "a"), side(first, "b")
     overlap = F.ceil((F.col("size_a") + F.col("size_b") - c * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9)
     enough = 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= overlap
     pairs = x.join(y, ["anchor", "e"]).filter((F.col("component_a") != F.col("component_b")) & enough).select("anchor", "a", "b").distinct()
@@ -169,7 +175,20 @@ def _anchored_links(anchored: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(whole("a"), ["anchor", "a"]).join(whole("b"), ["anchor", "b"])
     n, apart = F.col("n_a") + F.col("n_b"), F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
     # the sets have (n - apart) / 2 in common and (n + apart) / 2 together
-    return both.filter(100 * (n - apart) >= percent * (n + apart)).select("a", "b").distinct()
+    out = materialize(both.filter(100 * (n - apart) >= percent * (n + apart)).select("a", "b").distinct())
+    drop(placed)
+    return out
+
+
+def _as_arrays(sets: DataFrame) -> DataFrame:
+    """(class, difference) of (class, hashes): the set as an array, which is its difference from the empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(arrays, pa.list_(pa.int64()))], ["class", "difference"])
+
+    return sets.mapInArrow(run, "class binary, difference array<bigint>")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +197,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     component is a class of the group, null for a document without words, which is linked with nothing. Rows
     with the same set are in one group whatever their ids; a null id is no obstacle. An empty table gives no
     rows. Words are cut at ASCII white space, A-Z lower-cased; a text of fewer words than `width` is one
-    shingle. Other columns are ignored. percent has to be 80 or more for the stated odds to hold.
+    shingle. Other columns are ignored. percent has to be 80 or more for the stated odds to hold. The result is a
+    table in the shared folder.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent has to be from 80 to 100: below, pairs may agree in too few coordinates to be found")
     signed = materialize(sign(docs, width, id_col, text_col))
     named = signed.filter(F.col("class").isNotNull())
     one = F.struct("doc_id", "text_hash")
@@ -202,29 +224,43 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     tried = _compare(star, classes, docs, width, percent, id_col, text_col)
     links = tried.filter("linked").select("a", "b")
 
-    merged = materialize(components(links).select(F.col("node").alias("class"), "component"))
+    tied = components(links)
+    merged = tied.withColumnRenamed("node", "class")
     anchor = tried.filter("difference IS NOT NULL").select(F.col("b").alias("anchor"), F.col("a").alias("class"), "linked", "difference")
     size = classes.select("class", "n").join(merged, "class", "left").select("class", "n", F.coalesce("component", "class").alias("component"))
     anchored = materialize(anchor.join(size, "class"))
-    among = materialize(_anchored_links(anchored, percent))
+    among = _anchored_links(anchored, percent)
     links = links.unionByName(among)
 
     own = anchor.select("class", "anchor").unionByName(anchor.select(F.col("anchor").alias("class"), "anchor")).groupBy("class").agg(F.collect_set("anchor").alias("anchors"))
     placed = prefix.join(merged, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
     per_list = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = per_list.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    placed = placed.join(mixed.select("key", F.col("main.component").alias("main")), "key").join(own, "class", "left")
+    mixed = per_list.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("m")).filter("parts > 1")
+    placed = placed.join(mixed.select("key", "m", F.col("main.component").alias("main")), "key").join(own, "class", "left")
     placed = materialize(placed.withColumn("anchors", F.coalesce("anchors", F.array().cast("array<binary>"))))
-    x = placed.filter("component <> main").select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("anchors").alias("aa"))
-    y = placed.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("anchors").alias("ab"))
+    few = placed.filter(F.col("m") <= PAIRED)
+    x = few.filter("component <> main").select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("anchors").alias("aa"))
+    y = few.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("anchors").alias("ab"))
     rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near("na", "nb") & ~F.arrays_overlap("aa", "ab"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    # in longer lists two classes that have the head's difference were joined on it; so one of a pair that is left has not
+    many = placed.filter(F.col("m") > PAIRED).join(heads.select("key", F.col("b").alias("head")), "key")
+    crowd = many.withColumn("held", (F.col("class") == F.col("head")) | F.array_contains("anchors", F.col("head")))
+    loose = crowd.groupBy("key").agg(F.max(~F.col("held")).alias("loose")).filter("loose").select("key")
+    crowd = materialize(crowd.join(loose, "key").groupBy("class").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("held").alias("linked")))
+    wanted = materialize(crowd.select("class").join(classes, "class").select("class", "one.*"))
+    sets = materialize(_as_arrays(_sets(docs, wanted, width, id_col, text_col)))
+    whole = materialize(crowd.join(sets, "class").withColumn("anchor", F.lit(b"")))
+    crowded = _anchored_links(whole, percent)
+    drop(crowd, wanted, sets, whole)
     others = _compare(rest, classes, docs, width, percent, id_col, text_col)
-    links = links.unionByName(others.filter("linked").select("a", "b"))
-    grouped = materialize(components(links).select(F.col("node").alias("class"), "component"))
-    drop(classes, live, prefix, tried, merged, anchored, among, placed, others)
-    return signed.drop("keys").join(grouped, "class", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
+    links = links.unionByName(others.filter("linked").select("a", "b")).unionByName(crowded)
+    grouped = components(links)
+    out = signed.drop("keys").join(grouped.withColumnRenamed("node", "class"), "class", "left")
+    out = materialize(out.select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component", "class").alias("component")))
+    drop(signed, classes, live, prefix, tried, tied, anchored, among, placed, others, crowded, grouped)
+    return out
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +270,6 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     component_id is null, and all its rows are kept.
     """
     linked = link(docs, width, percent, id_col, text_col)
-    linked = materialize(linked)
     # written by itself, so that the join can split the rows of a very large group
     least = materialize(linked.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = linked.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -246,13 +281,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
     Rows that are repeated count as copies. Rows without words all stay.
     """
-    linked = link(docs, width, percent, id_col, text_col).filter(F.col("component").isNotNull())
+    found = link(docs, width, percent, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    linked = materialize(linked.select("component", rank.alias("rank")))
+    linked = found.filter(F.col("component").isNotNull()).select("component", rank.alias("rank"))
     best = materialize(linked.groupBy("component").agg(F.min("rank").alias("best")))
     losers = linked.join(best, "component").filter("rank <> best").select("rank.doc_id", "rank.text_hash").distinct()
     twice = linked.groupBy("rank").count().filter("count > 1").select("rank.doc_id", "rank.text_hash")
     losers, twice = materialize(losers), materialize(twice)
+    drop(found, best)
     key = [F.col(id_col).cast("long").alias("_d"), F.xxhash64(F.col(text_col).cast("string")).alias("_h")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
 

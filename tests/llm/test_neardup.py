@@ -93,3 +93,43 @@ def test_components(spark):
     got = {bytes(r.node): bytes(r.component) for r in graph.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
     assert all(got[f"n{i:03d}".encode()] == b"n000" for i in range(41)) and got[b"y"] == b"x" and b"z" not in got
     assert graph.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_likeness_below_the_odds_is_refused(spark):
+    with pytest.raises(ValueError, match="80"):
+        neardup.link(oddrows.docs(spark), 2, 79)
+
+
+def passage_rows(n, seed=4):
+    """n documents with a passage in common and nothing else, some of them with a near copy."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(46)]
+    rows = []
+    for i in range(n):
+        w = passage + [f"u{i}_{k}" for k in range(54)]
+        rows.append((len(rows), " ".join(w)))
+        if i % 97 == 0:
+            w[rng.randrange(50, 100)] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Rows that joins give stay in proportion to the documents; every near copy is found."""
+    made = []
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df: made.append(write(df)) or made[-1])
+    sizes = []
+    monkeypatch.setattr(neardup, "drop", lambda *t: sizes.extend(x.count() for x in t if x in made))
+    rows = passage_rows(20_000)
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2).collect()}
+    twins = {i: i - 1 for (i, t) in rows if " changed" in t}
+    assert twins and got == {i: twins.get(i, i) for i, _ in rows}
+    assert max(sizes) < 64 * len(rows)
+
+
+def test_lists_beyond_the_pairing_limit_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRED", 2)
+    rows = variants(3, 4, 50, 12) + [(1000 + i, t) for i, t in passage_rows(150)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.groups(oddrows.docs(spark, rows), 2).collect())
+    assert got == sorted(brute(rows, 2, 80))
