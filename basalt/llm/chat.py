@@ -45,6 +45,17 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
     other: Turn = Turn("[ROLE:{role}]", "[/ROLE]\n")
 
+    def __post_init__(self) -> None:
+        for name, turn in [*self.roles.items(), ("other", self.other)]:
+            for what, control in (("open", turn.open), ("close", turn.close)):
+                if control[:1] not in ("<", "["):
+                    raise ValueError(f"{name}'s {what} has to start with < or [, which texts are freed from: {control!r}")
+        openers = [t.open for t in self.roles.values()]
+        if len(set(openers)) < len(openers):
+            raise ValueError("two roles have one opening")
+        if self.other.open.count("{role}") != 1:
+            raise ValueError("the opening of other roles has to hold {role} once")
+
 
 DEFAULT = Template()
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))

@@ -1,7 +1,9 @@
 """Document fingerprints: a Merkle tree of word spans, paragraphs and sections.
 
-Built-in functions only. Equal texts have equal roots; where roots differ, the branches that differ show
-which sections, paragraphs and spans were edited.
+Built-in functions only. Equal texts have equal roots. Where roots differ, sections are compared by their hashes,
+then the paragraphs of the sections that only one text has, then the spans of the paragraphs that only one has; so
+an edit is met in its own branch, wherever it shifts what follows. A paragraph is a line; a section ends with a
+paragraph whose hash starts with one of two digits of sixteen, so a line put in changes no section but its own.
 """
 
 from __future__ import annotations
@@ -10,94 +12,146 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LEAST = -(2**63)
+_SHORT, _COUNT = 16, 6  # digits of a hash in keys, and of a number of spans
+_NODE = r"\w{%d}" % (64 + _COUNT - 1)
+_SECTION = f"(?:[^08]{_NODE})*+[08]{_NODE}|(?:[^08]{_NODE})++"
 
 
-def tree(text: Column, span_words: int = 4, fanout: int = 8) -> Column:
-    """Struct (root, sections, paragraphs, spans) of a text; a null text is an empty one.
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
-    A paragraph is a line and is hashed as it stands, white space included. A section is `fanout`
-    paragraphs. Under a paragraph lie spans of up to `span_words` words, which start anew in each
-    paragraph; spans is an array of arrays of 32-bit hashes. The time is linear in the text.
-    """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    paragraphs = F.transform(lines, lambda p: F.sha2(p, 256))
-    spans = F.transform(
-        lines,
-        lambda p: F.transform(
-            F.regexp_extract_all(p, F.lit(r"\S+(?:\s+\S+){0,%d}" % (span_words - 1)), F.lit(0)),
-            lambda s: F.shiftright(F.xxhash64(s), 32).cast("int"),
-        ),
+
+def _lines(text: Column, span_words: int) -> Column:
+    """(hash, id, spans) of each line as it stands, white space included; spans of up to so many words start anew in each line."""
+    spans = lambda p: F.regexp_extract_all(p, F.lit(r"\S+(?:\s+\S+){0,%d}" % (span_words - 1)), F.lit(0))
+    return F.transform(
+        F.split(F.coalesce(text, F.lit("")), "\n"),
+        lambda p: F.struct(F.sha2(p, 256).alias("hash"), F.xxhash64(p).alias("id"), F.transform(spans(p), lambda s: F.shiftright(F.xxhash64(s), 32).cast("int")).alias("spans")),
     )
-    return F.struct(paragraphs.alias("paragraphs"), spans.alias("spans"), F.lit(fanout).alias("fanout"))
 
 
-def _closed(t: Column) -> Column:
-    """Add section hashes and the root to what tree() gives."""
-    sections = F.transform(
-        F.sequence(F.lit(0), F.size(t["paragraphs"]) - 1, t["fanout"]),
-        lambda i: F.sha2(F.array_join(F.slice(t["paragraphs"], i + 1, t["fanout"]), ""), 256),
-    )
-    return F.struct(t["paragraphs"].alias("paragraphs"), t["spans"].alias("spans"), sections.alias("sections"))
+def _weight(key: Column) -> Column:
+    """The number of spans at the end of a key."""
+    return F.conv(F.substring(key, -_COUNT, _COUNT), 16, 10).cast("long")
+
+
+def tree(text: Column, span_words: int = 4) -> Column:
+    """Struct (root, sections, paragraphs, spans, lines) of a text; a null text is an empty one.
+
+    The keys of sections, in order, are the start of the hash and the number of spans below; those of paragraphs have
+    their section's hash before them, those of spans the low half of their line's id above. lines has what
+    they are made of. The time is linear in the text.
+    """
+
+    def counted(n: Column) -> Column:
+        return F.lpad(F.hex(n.cast("long")), _COUNT, "0")
+
+    def closed(lines: Column) -> Column:
+        nodes = F.array_join(F.transform(lines, lambda x: F.concat(x["hash"], counted(F.size(x["spans"])))), "")
+        found = F.regexp_extract_all(nodes, F.lit(_SECTION), F.lit(0))
+        return F.transform(found, lambda x: F.struct(F.sha2(x, 256).alias("hash"), F.regexp_extract_all(x, F.lit(r"\w{%d}" % (64 + _COUNT)), F.lit(0)).alias("nodes")))
+
+    def keyed(t: Column) -> Column:
+        total = lambda nodes: F.aggregate(nodes, F.lit(0).cast("long"), lambda acc, n: acc + _weight(n))
+        start = lambda h: F.substring(h, 1, _SHORT)
+        below = lambda x: F.transform(x["spans"], lambda s: F.shiftleft(x["id"], 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+        return F.struct(
+            F.sha2(F.array_join(F.transform(t["sections"], lambda x: x["hash"]), ""), 256).alias("root"),
+            F.transform(t["sections"], lambda x: F.concat(start(x["hash"]), counted(total(x["nodes"])))).alias("sections"),
+            F.flatten(F.transform(t["sections"], lambda x: F.transform(x["nodes"], lambda n: F.concat(start(x["hash"]), start(n), F.substring(n, -_COUNT, _COUNT))))).alias("paragraphs"),
+            F.flatten(F.transform(t["lines"], below)).alias("spans"),
+            t["lines"].alias("lines"),
+        )
+
+    return _let(_lines(text, span_words), lambda lines: _let(F.struct(lines.alias("lines"), closed(lines).alias("sections")), keyed))
 
 
 def fingerprint(t: Column) -> Column:
     """The tree as a string: root, sections, then each paragraph with its spans, all in hex."""
-    nodes = F.zip_with(
-        t["paragraphs"],
-        t["spans"],
-        lambda p, s: F.concat(F.substring(p, 1, 16), F.lit("="), F.array_join(F.transform(s, lambda h: F.lpad(F.substring(F.hex(h), -8, 8), 8, "0")), "")),
-    )
-    return F.concat_ws(
-        ":",
-        F.sha2(F.array_join(t["sections"], ""), 256),
-        F.array_join(F.transform(t["sections"], lambda s: F.substring(s, 1, 16)), "."),
-        F.array_join(nodes, "/"),
-    )
+    hex32 = lambda h: F.lpad(F.substring(F.hex(h), -8, 8), 8, "0")
+    nodes = F.transform(t["lines"], lambda x: F.concat(F.substring(x["hash"], 1, _SHORT), F.lit("="), F.array_join(F.transform(x["spans"], hex32), "")))
+    return F.concat_ws(":", t["root"], F.array_join(F.transform(t["sections"], lambda k: F.substring(k, 1, _SHORT)), "."), F.array_join(nodes, "/"))
+
+
+def _own_paragraphs(a: Column, b: Column) -> Column:
+    """Hashes, with numbers of spans, of the paragraphs in sections that only a has."""
+    return F.transform(F.array_except(a["paragraphs"], b["paragraphs"]), lambda k: F.substring(k, _SHORT + 1, _SHORT + _COUNT))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of the distinct spans of two trees; 1 where neither has a span."""
-    x, y = F.flatten(a["spans"]), F.flatten(b["spans"])
-    both = F.size(F.array_intersect(x, y))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+    """How much of two trees is the same, 0 to 1: 1 for equal roots.
+
+    What sections have in common counts with the spans below it, then what the paragraphs of other sections have, then what
+    the spans of other paragraphs have; all over that and the spans that only one has. 1 where neither has a span.
+    """
+    weights = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc + _weight(k))
+    own = lambda x, y: F.transform(F.array_except(x["spans"], y["spans"]), lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def share(v: Column) -> Column:
+        whole = v["same"] + F.size(F.array_union(v["x"], v["y"]))
+        return F.when(whole == 0, F.lit(1.0)).otherwise((v["same"] + F.size(F.array_intersect(v["x"], v["y"]))) / whole)
+
+    def compared(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        same = weights(F.array_intersect(a["sections"], b["sections"])) + weights(F.array_intersect(_own_paragraphs(a, b), _own_paragraphs(b, a)))
+        return _let(F.struct(same.alias("same"), own(a, b).alias("x"), own(b, a).alias("y")), share)
+
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(_let(F.struct(a.alias("a"), b.alias("b")), compared))
+
+
+def n_differing(a: Column, b: Column) -> Column:
+    """How many different paragraphs, of sections that only a has, are in no section that only b has; in linear time."""
+    return F.when(a["root"] == b["root"], F.lit(0)).otherwise(F.size(F.array_except(_own_paragraphs(a, b), _own_paragraphs(b, a)))).cast("long")
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Indices of paragraphs of a that differ from b's at the same place."""
-    return F.filter(
-        F.sequence(F.lit(0), F.size(a["paragraphs"]) - 1),
-        lambda i: ~F.get(a["paragraphs"], i).eqNullSafe(F.get(b["paragraphs"], i)),
-    )
+    """Indices of those paragraphs of a, in order; the time grows with a's paragraphs times those found."""
+
+    def places(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        gone = F.array_except(_own_paragraphs(a, b), _own_paragraphs(b, a))
+        keys = F.array_except(a["paragraphs"], b["paragraphs"])
+
+        def among(v: Column) -> Column:
+            hit = lambda k: F.array_contains(v["keys"], k) & F.array_contains(v["gone"], F.substring(k, _SHORT + 1, _SHORT + _COUNT))
+            return F.filter(F.transform(v["all"], lambda k, i: F.when(hit(k), i)), lambda i: i.isNotNull())
+
+        return _let(F.struct(gone.alias("gone"), keys.alias("keys"), a["paragraphs"].alias("all")), among)
+
+    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(_let(F.struct(a.alias("a"), b.alias("b")), places))
 
 
 def with_tree(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add the whole tree of a text as a column."""
-    return df.withColumn(name, tree(text)).withColumn(name, _closed(F.col(name)))
+    return df.withColumn(name, tree(text))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): next is the following document by descending id; the first follows the last.
 
     Ids are cut at quantiles into ranges; a range is one window partition, and the head of the range below
-    is copied to its end, so no task sees more than a range and texts are shuffled once. A null text is
-    empty. A null id comes last. Documents of equal ids are ordered by a hash of their texts.
+    is copied to its end, so no task sees more than a range and texts are shuffled once. An id that many rows have, or
+    no id, makes as many ranges as quantiles, by a hash of the text. A null text is empty. A null id comes last.
+    Documents of equal ids are ordered by that hash; only rows with the same id and text are never parted.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("sid", F.coalesce("doc_id", F.lit(_LEAST)))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.withColumn("sid", F.coalesce("doc_id", F.lit(_LEAST)))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("sid", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda b: b <= F.col("sid"))) if cuts else F.lit(0))
+    cuts = sorted(rows.agg(F.percentile_approx("sid", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])
+    points = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    most = max((cuts.count(c) for c in set(cuts)), default=0) + 1
+    same = F.size(F.filter(points, lambda c: c == F.col("sid")))
+    part = F.when(same > 1, F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * same), same - 1)).otherwise(most)
+    below = F.size(F.filter(points, lambda c: c <= F.col("sid")))
+    rows = rows.withColumn("bucket", (below * (most + 1) + part).cast("long") if cuts else F.lit(0).cast("long"))
     # as many rows as ranges
-    heads = [(r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("sid")).orderBy("bucket").collect()]
-    to = [(sid, heads[(i + 1) % len(heads)][0]) for i, (_, sid) in enumerate(heads)]
-    targets = spark.createDataFrame(to, "head_sid long, to_bucket int")
-    placed = rows.join(F.broadcast(targets), F.col("sid") == F.col("head_sid"), "left").withColumn(
+    heads = [(r[0], r[1], r[2]) for r in rows.groupBy("bucket").agg(F.max(F.struct("sid", "h")).alias("m")).select("bucket", "m.sid", "m.h").orderBy("bucket").collect()]
+    to = [(sid, h, heads[(i + 1) % len(heads)][0]) for i, (_, sid, h) in enumerate(heads)]
+    targets = spark.createDataFrame(to, "head_sid long, head_h long, to_bucket long")
+    placed = rows.join(F.broadcast(targets), (F.col("sid") == F.col("head_sid")) & (F.col("h") == F.col("head_h")), "left").withColumn(
         "place",
         F.explode(
             F.filter(
@@ -109,9 +163,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             )
         ),
     )
-    w = Window.partitionBy("bucket").orderBy("copied", F.desc("sid"), F.desc(F.xxhash64("text")))
+    w = Window.partitionBy("bucket").orderBy("copied", F.desc("sid"), F.desc("h"))
     return (
-        placed.select("doc_id", "sid", "text", F.col("place.bucket").alias("bucket"), F.col("place.copied").alias("copied"))
+        placed.select("doc_id", "sid", "h", "text", F.col("place.bucket").alias("bucket"), F.col("place.copied").alias("copied"))
         .withColumn("next_text", F.lead("text").over(w))
         .filter(~F.col("copied"))
         .select("doc_id", "text", "next_text")
@@ -144,5 +198,5 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         fingerprint(e).alias("edited_fingerprint"),
         likeness(t, e).alias("near_edited"),
         likeness(t, x).alias("near_next"),
-        F.size(differing_paragraphs(t, e)).cast("long").alias("n_edited_paragraphs"),
+        n_differing(t, e).alias("n_edited_paragraphs"),
     )

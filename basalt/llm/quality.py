@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import words
 from .common import keep_rows, ship
 
-#: Bounds of the training sample: documents of either label, and lines of such a document.
+#: Bounds of the training sample: documents of either label, and lines of such a document. At both bounds the driver
+#: collects 250 MB of features, of 2.4 million lines, and fits on a matrix of 1.1 GB; documents of ten lines make a fortieth.
 TRAIN_DOCS_PER_LABEL = 3000
 TRAIN_LINES_PER_DOC = 400
 _CHUNK_CHARS = 300_000

@@ -332,3 +332,91 @@ def test_path_sums_as_a_plain_parser_has_them():
     plain.feed(page)
     got = sorted(extract.path_sums(extract.Page(page).blocks).values())
     assert got == sorted((plain.n[p], plain.marks[p], plain.linked[p], plain.k[p]) for p in plain.n) and len(got) == 4
+
+
+def test_templates_that_could_not_be_read_back_are_refused():
+    roles = {"user": chat.Turn("### User:", "</s>")}
+    for bad in ({"roles": roles}, {"roles": {"user": chat.Turn("<u>", "\\n")}}, {"other": chat.Turn("[x]", "[/x]")}, {"roles": {"user": chat.Turn("<u>", "</u>"), "tool": chat.Turn("<u>", "</t>")}}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def plain_tree(text, width=4):
+    """Root, sections as lists of (hash, spans) of paragraphs, by hashlib."""
+    import re
+
+    import xxhash
+
+    lines = []
+    for p in (text or "").split("\n"):
+        words = re.findall(r"\S+", p, re.ASCII)
+        cut = re.findall(r"\S+(?:\s+\S+){0,%d}" % (width - 1), p, re.ASCII)
+        assert sum(len(re.findall(r"\S+", c, re.ASCII)) for c in cut) == len(words)
+        spans = [xxhash.xxh64_intdigest(c.encode(), 42) >> 32 for c in cut]
+        lines.append((hashlib.sha256(p.encode()).hexdigest(), spans))
+    sections, now = [], []
+    for i, (h, spans) in enumerate(lines):
+        now.append((h, spans))
+        if h[0] in "08" or i == len(lines) - 1:
+            sections.append((hashlib.sha256("".join(f"{h}{len(s):06X}" for h, s in now).encode()).hexdigest(), now))
+            now = []
+    return hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest(), sections
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0, 0
+    sa, sb = dict(a[1]), dict(b[1])
+    same = sum(len(s) for h in sa.keys() & sb.keys() for _, s in sa[h])
+    own = lambda x, y: {h: s for k, ps in x.items() if k not in y for h, s in ps}
+    pa, pb = own(sa, sb), own(sb, sa)
+    same += sum(len(pa[h]) for h in pa.keys() & pb.keys())
+    every = lambda x: {h for ps in x.values() for h, _ in ps}
+    xa = {s for h, spans in pa.items() if h not in every(sb) for s in spans}
+    xb = {s for h, spans in pb.items() if h not in every(sa) for s in spans}
+    whole = same + len(xa | xb)
+    return (same + len(xa & xb)) / whole if whole else 1.0, len(pa.keys() - pb.keys())
+
+
+def test_fingerprints_as_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    by = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in merkle.compare_with_edit(docs).collect()}
+    assert len(got) == len(texts)
+    for (i, t), (_, nxt) in itertools.pairwise([*by, by[0]]):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + nxt[:k]
+        a, e, x = map(plain_tree, (t, edited, nxt))
+        line = lambda tree: f"{tree[0]}:{'.'.join(h[:16] for h, _ in tree[1])}:{'/'.join(h[:16] + '=' + ''.join(f'{s:08X}' for s in spans) for _, ps in tree[1] for h, spans in ps)}"
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (line(a), line(e))
+        near, n = plain_likeness(a, e)
+        assert r.near_edited == pytest.approx(near, rel=1e-12) and r.n_edited_paragraphs == n
+        assert r.near_next == pytest.approx(plain_likeness(a, x)[0], rel=1e-12)
+
+
+def test_an_inserted_line_marks_only_itself(spark):
+    lines = [f"line {i} of the text, some words" for i in range(200)]
+    moved = lines[:50] + ["a new line"] + lines[50:]
+    df = spark.createDataFrame([("\n".join(moved), "\n".join(lines))], "x string, y string")
+    df = merkle.with_tree(merkle.with_tree(df, F.col("x"), "p"), F.col("y"), "q")
+    r = df.select(merkle.differing_paragraphs(F.col("p"), F.col("q")).alias("d"), merkle.n_differing(F.col("p"), F.col("q")).alias("n"), merkle.differing_paragraphs(F.col("q"), F.col("p")).alias("e"), merkle.likeness(F.col("p"), F.col("q")).alias("k")).first()
+    assert (r.d, r.n, r.e) == ([50], 1, []) and 0.98 < r.k < 1
+
+
+def test_next_document_of_one_id_for_many(spark):
+    """A third of all rows without an id, and a third with the same, are dealt over many ranges."""
+    rows = [(None, f"none {i}") for i in range(400)] + [(5, f"five {i}") for i in range(400)] + [(10 + i, f"own {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = merkle.with_next(df).collect()
+    assert len(out) == len(rows) and sorted(r.next_text for r in out) == sorted(t for _, t in rows)
+    follow = {r.text: r.next_text for r in out}
+    at, seen = "own 399", []
+    while at not in seen[:1]:
+        seen.append(at)
+        at = follow[at]
+    ids = {t: i for i, t in rows}
+    order = [ids[t] for t in seen]
+    assert len(seen) == len(rows) and order[:400] == list(range(409, 9, -1)) and set(order[400:800]) == {5} and set(order[800:]) == {None}
