@@ -106,9 +106,19 @@ def status_class(number: Column) -> Column:
     return F.when(number.between(200, 599), F.concat(F.floor(number / 100).cast("string"), F.lit("xx"))).otherwise("unknown")
 
 
-def acknowledgements(admitted: DataFrame) -> DataFrame:
-    """(batch_id, accepted, durable, received) of accepted batches; emit it only once their events are written."""
-    return admitted.filter("accepted").select("batch_id", F.lit(True).alias("accepted"), F.lit(True).alias("durable"), F.size("events").cast("long").alias("received"))
+def settle(admitted: DataFrame, durable: Column) -> DataFrame:
+    """What admission decided, once the write is over: a batch that was accepted and isn't durable is refused as backbone_unavailable."""
+    lost = F.col("accepted") & ~F.coalesce(durable, F.lit(False))
+    return (
+        admitted.withColumn("code", F.when(lost, "backbone_unavailable").otherwise(F.col("code")))
+        .withColumn("event_index", F.when(lost, -1).otherwise(F.col("event_index")))
+        .withColumn("accepted", F.col("accepted") & ~lost)
+    )
+
+
+def acknowledgements(settled: DataFrame) -> DataFrame:
+    """(batch_id, accepted, durable, received) of accepted batches; settle() has to come first, so that these are written."""
+    return settled.filter("accepted").select("batch_id", F.lit(True).alias("accepted"), F.lit(True).alias("durable"), F.size("events").cast("long").alias("received"))
 
 
 def rejections(admitted: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ ENUM = {
 TIME = {"event_time": "time.event_time", "observed_time": "time.observed_time", "ingest_time": "reception.ingest_time"}
 PORT = {"auth_source_port": "authentication.network.source.port", "auth_destination_port": "authentication.network.destination.port"}
 
-#: The store's columns, in its order.
+# The store's columns, in its order.
 COLUMNS = (
     "event_id schema_version event_class event_time observed_time ingest_time tenant_id agent_id host_hostname host_ip host_os host_architecture "
     "collector source sequence gateway batch_id auth_activity auth_outcome auth_outcome_reason auth_method auth_user_name auth_user_domain auth_user_uid "

@@ -52,6 +52,38 @@ def final_count(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*KEY).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("events"))
 
 
+def _kept_from(now: Column, days: int) -> Column:
+    """The first instant that retention keeps: event times count in whole seconds, and are kept for more than `days`."""
+    return F.date_trunc("second", now - F.expr(f"interval {days} days")) + F.expr("interval 1 second")
+
+
 def retained(rows: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
-    """Rows that retention leaves: those whose event time, in whole seconds, is at most `days` ago."""
-    return rows.filter(F.date_trunc("second", "event_time") + F.expr(f"interval {days} days") > now)
+    """Rows that retention leaves: those whose event time, in whole seconds, is less than `days` ago.
+
+    The bound is a constant, so it reaches the scan; where rows have their month, whole months are left out.
+    """
+    limit = _kept_from(now, days)
+    keep = F.col("event_time") >= limit
+    if "event_month" in rows.columns:
+        keep = keep & (F.col("event_month") >= month(limit))
+    return rows.filter(keep)
+
+
+def expired_months(rows: DataFrame, now: Column, days: int = RETENTION_DAYS, month_of: Column | None = None) -> DataFrame:
+    """(event_month, events) of the months of which retention leaves no row."""
+    of = F.col("event_month") if month_of is None else month_of
+    return rows.filter(of < month(_kept_from(now, days))).groupBy(of.alias("event_month")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def drop_expired(spark: SparkSession, path: str, now: Column, days: int = RETENTION_DAYS) -> list[int]:
+    """Delete the store's folders of such months, and say which; rows of the last month that is left are for retained()."""
+    limit = spark.range(1).select(month(_kept_from(now, days))).first()[0]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for f in fs.listStatus(root):
+        name, _, value = f.getPath().getName().partition("=")
+        if name == "event_month" and value.isdigit() and int(value) < limit:
+            fs.delete(f.getPath(), True)
+            gone.append(int(value))
+    return sorted(gone)

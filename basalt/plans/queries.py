@@ -16,14 +16,14 @@ from .workload import RECORDS, flat, nested, records
 
 RULES = [
     Rule(
-        "ssh.failed_password_from_outside",
+        "ssh.refused_high_port",
         All((
-            Predicate("authentication.outcome", "equals", ("failure",)),
-            Predicate("authentication.service.protocol", "equals", ("ssh",)),
-            Not(Predicate("authentication.network.source.ip", "starts_with", ("10.",))),
+            Predicate("authentication.service.protocol", "one_of", ("ssh", "sftp")),
+            Predicate("authentication.network.source.port", "at_least", (30000,)),
+            Not(Predicate("authentication.outcome", "equals", ("success",))),
         )),
         severity="high",
-        technique=Technique("credential_access", "T1110.001", "Password guessing"),
+        technique=Technique("lateral_movement", "T1021.004", "SSH"),
     ),
     Rule("host.some", Predicate("origin.host.hostname", "one_of", ("host-3", "host-7"))),
     Rule("port.range", All((Predicate("authentication.network.source.port", "at_least", (5000,)), Predicate("authentication.network.source.port", "below", (5100,)))), severity="low"),
@@ -260,6 +260,70 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.lag(read.withColumn("topic", F.lit("events")))
 
 
+def consumer_lag_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lag from a log of ends, commits and revocations, a record each."""
+    n = F.col("n")
+    kind = F.when(n % 997 == 0, "revoke").when(n % 10 < 7, "commit").otherwise("end")
+    log = records(spark, sf_dir).select(F.lit("events").alias("topic"), "partition", F.col("offset").alias("seq"), kind.alias("kind"))
+    return metrics.lag_state(log.withColumn("offset", F.when(F.col("kind") == "commit", F.col("seq") - F.col("seq") % 5).otherwise(F.col("seq") + 3)))
+
+
+def fetch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches of 64 events of a partition, some of which fail."""
+    f, p = F.col("fetch"), F.col("partition")
+    made = records(spark, sf_dir).groupBy("partition", F.floor(F.col("n") / 64).alias("fetch")).agg(F.count(F.lit(1)).alias("records"))
+    return metrics.fetch_counters(made.select(F.lit("events").alias("topic"), "partition", "records", ((p + f) % 17 == 0).alias("fetch_error"), (f % 23 == 0).alias("commit_error"), (f % 29 == 0).alias("refresh_error")))
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 700 events, written at the first to third attempt."""
+    made = records(spark, sf_dir).groupBy(F.floor(F.col("n") / 700).alias("batch")).agg(F.count(F.lit(1)).alias("events"))
+    tried = made.withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("batch") % 3)))
+    return tried.withColumn("stored", F.col("attempt") == 1 + F.col("batch") % 3).withColumn("seconds", (F.col("batch") * 7 + F.col("attempt")) % 90 / 8)
+
+
+def writer_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.writer_counters(_attempts(spark, sf_dir))
+
+
+def write_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(_attempts(spark, sf_dir), F.col("seconds"), metrics.BUCKETS["seconds"])
+
+
+def accepted_batch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = admission.admit(_batches(spark, sf_dir), WIDE).filter("accepted")
+    return metrics.histogram(df, F.size("events"), metrics.BUCKETS["batch_events"])
+
+
+def publish_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of accepted batches, as if batch b took b % 50 eighths of a second."""
+    df = admission.admit(_batches(spark, sf_dir), WIDE).filter("accepted")
+    return metrics.histogram(df, F.col("b") % 50 / 8, metrics.BUCKETS["seconds"])
+
+
+def admission_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts once the write is over, which fails for one batch in thirteen."""
+    out = admission.settle(admission.admit(_batches(spark, sf_dir), WIDE), F.col("b") % 13 != 5)
+    return out.select("b", "accepted", "code", admission.status(F.col("code")).alias("status"), F.when(F.col("accepted"), F.size("events").cast("long")).alias("received"))
+
+
+def unapplied_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that were sent and not accepted."""
+    out = admission.admit(_batches(spark, sf_dir), WIDE)
+    return metrics.outstanding(out.select("b"), out.filter("accepted").select("b"), "b")
+
+
+def agent_method_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents whose last event doesn't use the method that is declared for all."""
+    rows = flat(spark, sf_dir).filter("copy = 0 AND NOT broken")
+    now = rows.groupBy(F.col("agent_id").alias("name")).agg(F.max_by("method", "n").alias("value"))
+    return metrics.drift(rows.select(F.col("agent_id").alias("name"), F.lit("password").alias("value")).distinct(), now)
+
+
+def expired_months(spark: SparkSession, sf_dir: str, now: str = "2025-02-15 12:00:00") -> DataFrame:
+    return store.expired_months(_stored(spark, sf_dir), F.lit(now).cast("timestamp"), month_of=store.month(F.col("event_time")))
+
+
 def setting_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = spark.createDataFrame([("retention.ms", "604800000"), ("cleanup.policy", "delete"), ("compression.type", "zstd")], "name string, value string")
     current = spark.createDataFrame([("retention.ms", "86400000"), ("cleanup.policy", "delete")], "name string, value string")
@@ -302,7 +366,8 @@ QUERIES = {f.__name__: f for f in (
     writer_classification, quarantine_rows, unstorable_rows, window_violations, engine_outcomes, normalized_events, normalized_share_by_route,
     analysis_counters, store_counters, event_delay_histogram, event_lag_histogram, ingest_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
     admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
-    pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket,
+    pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
+    write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months,
 )}
 
 _VIOLATION = """CASE
@@ -360,7 +425,7 @@ g AS (SELECT b, count(*) AS n, min(CASE WHEN coalesce(broke, outside) IS NOT NUL
 c AS (SELECT b, CASE WHEN b % 41 = 0 THEN 0 ELSE n END AS n, first_bad, what,
   CASE WHEN b % 41 = 0 THEN 'empty_batch' WHEN b % 37 = 0 THEN 'unsupported_protocol_version' WHEN b % 31 = 0 THEN 'malformed_batch_id' WHEN first_bad IS NOT NULL THEN 'invalid_event' END AS code FROM g)"""
 
-#: No oracle of exact rows: the order in which fractions of a second are added shows in the sum's last digits.
+#: With a sum of doubles, whose last digits depend on the order; the oracle adds microseconds.
 INGEST_LAG_SQL = _histogram_sql(_BATCHES, "(epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(event_time)) / 1e6", metrics.BUCKETS["event_lag_seconds"]).replace("{}", "FROM v JOIN c USING (b) WHERE (code IS NULL OR code = 'invalid_event') AND (first_bad IS NULL OR i < first_bad)")
 
 ORACLES = {
@@ -394,15 +459,26 @@ UNION ALL SELECT 'analysis_normalized_total', route, count(*) FROM k WHERE verdi
     "ingest_counters": _BATCHES + " SELECT 'ingest_batches_total' AS metric, CASE WHEN code IS NULL THEN 'accepted' ELSE 'rejected' END AS label, count(*) AS value FROM c GROUP BY 2 UNION ALL SELECT 'ingest_events_total', 'accepted', cast(sum(n) AS BIGINT) FROM c WHERE code IS NULL HAVING count(*) > 0 UNION ALL SELECT 'ingest_rejections_total', code, count(*) FROM c WHERE code IS NOT NULL GROUP BY code",
     "gateway_statuses": f"WITH r AS ({RECORDS}), g AS (SELECT CASE WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}') THEN 'unauthenticated_agent' WHEN n % 17 = 0 THEN 'rate_limited' WHEN n % 19 = 0 THEN 'unsupported_media_type' WHEN n % 23 = 0 THEN 'body_too_large' WHEN n % 29 = 0 OR broken THEN 'malformed_payload' END AS refusal FROM r), h AS (SELECT refusal, CASE refusal WHEN 'unauthenticated_agent' THEN 403 WHEN 'rate_limited' THEN 429 WHEN 'unsupported_media_type' THEN 415 WHEN 'body_too_large' THEN 413 WHEN 'malformed_payload' THEN 400 ELSE 200 END AS status FROM g) SELECT refusal, status, CASE WHEN status = 200 THEN '2xx' ELSE '4xx' END AS status_class, count(*) AS requests FROM h GROUP BY ALL",
     "rule_matches": _ANALYSIS + """, c AS (SELECT * FROM a WHERE verdict = 'analysed')
-SELECT n, pos AS "offset", 'ssh.failed_password_from_outside' AS rule_id, 'high' AS severity FROM c WHERE outcome = 2 AND c_protocol = 'ssh' AND NOT starts_with(c_ip, '10.')
+SELECT n, pos AS "offset", 'ssh.refused_high_port' AS rule_id, 'high' AS severity FROM c WHERE outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 30000
 UNION ALL SELECT n, pos, 'host.some', 'medium' FROM c WHERE c_hostname IN ('host-3', 'host-7')
 UNION ALL SELECT n, pos, 'port.range', 'low' FROM c WHERE source_port >= 5000 AND source_port < 5100
 UNION ALL SELECT n, pos, 'sequence.edges', 'medium' FROM c WHERE seq > 9950 OR seq <= 40
 UNION ALL SELECT n, pos, 'reason.without_tcp', 'medium' FROM c WHERE outcome_reason <> '' AND transport <> 1
 UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND tenant_id LIKE '%nt-3%'""",
-    "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome = 2 AND c_protocol = 'ssh' AND NOT starts_with(c_ip, '10.') GROUP BY tenant_id",
+    "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 30000 GROUP BY tenant_id",
     "backbone_records": _BASE + " SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, count(*) AS records, cast(sum(CASE WHEN NOT no_body THEN source_port END) AS BIGINT) AS ports, count(*) * 3 AS headers, min(event_id) AS first_id FROM v WHERE NOT broken GROUP BY 1",
     "consumer_lag": f"WITH r AS ({RECORDS}) SELECT 'events' AS topic, cast(part AS INTEGER) AS \"partition\", greatest(max(pos) + 1 - coalesce(max(CASE WHEN n % 10 < 7 THEN pos END) + 1 + part % 3 * 5, 0), 0) AS lag FROM r GROUP BY part",
+    "ingest_lag_histogram": INGEST_LAG_SQL.replace("coalesce(sum(x), 0)", "coalesce(cast(sum(cast(round(x * 1e6) AS BIGINT)) AS DOUBLE) / 1e6, 0)"),
+    "consumer_lag_state": f"WITH r AS ({RECORDS}), l AS (SELECT part, pos AS seq, CASE WHEN n % 997 = 0 THEN 'revoke' WHEN n % 10 < 7 THEN 'commit' ELSE 'end' END AS kind FROM r), m AS (SELECT *, CASE WHEN kind = 'commit' THEN seq - seq % 5 ELSE seq + 3 END AS o, max(CASE WHEN kind = 'revoke' THEN seq END) OVER (PARTITION BY part) AS since FROM l), h AS (SELECT part, max(CASE WHEN kind = 'commit' THEN o END) AS nx, arg_max(o, seq) FILTER (kind = 'end') AS en FROM m WHERE since IS NULL OR seq > since GROUP BY part) SELECT 'events' AS topic, cast(part AS INTEGER) AS \"partition\", greatest(en - coalesce(nx, 0), 0) AS lag FROM h WHERE en IS NOT NULL",
+    "fetch_counters": f"WITH r AS ({RECORDS}), g AS (SELECT part, n // 64 AS f, count(*) AS records FROM r GROUP BY ALL) SELECT 'backbone_records_fetched_total' AS metric, 'events' AS label, cast(sum(records) AS BIGINT) AS value FROM g WHERE (part + f) % 17 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'backbone_fetch_errors_total', concat('events,', part), count(*) FROM g WHERE (part + f) % 17 = 0 GROUP BY part UNION ALL SELECT 'backbone_commit_errors_total', '', count(*) FROM g WHERE f % 23 = 0 HAVING count(*) > 0 UNION ALL SELECT 'backbone_consumer_lag_refresh_errors_total', 'events', count(*) FROM g WHERE f % 29 = 0 HAVING count(*) > 0",
+    "writer_batches": f"WITH r AS ({RECORDS}), g AS (SELECT DISTINCT n // 700 AS batch FROM r) SELECT 'eventstore_batches_total' AS metric, 'stored' AS label, count(*) AS value FROM g UNION ALL SELECT 'eventstore_batches_total', 'retried', cast(sum(batch % 3) AS BIGINT) FROM g WHERE batch % 3 > 0 HAVING count(*) > 0",
+    "write_duration_histogram": _histogram_sql(f"WITH r AS ({RECORDS}), z AS (SELECT batch, unnest(range(1, 2 + batch % 3)) AS attempt FROM (SELECT DISTINCT n // 700 AS batch FROM r))", "((batch * 7 + attempt) % 90) / 8.0", metrics.BUCKETS["seconds"]).replace("{}", "FROM z"),
+    "accepted_batch_histogram": _histogram_sql(_BATCHES, "n", metrics.BUCKETS["batch_events"]).replace("{}", "FROM c WHERE code IS NULL"),
+    "publish_duration_histogram": _histogram_sql(_BATCHES, "(b % 50) / 8.0", metrics.BUCKETS["seconds"]).replace("{}", "FROM c WHERE code IS NULL"),
+    "admission_settled": _BATCHES + ", d AS (SELECT b, n, CASE WHEN code IS NULL AND b % 13 = 5 THEN 'backbone_unavailable' ELSE code END AS code FROM c) SELECT b, code IS NULL AS accepted, code, CASE WHEN code IS NULL THEN 200 WHEN code = 'unsupported_protocol_version' THEN 426 WHEN code = 'backbone_unavailable' THEN 503 ELSE 422 END AS status, CASE WHEN code IS NULL THEN n END AS received FROM d",
+    "unapplied_batches": _BATCHES + " SELECT b FROM c WHERE code IS NOT NULL",
+    "agent_method_drift": f"WITH r AS ({RECORDS}), g AS (SELECT agent_id AS name, arg_max(method, n) AS current FROM r WHERE copy = 0 AND NOT broken GROUP BY 1) SELECT name, 'password' AS declared, current FROM g WHERE current <> 'password'",
+    "expired_months": _STORE + " SELECT cast(year(event_time) * 100 + month(event_time) AS INTEGER) AS event_month, count(*) AS events FROM s WHERE year(event_time) * 100 + month(event_time) < 202402 GROUP BY 1",
     "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
     "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
     "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",

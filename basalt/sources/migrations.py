@@ -44,3 +44,9 @@ def missing_columns(spark: SparkSession, name: str, declared: list[str] = COLUMN
     """Columns that a table should have and hasn't."""
     present = {c.name for c in spark.catalog.listColumns(name)}
     return [c for c in declared if c not in present]
+
+
+def require(spark: SparkSession, name: str, declared: list[str] = COLUMNS) -> None:
+    """Refuse to start on a table that is behind what was declared."""
+    if absent := missing_columns(spark, name, declared):
+        raise RuntimeError(f"{name} lacks {', '.join(absent)}; apply the outstanding migrations first")

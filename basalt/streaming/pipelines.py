@@ -6,7 +6,9 @@ store's key and the quarantine's position make harmless when they are read.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import admission
 from ..operators.project import project
 from ..operators.route import analyse, classify_for_store
 from ..operators.store import append
@@ -29,6 +32,69 @@ def read_backbone(spark: SparkSession, path: str, files_per_trigger: int = 16) -
     return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def kafka_records(raw: DataFrame) -> DataFrame:
+    """The columns of RECORD from a Kafka source's."""
+    return raw.select("key", "value", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"))
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, records_per_trigger: int = 1_000_000, **options: str) -> DataFrame:
+    """The same from a broker, from the earliest offset on; offsets are kept in the query's checkpoint, once a batch is written."""
+    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    source = source.option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", records_per_trigger)
+    return kafka_records(source.options(**options).load())
+
+
+@dataclass
+class Retry:
+    """Tries an action until it succeeds, waiting twice as long after each failure up to a ceiling.
+
+    attempts has (batch, attempt, stored, seconds) of each try. Errors are kept to the last: with `most` tries used up the last one
+    is raised, and the batch is delivered again when the query is next started.
+    """
+
+    first_seconds: float = 0.5
+    ceiling_seconds: float = 30.0
+    most: int | None = None
+    sleep: Callable[[float], None] = time.sleep
+    attempts: list[tuple[int, int, bool, float]] = field(default_factory=list)
+
+    def delay(self, failures: int) -> float:
+        """Seconds to wait after so many failures in a row."""
+        return min(self.ceiling_seconds, self.first_seconds * 2.0 ** min(failures - 1, 60))
+
+    def run(self, batch: int, action: Callable[[], None]) -> None:
+        failures = 0
+        while True:
+            began = time.monotonic()
+            try:
+                action()
+            except Exception:
+                failures += 1
+                self.attempts.append((batch, failures, False, time.monotonic() - began))
+                if failures == self.most:
+                    raise
+                self.sleep(self.delay(failures))
+            else:
+                self.attempts.append((batch, failures + 1, True, time.monotonic() - began))
+                return
+
+
+def deliver(batches: DataFrame, write: Callable[[DataFrame], None], policy: admission.Policy = admission.Policy()) -> DataFrame:
+    """Admit batches, write the events of accepted ones, and only then say what became of each batch.
+
+    Returns admission's rows as settle() leaves them: acknowledgements() and rejections() of these are the answers. Where
+    the write fails no batch is acknowledged, and all that were accepted are refused with backbone_unavailable.
+    """
+    admitted = admission.admit(batches, policy).persist()
+    events = admitted.filter("accepted").select(F.explode("events").alias("event"))
+    try:
+        write(events)
+        durable = True
+    except Exception:
+        durable = False
+    return admission.settle(admitted, F.lit(durable))
+
+
 def write_batch(records: DataFrame, batch: int, store: str, refused: str) -> None:
     """One micro-batch: rows first, then the quarantine; a failure leaves the batch to be delivered again."""
     decoded = classify_for_store(decode(records), undecodable=F.col("undecodable")).persist()
@@ -41,8 +107,10 @@ def write_batch(records: DataFrame, batch: int, store: str, refused: str) -> Non
         decoded.unpersist()
 
 
-def start_writer(records: DataFrame, store: str, refused: str, checkpoint: str) -> StreamingQuery:
-    sink: Callable[[DataFrame, int], None] = lambda df, n: write_batch(df, n, store, refused)
+def start_writer(records: DataFrame, store: str, refused: str, checkpoint: str, retry: Retry | None = None) -> StreamingQuery:
+    """The writer as a query; a batch that fails is tried again as `retry` says, five times unless given, and holds back those after it."""
+    retry = retry or Retry(most=5)
+    sink: Callable[[DataFrame, int], None] = lambda df, n: retry.run(n, lambda: write_batch(df, n, store, refused))
     return records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -98,7 +166,11 @@ def limit_stream(requests: DataFrame, rate: float, burst: float, key: str = "age
 
 
 def limit_batch(requests: DataFrame, rate: float, burst: float, key: str = "agent_id") -> DataFrame:
-    """The same over a finished table. A key's rows are streamed in order of time, in batches, not gathered."""
+    """The same over a finished table. A key's rows are streamed in order of time, in batches, not gathered.
+
+    Each decision depends on the one before, so one task walks through all rows of a key, however many these are: it holds
+    one Arrow batch, spills its sort, and takes time in proportion to the busiest key.
+    """
     ship(requests.sparkSession)
     ordered = requests.repartition(key).sortWithinPartitions(key, "at_seconds", "request_id")
 

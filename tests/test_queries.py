@@ -51,6 +51,14 @@ def test_token_bucket_as_brute_force(spark, duck):
     from basalt.plans.workload import RECORDS
 
     rows = duck.execute(f"WITH r AS ({RECORDS}) SELECT agent_id, n, epoch_us(observed_time) / 1e6 FROM r WHERE copy = 0 ORDER BY 1, 3, 2").fetchall()
+    # by its own words: three at first, one more a day, three at most
+    own, held = {}, {}
+    for agent, n, at in rows:
+        tokens, last = held.get(agent, (3.0, at))
+        tokens = min(3.0, tokens + (at - last) / 86400)
+        own[n] = tokens >= 1
+        held[agent] = (tokens - own[n], at)
+    assert got == own
     want, state = {}, {}
     for agent, n, at in rows:
         tokens, last = state.get(agent, (3, None))

@@ -6,9 +6,9 @@ from basalt.operators.rules import All, Any, Not, Predicate, Rule, Technique, ch
 from test_contract import event, frame
 
 GOOD = Rule(
-    "ssh.failed_password_from_outside",
-    All((Predicate("authentication.outcome", "equals", ("failure",)), Predicate("authentication.service.protocol", "equals", ("ssh",)), Not(Predicate("authentication.network.source.ip", "starts_with", ("10.",))))),
-    technique=Technique("credential_access", "T1110.001", "Password guessing"),
+    "login.refused_for_service_account",
+    Any((All((Predicate("authentication.outcome", "one_of", ("failure", "unspecified")), Predicate("authentication.user.name", "starts_with", ("root",)), Not(Predicate("authentication.network.source.ip", "starts_with", ("10.",))))), Predicate("authentication.user.uid", "equals", ("-1",)))),
+    technique=Technique("initial_access", "T1078", "Valid accounts"),
 )
 
 
@@ -64,3 +64,10 @@ def test_evaluation(spark):
     assert matches(df, []).count() == 0
     with pytest.raises(ValueError, match="revision"):
         matches(df, [replace(GOOD, revision=0)])
+
+
+def test_five_hundred_rules(spark):
+    df = frame(spark, [event(), event(authentication__network__source__port=7)])
+    rules = [Rule(f"port.r{i}", Predicate("authentication.network.source.port", "equals", (i,))) for i in range(500)] + [GOOD]
+    got = {(r.i, r.rule_id) for r in matches(df, rules).collect()}
+    assert got == {(1, "port.r7"), (0, GOOD.id), (1, GOOD.id)}

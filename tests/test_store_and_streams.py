@@ -134,3 +134,102 @@ def test_filter_on_key_reaches_the_scan(spark, tmp_path):
     plan = store.final(store.scan(spark, str(tmp_path / "s"))).filter("tenant_id = 't'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(tenant_id,t)" in plan
     assert EVENT_TYPE.fieldNames()[0] == "event_id"
+
+
+def test_retention_reaches_the_scan_and_drops_months(spark, tmp_path):
+    rows = spark.createDataFrame([("t", datetime(2023, 11, 5), "a"), ("t", datetime(2024, 1, 15, 11, 59, 59, 500000), "b"), ("t", datetime(2024, 1, 15, 12, 0, 0, 500000), "c"), ("t", datetime(2024, 1, 15, 12, 0, 1), "d"), ("t", datetime(2024, 3, 1), "e")], "tenant_id string, event_time timestamp, event_id string")
+    for c in COLUMNS:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(""))
+    path, now = str(tmp_path / "s"), F.lit("2025-01-14 12:00:00").cast("timestamp")
+    store.append(rows.select(*COLUMNS), path, F.lit("1"))
+    kept = store.retained(store.scan(spark, path), now)
+    # by the rule itself: whole seconds of the event time, and 365 days more, lie after now
+    rule = store.scan(spark, path).filter(F.date_trunc("second", "event_time") + F.expr("interval 365 days") > now)
+    assert sorted(r.event_id for r in kept.collect()) == sorted(r.event_id for r in rule.collect()) == ["d", "e"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "event_month" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(event_time" in plan
+    assert [tuple(r) for r in store.expired_months(store.scan(spark, path), now).collect()] == [(202311, 1)]
+    assert store.drop_expired(spark, path, now) == [202311] and store.drop_expired(spark, path, now) == []
+    assert store.scan(spark, path).count() == 4
+
+
+def test_retry_doubles_to_a_ceiling():
+    from basalt.streaming.pipelines import Retry
+
+    waits, left = [], [6]
+
+    def action():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError("away")
+
+    retry = Retry(first_seconds=1, ceiling_seconds=10, sleep=waits.append)
+    retry.run(3, action)
+    assert waits == [1, 2, 4, 8, 10, 10]
+    assert [a[:3] for a in retry.attempts] == [(3, i, i == 7) for i in range(1, 8)]
+    with pytest.raises(OSError):
+        left[0] = 5
+        Retry(most=2, sleep=waits.append).run(4, action)
+
+
+def test_writer_tries_again(spark, tmp_path, monkeypatch):
+    from basalt.streaming import pipelines
+
+    fails = [2]
+    write = pipelines.write_batch
+
+    def flaky(*a):
+        fails[0] -= 1
+        if fails[0] >= 0:
+            raise OSError("the store is away")
+        write(*a)
+
+    monkeypatch.setattr(pipelines, "write_batch", flaky)
+    topic, db, bad = (str(tmp_path / x) for x in ("topic", "store", "quarantine"))
+    records(spark, [event(event_id=f"evt-{i:08d}") for i in range(6)]).write.parquet(topic)
+    retry = pipelines.Retry(first_seconds=0.01, sleep=lambda s: None)
+    start_writer(read_backbone(spark, topic), db, bad, str(tmp_path / "cp"), retry).awaitTermination()
+    assert store.scan(spark, db).count() == 6 and [a[2] for a in retry.attempts] == [False, False, True]
+
+
+def test_acknowledged_only_once_written(spark, tmp_path):
+    from basalt.operators import admission
+    from basalt.streaming.pipelines import deliver
+
+    now = datetime(2026, 8, 17, 10, 31)
+    rows = frame(spark, [event(event_id=f"evt-{i:08d}") for i in range(3)] + [event(event_id="")])
+    made = rows.groupBy((F.col("i") == 3).alias("bad")).agg(F.collect_list("event").alias("events"))
+    batches = made.select(F.when(F.col("bad"), "batch-bad").otherwise("batch-1").alias("batch_id"), F.lit(1).alias("protocol_version"), "events", F.lit("web-01").alias("agent_id"), F.lit("acme").alias("tenant_id"), F.lit(now).alias("received"))
+    policy = admission.Policy(age_seconds=40 * 365 * 86400, skew_seconds=40 * 365 * 86400)
+    out = str(tmp_path / "written")
+    good = deliver(batches, lambda e: e.write.parquet(out), policy)
+    assert [tuple(r) for r in admission.acknowledgements(good).collect()] == [("batch-1", True, True, 3)]
+    assert spark.read.parquet(out).count() == 3
+    lost = deliver(batches, lambda e: e.write.parquet(out), policy)  # the folder is there: the write fails
+    assert admission.acknowledgements(lost).count() == 0
+    codes = {r.batch_id: (r.code, r.status) for r in lost.withColumn("status", admission.status(F.col("code"))).collect()}
+    assert codes == {"batch-1": ("backbone_unavailable", 503), "batch-bad": ("invalid_event", 422)}
+
+
+def test_records_of_a_broker():
+    from basalt.streaming.pipelines import kafka_records
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    raw = spark.createDataFrame([], "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, timestampType int")
+    assert kafka_records(raw).schema.simpleString() == spark.createDataFrame([], RECORD).schema.simpleString()
+
+
+def test_start_on_a_table_that_is_behind(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS behind (event_id STRING) USING parquet")
+    with pytest.raises(RuntimeError, match="tenant_id"):
+        migrations.require(spark, "behind", ["event_id", "tenant_id"])
+    migrations.require(spark, "behind", ["event_id"])
+
+
+def test_lag_is_forgotten_on_revoke(spark):
+    log = [("t", 0, 1, "end", 5000), ("t", 1, 1, "end", 10), ("t", 1, 2, "commit", 8), ("t", 1, 3, "commit", 6), ("t", 2, 1, "end", 9), ("t", 2, 2, "revoke", None), ("t", 3, 1, "commit", 7), ("t", 3, 2, "revoke", None), ("t", 3, 3, "end", 20)]
+    df = spark.createDataFrame(log, "topic string, partition int, seq long, kind string, offset long")
+    assert {r.partition: r.lag for r in metrics.lag_state(df).collect()} == {0: 5000, 1: 2, 3: 20}
