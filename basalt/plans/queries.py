@@ -246,6 +246,25 @@ def rule_matches_failed_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.col("canonical.origin.tenant_id").alias("tenant_id")).agg(F.count(F.lit(1)).alias("matches"))
 
 
+#: A written rule of each user, many of which are wrong somewhere; both engines run this text.
+WRITTEN_RULES = """
+SELECT u, CASE WHEN u % 11 = 0 THEN concat('User.', cast(u AS varchar(20))) WHEN u % 13 = 0 THEN concat('user.u', cast(u AS varchar(20)), '.v2') ELSE concat('user.u', cast(u AS varchar(20))) END AS rule_id,
+  cast(u % 7 AS int) AS revision, CASE WHEN u % 17 = 0 THEN '  ' ELSE 'rule' END AS name, CASE WHEN u % 19 = 0 THEN 'urgent' ELSE 'low' END AS severity,
+  CASE WHEN u % 23 = 0 THEN 'on' ELSE 'active' END AS status, CASE WHEN u % 29 = 0 THEN 'guessing' WHEN u % 31 = 0 THEN '' ELSE 'impact' END AS tactic,
+  CASE WHEN u % 37 = 0 THEN 'T11' ELSE 'T1499' END AS technique_id, 'Denial of service' AS technique_name, CASE WHEN u % 5 = 0 THEN 9 ELSE 1 END AS event_class,
+  CASE WHEN u % 3 = 0 THEN 'no.such' WHEN u % 3 = 1 THEN 'authentication.outcome' ELSE 'origin.host.hostname' END AS field,
+  CASE WHEN u % 4 = 0 THEN 'above' WHEN u % 4 = 1 THEN 'equals' WHEN u % 4 = 2 THEN 'like' ELSE 'present' END AS operator,
+  CASE WHEN u % 4 = 3 THEN NULL WHEN u % 10 < 4 THEN 'failure' WHEN u % 10 < 8 THEN 'maybe' ELSE ' ' END AS value
+FROM (SELECT DISTINCT user_id AS u FROM events) AS users
+"""
+
+
+def rule_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that is wrong of each written rule that is refused."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id")
+    return rules.faults(spark.sql(WRITTEN_RULES.replace("FROM events", "FROM {events}"), events=events)).select("rule_id", "part")
+
+
 def backbone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded, keyed by agent, decoded again."""
     sent = to_records(records(spark, sf_dir).filter("NOT undecodable"))
@@ -367,7 +386,7 @@ QUERIES = {f.__name__: f for f in (
     analysis_counters, store_counters, event_delay_histogram, event_lag_histogram, ingest_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
     admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
     pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
-    write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months,
+    write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months, rule_faults,
 )}
 
 _VIOLATION = """CASE
@@ -479,6 +498,11 @@ UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND
     "unapplied_batches": _BATCHES + " SELECT b FROM c WHERE code IS NOT NULL",
     "agent_method_drift": f"WITH r AS ({RECORDS}), g AS (SELECT agent_id AS name, arg_max(method, n) AS current FROM r WHERE copy = 0 AND NOT broken GROUP BY 1) SELECT name, 'password' AS declared, current FROM g WHERE current <> 'password'",
     "expired_months": _STORE + " SELECT cast(year(event_time) * 100 + month(event_time) AS INTEGER) AS event_month, count(*) AS events FROM s WHERE year(event_time) * 100 + month(event_time) < 202402 GROUP BY 1",
+    "rule_faults": f"""WITH w AS ({WRITTEN_RULES}), x AS (SELECT rule_id, CASE
+  WHEN u % 11 = 0 OR u % 13 = 0 THEN 'id' WHEN revision < 1 THEN 'revision' WHEN trim(name) = '' THEN 'name' WHEN severity = 'urgent' THEN 'severity' WHEN status = 'on' THEN 'status'
+  WHEN tactic = '' THEN 'technique' WHEN tactic = 'guessing' THEN 'technique.tactic' WHEN technique_id = 'T11' THEN 'technique.id' WHEN event_class = 9 THEN 'class'
+  WHEN field = 'no.such' OR operator IN ('above', 'like') OR operator = 'equals' AND (value = ' ' OR field = 'authentication.outcome' AND value = 'maybe') THEN concat('match.', field) END AS part FROM w)
+SELECT rule_id, part FROM x WHERE part IS NOT NULL""",
     "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
     "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
     "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",

@@ -212,12 +212,9 @@ def test_acknowledged_only_once_written(spark, tmp_path):
     assert codes == {"batch-1": ("backbone_unavailable", 503), "batch-bad": ("invalid_event", 422)}
 
 
-def test_records_of_a_broker():
+def test_records_of_a_broker(spark):
     from basalt.streaming.pipelines import kafka_records
 
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     raw = spark.createDataFrame([], "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, timestampType int")
     assert kafka_records(raw).schema.simpleString() == spark.createDataFrame([], RECORD).schema.simpleString()
 
