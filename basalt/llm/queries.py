@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, tokencount
+from . import centroids, chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, tokencount
 from .common import prepare, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -154,6 +154,33 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str, k: int = 40, rounds: int = 5) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k, rounds)
+
+
+def _centroids_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds written out, one after another; a distance and its centroid's number share one integer, so the least is the nearest."""
+    parts = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, q) - 1 AS j, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT r, m % 65536 AS j, m // 65536 AS d FROM (SELECT r, min(CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 65536 + j) AS m FROM v, c{i} c GROUP BY r))")
+        if i < rounds:
+            parts.append(f"u{i} AS (SELECT j, p, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT j, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM v JOIN a{i} USING (r)) GROUP BY j, p)")
+            parts.append(f"m{i} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM u{i} GROUP BY j)")
+            parts.append(f"c{i + 1} AS (SELECT c.j, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (j))")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.j = a.j"""
+    )
+
+
 def _prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str, **parameters) -> DataFrame:
@@ -165,6 +192,6 @@ def _prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 QUERIES = {
     q.__name__: _prepared(q)
-    for q in (op1_lm_score, op2_decontaminate, op3_quality, op4_pieces, op5_chat_format, op6_token_counts, op7_line_dedup, op8_main_text, op9_fingerprints, op10_near_duplicates)
+    for q in (op1_lm_score, op2_decontaminate, op3_quality, op4_pieces, op5_chat_format, op6_token_counts, op7_line_dedup, op8_main_text, op9_fingerprints, op10_near_duplicates, op11_centroids)
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op11_centroids": _centroids_sql(40, 5)}
