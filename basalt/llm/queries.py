@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, tokencount, vectorsearch
+from . import centroids, chat, decontaminate, extract, linededup, lm, merkle, neardup, pieces, quality, spelling, tokencount, vectorsearch
 from .common import prepare, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -185,6 +185,10 @@ def op12_neighbours(spark: SparkSession, sf_dir: str, every: int = 20, k: int =
     return vectorsearch.nearest(table(spark, sf_dir, "embeddings"), every, k)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def _prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str, **parameters) -> DataFrame:
@@ -196,6 +200,6 @@ def _prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 QUERIES = {
     q.__name__: _prepared(q)
-    for q in (op1_lm_score, op2_decontaminate, op3_quality, op4_pieces, op5_chat_format, op6_token_counts, op7_line_dedup, op8_main_text, op9_fingerprints, op10_near_duplicates, op11_centroids, op12_neighbours)
+    for q in (op1_lm_score, op2_decontaminate, op3_quality, op4_pieces, op5_chat_format, op6_token_counts, op7_line_dedup, op8_main_text, op9_fingerprints, op10_near_duplicates, op11_centroids, op12_neighbours, op13_spelling)
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op11_centroids": _centroids_sql(40, 5)}
