@@ -71,6 +71,59 @@ def test_batches_don_t_matter(vocabulary):
     assert [(a, [s for s, _ in b]) for a, b in whole] == [(a, [s for s, _ in b]) for a, b in single]
 
 
+def plain_merges(raw, ranks):
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks]
+        if not found:
+            return len(parts)
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merging_of_runs_as_one_pair_after_another():
+    rng = np.random.default_rng(8)
+    for trial in range(300):
+        # a vocabulary in which every token is a merge of two earlier ones
+        names = [bytes([c]) for c in b"ab"]
+        while len(names) < 3 + trial % 9:
+            new = names[rng.integers(len(names))] + names[rng.integers(len(names))]
+            names += [new] * (new not in names)
+        ranks = {n: i for i, n in enumerate(names)}
+        raw = b"".join(bytes([c]) * int(k) for c, k in zip(rng.choice(list(b"ab"), 9), rng.integers(1, 9, 9), strict=True))
+        assert tokencount.merged_length(raw, ranks) == plain_merges(raw, ranks), (raw, names)
+    assert tokencount.merged_length(b"", {}) == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", "\r\n", " \n\n"])
+def test_long_white_space_counts_as_short_runs_do(spark, monkeypatch, run):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=tokencount.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(tokencount, "_BLANK", tokencount.re.compile(r"\s{3,}"))
+    for n in (1, 2, 3, 4, 5, 7, 8, 64, 301):
+        for text in (run * n, run * n + "x", "it's" + run * n + "'s 1", run * n + "\n x" + run * n):
+            assert tokencount.text_length(text, enc) == len(enc.encode_ordinary(text)), (run, n, text)
+
+
+def test_runs_that_stop_the_tokenizer(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, " " * 10_000_000 + "x", "\n" * 10_000_000 + "x", "\t" * 100_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(5)
+    # this vocabulary has no token of spaces, pairs of new lines and sixteen tabs at most
+    got = sorted(r[0] for r in tokencount.token_lengths(df, RANKS).collect())
+    whole = [tokencount.merged_length(t[:n].encode(), _ranks()) for t, n in (("\n" * 1_000_000, 1_000_000), ("\n" * 9_999_999, 9_999_999), ("\t" * 100_000_000, 100_000_000))]
+    assert got == sorted([1_000_000, whole[0], 10_000_000, whole[1] + 2, whole[2]])
+
+
+def _ranks():
+    import base64
+
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+
+
 def test_token_counts(spark):
     import base64
 
