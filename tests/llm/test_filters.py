@@ -148,3 +148,13 @@ def test_line_dedup_far_above_the_threshold(spark):
     rows = [(i, f"shared line\nown line number {i} which is long", f"s{i}") for i in range(300)]
     out = linededup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=20)
     assert out.agg(F.sum("lines_removed")).first()[0] == 300
+
+
+def test_line_dedup_of_a_million_lines(spark):
+    shared = [f"shared line {i}" for i in range(10)]
+    long = [x for i in range(500_000) for x in (shared[i % 10], f"own {i}")]
+    rows = [(i, "\n".join([*shared, f"tail {i}"]), f"site-{i}") for i in range(12)] + [(99, "\n".join(long), "site-0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = {r.doc_id: r for r in linededup.remove_boilerplate(docs).collect()}
+    assert out[99].lines_removed == 500_000 and out[99].text == "\n".join(long[1::2])
+    assert out[3].text == "tail 3"
