@@ -125,6 +125,11 @@ def _cut(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(place[lo]), lo, hi
 
 
+def _group(number: int, within: int) -> int:
+    """The one of so many groups that a block is in: by a hash, as numbers of blocks share their low bits."""
+    return int(words.mix(np.array([number + 1], np.uint64))[0] % np.uint64(within))
+
+
 def _ask(order: int, plan: Plan):
     """Blocks of (doc_id, role, text): a row of tokens for each, and rows of keys and counts for each range of buckets."""
     schema = _arrow("dest long, " + _ROW)
@@ -135,7 +140,7 @@ def _ask(order: int, plan: Plan):
         n = np.array(lens)
         starts = np.cumsum(n) - n
         train = np.repeat(np.array(roles) != HELD_OUT, n)
-        group = number % plan.within
+        group = _group(number, plan.within)
         key, first = token, _start_key()
         for k in range(1, order + 1):
             if k > 1:

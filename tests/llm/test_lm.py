@@ -173,3 +173,11 @@ def test_ranges_of_buckets(spark, monkeypatch):
     assert got.keys() == want.keys()
     for i, r in got.items():
         assert tuple(r)[:5] == tuple(want[i])[:5] and r.base_score == pytest.approx(want[i].base_score, rel=1e-12) and r.score == pytest.approx(want[i].score, rel=1e-9)
+
+
+@pytest.mark.parametrize("within", [2, 64, 1024])
+def test_groups_of_blocks_are_even(within):
+    numbers = [(part << 24) + k for part in range(5000) for k in range(15)]
+    sizes = np.bincount([lm._group(n, within) for n in numbers], minlength=within)
+    mean = len(numbers) / within
+    assert len(sizes) == within and abs(sizes - mean).max() < 6 * mean**0.5
