@@ -242,7 +242,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64()) * 2)], ["word", "n", "other", "other_n"])
 
     work = posted.select(*unit, "side", "word", "n").unionByName(asked.select(*unit, "side", "word", "n"))
-    work = work.repartition(*unit).sortWithinPartitions(*unit, "side")
+    # a number keeps small partitions apart, each of which is much work
+    work = work.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit).sortWithinPartitions(*unit, "side")
     return work.mapInArrow(match, "word string, n long, other string, other_n long").distinct()
 
 

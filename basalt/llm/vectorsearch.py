@@ -30,7 +30,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 #: Wanted vectors a list, and most lists.
 LIST_ROWS, MOST_LISTS = 2_048, 4_096
 #: Bytes of candidates, as doubles, and queries of one unit of work.
-SHARD_BYTES, SHARD_QUERIES = 16 << 20, 16_384
+SHARD_BYTES, SHARD_QUERIES = 4 << 20, 16_384
 #: Longer vectors are measured whole.
 MOST_WIDE = 4_096
 BLOCK, EPSILON, FIRST, SEGMENT = 16, 2.1, 128, 2_048
@@ -351,7 +351,8 @@ def nearest(
 
     schema = f"{_UNIT}, v {vector}"
     work = placed.mapInArrow(dealt(0), schema).unionByName(asking.mapInArrow(dealt(1), schema))
-    work = work.repartition("width", "shard", "part").sortWithinPartitions("width", "shard", "part", "side")
+    # a number keeps small partitions apart, each of which is much work
+    work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "width", "shard", "part").sortWithinPartitions("width", "shard", "part", "side")
     found = work.mapInArrow(search, "key binary, ids array<long>, scores array<double>")
     pairs = found.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("key", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
