@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import admission, metrics, rules, store
+from ..operators import admission, metrics, rule_index, rule_trees, rules, store, text_patterns
 from ..operators.contract import outside_window, unstorable, violation
 from ..operators.project import COLUMNS, project
 from ..operators.route import analyse, classify_for_analysis, classify_for_store
 from ..operators.rules import All, Any, Not, Predicate, Rule, Technique
 from ..sources.codec import decode, delivery, partition_of, quarantine, to_records
+from ..sources.scratch import scratch
 from ..streaming.pipelines import limit_batch
 from .workload import RECORDS, flat, nested, records
 
@@ -246,6 +247,57 @@ def rule_matches_failed_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.col("canonical.origin.tenant_id").alias("tenant_id")).agg(F.count(F.lit(1)).alias("matches"))
 
 
+def rule_matches_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of rule_matches, by the index."""
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'").select("n", "offset", "canonical")
+    index = rule_index.build(*rule_trees.tables(spark, RULES), scratch(spark))
+    return rule_index.matches(df, index, "canonical").select("n", "offset", "rule_id", "severity")
+
+
+#: A rule of each user: events of this host or the next, from a port on, that didn't succeed.
+USER_HEADERS = """SELECT concat('user.u', cast(u AS varchar(20))) AS rule_id, cast(1 AS bigint) AS revision, 'host' AS name, 'host of a user' AS description, '' AS false_positives, '' AS response,
+  CASE WHEN u % 2 = 0 THEN 'low' ELSE 'high' END AS severity, CASE WHEN u % 9 = 8 THEN 'draft' ELSE 'active' END AS status, '' AS tactic, '' AS technique_id, '' AS technique_name, 1 AS event_class
+FROM (SELECT DISTINCT user_id AS u FROM {events}) AS users"""
+USER_NODES = """SELECT concat('user.u', cast(u AS string)) AS rule_id, cast(t.node AS bigint) AS node, cast(t.parent AS bigint) AS parent, t.node AS ordinal, t.kind, t.field, t.operator, t.values
+FROM (SELECT DISTINCT user_id AS u FROM {events}) AS users LATERAL VIEW explode(array(
+  named_struct('node', 0, 'parent', NULL, 'kind', 'all', 'field', NULL, 'operator', NULL, 'values', NULL),
+  named_struct('node', 1, 'parent', 0, 'kind', 'predicate', 'field', 'authentication.network.source.port', 'operator', 'at_least', 'values', array(named_struct('kind', 'number', 'value', cast(1024 + u % 5 * 10000 AS string)))),
+  named_struct('node', 2, 'parent', 0, 'kind', 'predicate', 'field', 'origin.host.hostname', 'operator', 'one_of', 'values', array(named_struct('kind', 'text', 'value', concat('host-', u)), named_struct('kind', 'text', 'value', concat('host-', u + 1)))),
+  named_struct('node', 3, 'parent', 0, 'kind', 'not', 'field', NULL, 'operator', NULL, 'values', NULL),
+  named_struct('node', 4, 'parent', 3, 'kind', 'predicate', 'field', 'authentication.outcome', 'operator', 'equals', 'values', array(named_struct('kind', 'text', 'value', 'success'))))) x AS t"""
+
+
+def rule_index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that each of as many rules as there are users matches."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id")
+    index = rule_index.build(spark.sql(USER_HEADERS, events=events), spark.sql(USER_NODES, events=events), scratch(spark))
+    df = _analysed(spark, sf_dir).filter("outcome = 'analysed'").select("canonical")
+    return rule_index.matches(df, index, "canonical").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("matches"))
+
+
+#: Literals by field of the canonical event.
+LITERALS = [x for i in range(250) for x in (("hostname", "ends_with", f"-{i}"), ("user_name", "contains", f"r-{i}"), ("source_ip", "starts_with", f"10.0.{i}."))]
+
+
+def literal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose host, user or address ends with, contains or starts with each literal."""
+    df = normalized_events(spark, sf_dir).select("hostname", "user_name", "source_ip")
+    return text_patterns.hits(df, ["hostname", "user_name", "source_ip"], LITERALS).groupBy("field", "operator", "literal").agg(F.count(F.lit(1)).alias("events"))
+
+
+#: A tree of each user: as many terms below one another as u % 20, then a predicate, or a group of nothing.
+TREE_NODES = """SELECT concat('user.u', cast(u AS string)) AS rule_id, cast(i AS bigint) AS node, cast(CASE WHEN i > 0 THEN i - 1 END AS bigint) AS parent, 0 AS ordinal,
+  CASE WHEN i < u % 20 THEN element_at(array('not', 'all', 'any'), cast(i % 3 AS int) + 1) WHEN u % 7 = 0 THEN 'all' ELSE 'predicate' END AS kind,
+  CASE WHEN u % 3 = 0 THEN 'no.such' ELSE 'event_id' END AS field, 'present' AS operator, CAST(array() AS array<struct<kind: string, value: string>>) AS values
+FROM (SELECT DISTINCT user_id AS u FROM {events}) AS users LATERAL VIEW explode(sequence(0, cast(u % 20 AS int))) x AS i"""
+
+
+def rule_tree_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the trees of as many rules as there are users."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id")
+    return rule_trees.faults(spark.sql(USER_HEADERS, events=events), spark.sql(TREE_NODES, events=events))
+
+
 #: A written rule of each user, many of which are wrong somewhere; both engines run this text.
 WRITTEN_RULES = """
 SELECT u, CASE WHEN u % 11 = 0 THEN concat('User.', cast(u AS varchar(20))) WHEN u % 13 = 0 THEN concat('user.u', cast(u AS varchar(20)), '.v2') ELSE concat('user.u', cast(u AS varchar(20))) END AS rule_id,
@@ -387,6 +439,7 @@ QUERIES = {f.__name__: f for f in (
     admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
     pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
     write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months, rule_faults,
+    rule_matches_indexed, rule_index_hits, literal_hits, rule_tree_faults,
 )}
 
 _VIOLATION = """CASE
@@ -503,9 +556,22 @@ UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND
   WHEN tactic = '' THEN 'technique' WHEN tactic = 'guessing' THEN 'technique.tactic' WHEN technique_id = 'T11' THEN 'technique.id' WHEN event_class = 9 THEN 'class'
   WHEN field = 'no.such' OR operator IN ('above', 'like') OR operator = 'equals' AND (value = ' ' OR field = 'authentication.outcome' AND value = 'maybe') THEN concat('match.', field) END AS part FROM w)
 SELECT rule_id, part FROM x WHERE part IS NOT NULL""",
+    "rule_index_hits": _ANALYSIS + """, u AS (SELECT DISTINCT user_id AS u FROM events), k AS (SELECT u, concat('host-', h) AS host FROM u, (SELECT unnest([0, 1]) AS d) JOIN LATERAL (SELECT u + d AS h) ON true WHERE u % 9 <> 8)
+SELECT concat('user.u', u) AS rule_id, CASE WHEN u % 2 = 0 THEN 'low' ELSE 'high' END AS severity, count(*) AS matches
+FROM a JOIN k ON a.c_hostname = k.host WHERE verdict = 'analysed' AND source_port >= 1024 + u % 5 * 10000 AND outcome <> 1 GROUP BY u""",
+    "literal_hits": _ANALYSIS + """, c AS (SELECT * FROM a WHERE verdict = 'analysed'), i AS (SELECT unnest(range(250)) AS i)
+SELECT 'hostname' AS field, 'ends_with' AS operator, concat('-', i) AS literal, count(*) AS events FROM c JOIN i ON ends_with(c_hostname, concat('-', i)) GROUP BY i
+UNION ALL SELECT 'user_name', 'contains', concat('r-', i), count(*) FROM c JOIN i ON contains(c_user, concat('r-', i)) GROUP BY i
+UNION ALL SELECT 'source_ip', 'starts_with', concat('10.0.', i, '.'), count(*) FROM c JOIN i ON starts_with(c_ip, concat('10.0.', i, '.')) GROUP BY i""",
+    "rule_tree_faults": """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
+p AS (SELECT u, u % 20 AS d, concat('match', array_to_string([['.not', '.all[0]', '.any[0]'][i % 3 + 1] FOR i IN range(least(u % 20, 17))], '')) AS path FROM u),
+x AS (SELECT u, CASE WHEN d > 16 THEN path WHEN u % 7 = 0 THEN concat(path, '.all') WHEN u % 3 = 0 THEN concat(path, '.no.such') END AS part,
+  CASE WHEN d > 16 THEN 'lies more than 16 deep' WHEN u % 7 = 0 THEN 'combines nothing' ELSE 'no such field' END AS reason FROM p)
+SELECT concat('user.u', u) AS rule_id, part, reason FROM x WHERE part IS NOT NULL""",
     "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
     "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
     "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",
     "key_delivery_order": f"WITH r AS ({RECORDS}), o AS (SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, seq, lag(seq) OVER (PARTITION BY CASE WHEN NOT no_origin THEN agent_id END ORDER BY pos) AS prior FROM r WHERE NOT broken) SELECT agent, count(*) AS records, CAST(1 AS BIGINT) AS partitions, count(*) FILTER (seq < prior) AS out_of_order, count(*) FILTER (seq = prior) AS repeated FROM o GROUP BY agent",
     "key_order": f"WITH r AS ({RECORDS}) SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, cast(part AS INTEGER) AS \"partition\", count(*) AS records, CASE WHEN count(*) > 1 THEN CAST(0 AS BIGINT) END AS out_of_order FROM r WHERE NOT broken GROUP BY 1, 2",
 }
+ORACLES["rule_matches_indexed"] = ORACLES["rule_matches"]
