@@ -20,13 +20,12 @@ def month(c: Column) -> Column:
 def append(rows: DataFrame, path: str, write_seq: Column) -> None:
     """Add rows in the store's columns; write_seq says which of two rows with one key was written later.
 
-    Rows are clustered by month before they are written, in as many parts as the shuffle has, so a month makes
-    a bounded number of files; within a file they are sorted by the key, which lets a reader skip row groups
-    of other tenants.
+    Rows are clustered by month before they are written: a month makes as many files as its size asks, for adaptive
+    execution splits what is large and joins what is small. Within a file they are sorted by the key, which lets a
+    reader skip row groups of other tenants.
     """
     out = rows.withColumn("write_seq", write_seq).withColumn("event_month", month(F.col("event_time")))
-    out = out.repartition("event_month", F.pmod(F.xxhash64("tenant_id", "event_id"), F.lit(8)))
-    out.sortWithinPartitions("event_month", *KEY).write.mode("append").partitionBy("event_month").option("compression", "zstd").parquet(path)
+    out.hint("rebalance", F.col("event_month")).sortWithinPartitions("event_month", *KEY).write.mode("append").partitionBy("event_month").option("compression", "zstd").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -38,13 +37,14 @@ def scan(spark: SparkSession, path: str, since: datetime | None = None, until: d
     return df
 
 
-def final(rows: DataFrame, write_seq: str = "write_seq") -> DataFrame:
+def final(rows: DataFrame, write_seq: str = "write_seq", keep: list[str] = COLUMNS) -> DataFrame:
     """One row for each (tenant, event time, event id): the one written last.
 
-    A filter on a key column is pushed below the window to the scan; others have to see the surviving row.
+    A filter on a key column is pushed below the window to the scan; others have to see the surviving row. Rows of one
+    key that meet in a task are cut to the last before the shuffle. merging.final_rows() needs no shuffle of merged rows.
     """
     last = Window.partitionBy(*KEY).orderBy(F.desc(write_seq))
-    return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").select(*COLUMNS)
+    return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").select(*keep)
 
 
 def final_count(rows: DataFrame, *by: str) -> DataFrame:

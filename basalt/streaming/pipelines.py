@@ -1,11 +1,12 @@
 """The two consumers of the backbone as Structured Streaming queries, and a limiter by agent.
 
-Each has its own checkpoint. A micro-batch is delivered at least once: a replay appends rows again, which the
-store's key and the quarantine's position make harmless when they are read.
+Each has its own checkpoint. A micro-batch is delivered at least once: one that is tried again replaces the folder that
+it wrote, and records that were published twice meet in the store's key and the quarantine's position.
 """
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -16,14 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import admission
+from ..operators import admission, merging
 from ..operators.project import project
 from ..operators.route import analyse, classify_for_store
-from ..operators.store import append
+from ..sources import migrations
 from ..sources.codec import decode, quarantine
 from ..sources.package import ship
 from .counters import observe
 
+_log = logging.getLogger(__name__)
 RECORD = "key binary, value binary, partition int, offset long"
 
 
@@ -79,38 +81,96 @@ class Retry:
                 return
 
 
+def drop_replays(records: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Records without those whose key and value came before, no longer ago than `within`.
+
+    The time is that of arrival, so no record is too late for the watermark: a replay that comes later than that
+    is passed on, and left to the store's key. Records of one key whose values differ are all kept.
+    """
+    mark = F.struct(F.md5(F.coalesce("key", F.lit(b""))).alias("k"), F.md5(F.coalesce("value", F.lit(b""))).alias("v"), F.col("key").isNull().alias("n"), F.col("value").isNull().alias("m"))
+    timed = records.withColumn("_came", F.current_timestamp()).withColumn("_mark", mark).withWatermark("_came", within)
+    return timed.dropDuplicatesWithinWatermark(["_mark"]).drop("_came", "_mark")
+
+
 def deliver(batches: DataFrame, write: Callable[[DataFrame], None], policy: admission.Policy = admission.Policy()) -> DataFrame:
     """Admit batches, write the events of accepted ones, and only then say what became of each batch.
 
     Returns admission's rows as settle() leaves them: acknowledgements() and rejections() of these are the answers. Where
-    the write fails no batch is acknowledged, and all that were accepted are refused with backbone_unavailable.
+    the write fails its cause is logged, no batch is acknowledged, and all that were accepted are refused with
+    backbone_unavailable.
     """
-    admitted = admission.admit(batches, policy).persist()
+    admitted = admission.admit(batches, policy)
     events = admitted.filter("accepted").select(F.explode("events").alias("event"))
     try:
         write(events)
         durable = True
     except Exception:
+        _log.exception("accepted batches couldn't be written")
         durable = False
     return admission.settle(admitted, F.lit(durable))
 
 
-def write_batch(records: DataFrame, batch: int, store: str, refused: str) -> None:
-    """One micro-batch: rows first, then the quarantine; a failure leaves the batch to be delivered again."""
+def write_batch(records: DataFrame, batch: int, store: str, refused: str, epoch: int = 0) -> dict[str, int]:
+    """One micro-batch: rows first, then the quarantine, each into the batch's own folder; returns how many had each outcome.
+
+    A failure leaves the batch to be delivered again, which replaces what it had left. epoch says which writer came
+    first where their batches' numbers are the same.
+    """
     decoded = classify_for_store(decode(records), undecodable=F.col("undecodable")).persist()
+    name = f"{epoch:015d}-{batch:020d}"
     try:
-        seq = F.format_string("%020d-%010d-%020d", F.lit(batch), "partition", "offset")
+        seq = F.format_string(f"{name}-%010d-%020d", "partition", "offset")
         rows = project(decoded.filter("outcome = 'row'"), keep=("partition", "offset"))
-        append(rows.withColumn("write_seq", seq).drop("partition", "offset"), store, F.col("write_seq"))
-        quarantine(decoded).write.mode("append").parquet(refused)
+        merging.write_batch(rows.withColumn("write_seq", seq).drop("partition", "offset"), store, name, F.col("write_seq"))
+        quarantine(decoded).write.mode("overwrite").parquet(f"{refused}/batch={name}")
+        return {r[0]: r[1] for r in decoded.groupBy("outcome").count().collect()}  # a row for each outcome
     finally:
         decoded.unpersist()
 
 
-def start_writer(records: DataFrame, store: str, refused: str, checkpoint: str, retry: Retry | None = None) -> StreamingQuery:
-    """The writer as a query; a batch that fails is tried again as `retry` says, five times unless given, and holds back those after it."""
-    retry = retry or Retry(most=5)
-    sink: Callable[[DataFrame, int], None] = lambda df, n: retry.run(n, lambda: write_batch(df, n, store, refused))
+MEASURES = "batch long, attempt int, stored boolean, events long, quarantined long, seconds double"
+
+
+def _epoch(spark: SparkSession, checkpoint: str) -> int:
+    """When a query with this checkpoint was first started, in milliseconds; kept beside it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}.epoch")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = [int(f.getPath().getName()) for f in fs.listStatus(at)] if fs.exists(at) else []
+    if not known:
+        known = [time.time_ns() // 1_000_000]
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at, str(known[0])))
+    return min(known)
+
+
+def start_writer(
+    records: DataFrame, store: str, refused: str, checkpoint: str, retry: Retry | None = None, measures: str | None = None, table: str | None = None
+) -> StreamingQuery:
+    """The writer as a query; a batch that fails is tried again until it succeeds or the query is stopped, and holds back those after it.
+
+    `retry` may say otherwise. Each batch's attempts are written to a folder of their own under measures, which a batch that is
+    delivered again replaces. A table that readers use, and that lacks columns, keeps the query from starting.
+    """
+    spark, retry = records.sparkSession, retry or Retry()
+    if table is not None:
+        migrations.require(spark, table)
+    epoch = _epoch(spark, checkpoint)
+
+    def sink(df: DataFrame, n: int) -> None:
+        found: dict[str, int] = {}
+
+        def attempt() -> None:
+            found.update(write_batch(df, n, store, refused, epoch) or {})
+
+        before = len(retry.attempts)
+        try:
+            retry.run(n, attempt)
+        finally:
+            if measures is not None:
+                stored = found.get("row", 0)
+                rows = [(b, i, ok, stored if ok else 0, sum(found.values()) - stored if ok else 0, s) for b, i, ok, s in retry.attempts[before:]]
+                df.sparkSession.createDataFrame(rows, MEASURES).coalesce(1).write.mode("overwrite").parquet(f"{measures}/batch_of={epoch:015d}-{n:020d}")
+                del retry.attempts[before:]
+
     return records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
