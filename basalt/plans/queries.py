@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admission, metrics, rule_index, rule_trees, rules, store, text_patterns
+from ..operators import admission, merging, metrics, rule_index, rule_trees, rules, store, text_patterns
 from ..operators.contract import outside_window, unstorable, violation
 from ..operators.project import COLUMNS, project
 from ..operators.route import analyse, classify_for_analysis, classify_for_store
 from ..operators.rules import All, Any, Not, Predicate, Rule, Technique
-from ..sources.codec import decode, delivery, partition_of, quarantine, to_records
+from ..sources.codec import decode, delivery, publish, quarantine, to_records
 from ..sources.scratch import scratch
-from ..streaming.pipelines import limit_batch
+from ..streaming.pipelines import limit_batch, read_backbone, start_writer
 from .workload import RECORDS, flat, nested, records
 
 RULES = [
@@ -20,7 +20,7 @@ RULES = [
         "ssh.refused_high_port",
         All((
             Predicate("authentication.service.protocol", "one_of", ("ssh", "sftp")),
-            Predicate("authentication.network.source.port", "at_least", (30000,)),
+            Predicate("authentication.network.source.port", "at_least", (1500,)),
             Not(Predicate("authentication.outcome", "equals", ("success",))),
         )),
         severity="high",
@@ -164,11 +164,6 @@ def event_delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(df, metrics.seconds_between(F.col("event.reception.ingest_time"), reached), metrics.BUCKETS["event_delay_seconds"])
 
 
-def event_lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = records(spark, sf_dir).filter(~F.col("undecodable") & unstorable(F.col("event")).isNull())
-    return metrics.histogram(df, metrics.seconds_between(F.col("event.time.event_time"), F.col("event.reception.ingest_time")), metrics.BUCKETS["event_lag_seconds"])
-
-
 def ingest_lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag as the gateway observes it: of the events before the first invalid one of each batch that is checked."""
     df = admission.admit(_batches(spark, sf_dir), WIDE).filter("n_valid > 0")
@@ -395,35 +390,47 @@ def expired_months(spark: SparkSession, sf_dir: str, now: str = "2025-02-15 12:0
     return store.expired_months(_stored(spark, sf_dir), F.lit(now).cast("timestamp"), month_of=store.month(F.col("event_time")))
 
 
-def setting_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = spark.createDataFrame([("retention.ms", "604800000"), ("cleanup.policy", "delete"), ("compression.type", "zstd")], "name string, value string")
-    current = spark.createDataFrame([("retention.ms", "86400000"), ("cleanup.policy", "delete")], "name string, value string")
-    return metrics.drift(declared, current)
+def key_delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each agent's records, as publish() wrote them, how many have a lower or the same sequence as the one before."""
+    df = records(spark, sf_dir).filter("NOT undecodable").withColumn("_sequence", F.col("event.collection.sequence"))
+    log = scratch(spark)
+    publish(to_records(df, keep=("_sequence",)), log, order=("_sequence",))
+    back = decode(spark.read.parquet(log)).select(F.col("key").cast("string").alias("agent"), "partition", "offset", F.col("event.collection.sequence").alias("sequence"))
+    return delivery(back, "agent")
 
 
-def pending_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = spark.createDataFrame([(1, "create"), (2, "add_process"), (3, "add_network")], "version long, name string")
-    return metrics.outstanding(shipped, spark.createDataFrame([(1,), (1,)], "version long"))
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The table's records, published and written to a store by the stream, four files a batch: (store, measures)."""
+    at = scratch(spark)
+    publish(to_records(records(spark, sf_dir).filter("NOT undecodable").withColumn("_at", F.col("offset")), keep=("_at",)), f"{at}/log", order=("_at",))
+    start_writer(read_backbone(spark, f"{at}/log", 4), f"{at}/store", f"{at}/refused", f"{at}/checkpoint", measures=f"{at}/measures").awaitTermination()
+    return f"{at}/store", f"{at}/measures"
 
 
-def protocol_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.descriptor(spark.range(1))
+def store_streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one tenant in a store that the stream wrote and that was merged."""
+    store_at, _ = _written(spark, sf_dir)
+    merging.merge(spark, store_at)
+    return _plain(merging.final_rows(merging.open_store(spark, store_at)).filter("tenant_id = 'tenant-1'").select(*COLUMNS))
 
 
-def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of each agent, and how many stand before their predecessor in the order of delivery."""
-    df = records(spark, sf_dir).filter("NOT undecodable").select(F.col("event.origin.agent_id").alias("agent"), "partition", "offset")
-    w = Window.partitionBy("agent", "partition").orderBy("offset")
-    df = df.withColumn("before", F.lag("offset").over(w))
-    return df.groupBy("agent", "partition").agg(F.count(F.lit(1)).alias("records"), F.sum((F.col("before") >= F.col("offset")).cast("long")).alias("out_of_order"))
+def store_merged_count_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each tenant, of two batches of which one was merged: the later one has what was delivered again."""
+    rows, at = _stored(spark, sf_dir), scratch(spark)
+    seq = F.format_string("%020d", "write_seq")
+    for i, part in enumerate(("write_seq % 2 = 0", "write_seq % 2 = 1")):
+        merging.write_batch(rows.filter(part).withColumn("_seq", seq).drop("write_seq"), at, str(i), F.col("_seq"))
+        if i == 0:
+            merging.merge(spark, at)
+    return merging.final_rows(merging.open_store(spark, at)).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("events"))
 
 
-def key_delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each agent's records, partitioned by key, how many have a lower or the same sequence as the one before."""
-    df = records(spark, sf_dir).filter("NOT undecodable")
-    key = F.col("event.origin.agent_id")
-    df = df.select(key.alias("agent"), partition_of(key.cast("binary")).alias("partition"), "offset", F.col("event.collection.sequence").alias("sequence"))
-    return delivery(df, "agent")
+def writer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the stream that wrote the table's records, from what it measured of its batches."""
+    _, measures = _written(spark, sf_dir)
+    told = spark.read.parquet(measures)
+    count = lambda c: metrics.counter(told, "eventstore_events_total", F.lit(c), value=F.col("events" if c == "stored" else c))
+    return count("stored").unionByName(count("quarantined"))
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,11 +442,11 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     contract_violations, store_projection, store_final_rows, store_final_count_by_tenant, store_raw_count_by_tenant, tenant_hunt_ordered, retention_filter,
     writer_classification, quarantine_rows, unstorable_rows, window_violations, engine_outcomes, normalized_events, normalized_share_by_route,
-    analysis_counters, store_counters, event_delay_histogram, event_lag_histogram, ingest_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
-    admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, setting_drift,
-    pending_migrations, protocol_descriptor, key_order, key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
+    analysis_counters, store_counters, event_delay_histogram, ingest_lag_histogram, batch_events_histogram, latency_percentiles, admission_batches,
+    admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, 
+    key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
     write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months, rule_faults,
-    rule_matches_indexed, rule_index_hits, literal_hits, rule_tree_faults,
+    rule_matches_indexed, rule_index_hits, literal_hits, rule_tree_faults, store_streamed_rows, store_merged_count_by_tenant, writer_measures,
 )}
 
 _VIOLATION = """CASE
@@ -523,7 +530,6 @@ UNION ALL SELECT 'analysis_unrouted_total', class, count(*) FROM k WHERE verdict
 UNION ALL SELECT 'analysis_normalized_total', route, count(*) FROM k WHERE verdict = 'analysed' AND changed GROUP BY route""",
     "store_counters": _BASE + _WRITER + " SELECT 'eventstore_events_total' AS metric, CASE verdict WHEN 'row' THEN 'stored' ELSE 'quarantined' END AS label, count(*) AS value FROM w GROUP BY 2 UNION ALL SELECT 'eventstore_refusals_total', verdict, count(*) FROM w WHERE verdict <> 'row' GROUP BY verdict",
     "event_delay_histogram": _histogram_sql(_ANALYSIS, "(epoch_us(observed_time + INTERVAL 600 SECOND) - epoch_us(ingest_time)) / 1e6", metrics.BUCKETS["event_delay_seconds"]).replace("{}", "FROM a WHERE verdict = 'analysed' AND ingest_time IS NOT NULL"),
-    "event_lag_histogram": _histogram_sql(_BASE, "(epoch_us(ingest_time) - epoch_us(event_time)) / 1e6", metrics.BUCKETS["event_lag_seconds"]).replace("{}", "FROM v WHERE NOT broken AND far IS NULL AND ingest_time IS NOT NULL AND event_time IS NOT NULL"),
     "batch_events_histogram": _histogram_sql(f"WITH r AS ({RECORDS}), z AS (SELECT count(*) AS records FROM r GROUP BY floor(n / 700))", "records", metrics.BUCKETS["batch_events"]).replace("{}", "FROM z"),
     "latency_percentiles": f"WITH r AS ({RECORDS}), o AS (SELECT n * 7919 % 10007 AS x, row_number() OVER (ORDER BY n * 7919 % 10007) - 1 AS i, count(*) OVER () AS c FROM r) SELECT max(x) FILTER (i = least(c * 50 // 100, c - 1)) AS p50, max(x) FILTER (i = least(c * 95 // 100, c - 1)) AS p95, max(x) FILTER (i = least(c * 99 // 100, c - 1)) AS p99, max(x) AS max FROM o",
     "admission_batches": _BATCHES + " SELECT b, code IS NULL AS accepted, code, CASE WHEN code = 'invalid_event' THEN split_part(what, '|', 1) END AS field, CAST(CASE WHEN code = 'invalid_event' THEN first_bad ELSE -1 END AS INTEGER) AS event_index, CASE WHEN code = 'invalid_event' THEN split_part(what, '|', 2) END AS detail, CASE WHEN code IS NULL THEN n WHEN code = 'invalid_event' THEN first_bad ELSE 0 END AS n_valid, CASE WHEN code IS NULL THEN 200 WHEN code = 'unsupported_protocol_version' THEN 426 ELSE 422 END AS status FROM c",
@@ -531,13 +537,13 @@ UNION ALL SELECT 'analysis_normalized_total', route, count(*) FROM k WHERE verdi
     "ingest_counters": _BATCHES + " SELECT 'ingest_batches_total' AS metric, CASE WHEN code IS NULL THEN 'accepted' ELSE 'rejected' END AS label, count(*) AS value FROM c GROUP BY 2 UNION ALL SELECT 'ingest_events_total', 'accepted', cast(sum(n) AS BIGINT) FROM c WHERE code IS NULL HAVING count(*) > 0 UNION ALL SELECT 'ingest_rejections_total', code, count(*) FROM c WHERE code IS NOT NULL GROUP BY code",
     "gateway_statuses": f"WITH r AS ({RECORDS}), g AS (SELECT CASE WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}') THEN 'unauthenticated_agent' WHEN n % 17 = 0 THEN 'rate_limited' WHEN n % 19 = 0 THEN 'unsupported_media_type' WHEN n % 23 = 0 THEN 'body_too_large' WHEN n % 29 = 0 OR broken THEN 'malformed_payload' END AS refusal FROM r), h AS (SELECT refusal, CASE refusal WHEN 'unauthenticated_agent' THEN 403 WHEN 'rate_limited' THEN 429 WHEN 'unsupported_media_type' THEN 415 WHEN 'body_too_large' THEN 413 WHEN 'malformed_payload' THEN 400 ELSE 200 END AS status FROM g) SELECT refusal, status, CASE WHEN status = 200 THEN '2xx' ELSE '4xx' END AS status_class, count(*) AS requests FROM h GROUP BY ALL",
     "rule_matches": _ANALYSIS + """, c AS (SELECT * FROM a WHERE verdict = 'analysed')
-SELECT n, pos AS "offset", 'ssh.refused_high_port' AS rule_id, 'high' AS severity FROM c WHERE outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 30000
+SELECT n, pos AS "offset", 'ssh.refused_high_port' AS rule_id, 'high' AS severity FROM c WHERE outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 1500
 UNION ALL SELECT n, pos, 'host.some', 'medium' FROM c WHERE c_hostname IN ('host-3', 'host-7')
 UNION ALL SELECT n, pos, 'port.range', 'low' FROM c WHERE source_port >= 5000 AND source_port < 5100
 UNION ALL SELECT n, pos, 'sequence.edges', 'medium' FROM c WHERE seq > 9950 OR seq <= 40
 UNION ALL SELECT n, pos, 'reason.without_tcp', 'medium' FROM c WHERE outcome_reason <> '' AND transport <> 1
 UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND tenant_id LIKE '%nt-3%'""",
-    "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 30000 GROUP BY tenant_id",
+    "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 1500 GROUP BY tenant_id",
     "backbone_records": _BASE + " SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, count(*) AS records, cast(sum(CASE WHEN NOT no_body THEN source_port END) AS BIGINT) AS ports, count(*) * 3 AS headers, min(event_id) AS first_id FROM v WHERE NOT broken GROUP BY 1",
     "consumer_lag": f"WITH r AS ({RECORDS}) SELECT 'events' AS topic, cast(part AS INTEGER) AS \"partition\", greatest(max(pos) + 1 - coalesce(max(CASE WHEN n % 10 < 7 THEN pos END) + 1 + part % 3 * 5, 0), 0) AS lag FROM r GROUP BY part",
     "ingest_lag_histogram": INGEST_LAG_SQL.replace("coalesce(sum(x), 0)", "coalesce(cast(sum(cast(round(x * 1e6) AS BIGINT)) AS DOUBLE) / 1e6, 0)"),
@@ -568,10 +574,9 @@ p AS (SELECT u, u % 20 AS d, concat('match', array_to_string([['.not', '.all[0]'
 x AS (SELECT u, CASE WHEN d > 16 THEN path WHEN u % 7 = 0 THEN concat(path, '.all') WHEN u % 3 = 0 THEN concat(path, '.no.such') END AS part,
   CASE WHEN d > 16 THEN 'lies more than 16 deep' WHEN u % 7 = 0 THEN 'combines nothing' ELSE 'no such field' END AS reason FROM p)
 SELECT concat('user.u', u) AS rule_id, part, reason FROM x WHERE part IS NOT NULL""",
-    "setting_drift": "SELECT * FROM (VALUES ('retention.ms', '604800000', '86400000'), ('compression.type', 'zstd', NULL)) AS t(name, declared, current)",
-    "pending_migrations": "SELECT cast(version AS BIGINT) AS version, name FROM (VALUES (2, 'add_process'), (3, 'add_network')) AS t(version, name)",
-    "protocol_descriptor": "SELECT 1 AS protocol_min, 1 AS protocol_max, 1 AS schema_min, 1 AS schema_max",
     "key_delivery_order": f"WITH r AS ({RECORDS}), o AS (SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, seq, lag(seq) OVER (PARTITION BY CASE WHEN NOT no_origin THEN agent_id END ORDER BY pos) AS prior FROM r WHERE NOT broken) SELECT agent, count(*) AS records, CAST(1 AS BIGINT) AS partitions, count(*) FILTER (seq < prior) AS out_of_order, count(*) FILTER (seq = prior) AS repeated FROM o GROUP BY agent",
-    "key_order": f"WITH r AS ({RECORDS}) SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, cast(part AS INTEGER) AS \"partition\", count(*) AS records, CASE WHEN count(*) > 1 THEN CAST(0 AS BIGINT) END AS out_of_order FROM r WHERE NOT broken GROUP BY 1, 2",
 }
 ORACLES["rule_matches_indexed"] = ORACLES["rule_matches"]
+ORACLES["store_merged_count_by_tenant"] = ORACLES["store_final_count_by_tenant"]
+ORACLES["store_streamed_rows"] = ORACLES["store_final_rows"]
+ORACLES["writer_measures"] = _BASE + _WRITER + " SELECT 'eventstore_events_total' AS metric, CASE verdict WHEN 'row' THEN 'stored' ELSE 'quarantined' END AS label, count(*) AS value FROM w WHERE NOT broken GROUP BY 2"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.contract import EVENT_TYPE, get
+from .package import ship
 
 PARTITIONS = 12
 
@@ -27,17 +32,11 @@ def decode(df: DataFrame, value: str = "value", event: str = "event") -> DataFra
     return out.withColumn("undecodable", bad).withColumn(event, F.when(~bad, F.struct(*fields))).drop("_parsed")
 
 
-def to_records(df: DataFrame, event: str = "event") -> DataFrame:
-    """(key, value, headers): one record for each event, keyed by its agent."""
+def to_records(df: DataFrame, event: str = "event", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, value, headers): one record for each event, keyed by its agent; with columns to keep beside it."""
     header = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(v).cast("binary").alias("value"))
     headers = F.array(header("content-type", "application/json"), header("schema", "security.event"), header("schema-version", "1"))
-    return df.select(get(F.col(event), "origin.agent_id").cast("binary").alias("key"), encode(F.col(event)).alias("value"), headers.alias("headers"))
-
-
-def publish(records: DataFrame, path: str, partitions: int = PARTITIONS) -> None:
-    """Append records so that those of a key lie in one partition, in order of arrival where df is ordered."""
-    out = records.repartition(partitions, "key")
-    out.write.mode("append").option("compression", "zstd").parquet(path)
+    return df.select(get(F.col(event), "origin.agent_id").cast("binary").alias("key"), encode(F.col(event)).alias("value"), headers.alias("headers"), *keep)
 
 
 def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
@@ -45,6 +44,39 @@ def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
     return F.pmod(F.hash(key), F.lit(partitions))
 
 
+def publish(records: DataFrame, path: str, partitions: int = PARTITIONS, order: tuple[str, ...] = ()) -> None:
+    """Append records(key, value, headers) to a log: those of a key lie in one partition, in the order of the columns `order`.
+
+    A partition is one sorted file a call, written by one task, in which offsets go on from the log's last; so there is
+    as much to do at once as there are partitions, as with a broker. Without `order` records lie in any order. Columns of the
+    order are left out; only one publisher may write at a time.
+    """
+    spark = records.sparkSession
+    ship(spark)
+    try:
+        # as many rows as partitions
+        ends = {r[0]: r[1] + 1 for r in spark.read.parquet(path).groupBy("partition").agg(F.max("offset")).collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ends = {}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            if not len(b):
+                continue
+            at = ends.get(b.column("partition")[0].as_py(), 0) if at is None else at
+            yield b.append_column("offset", pa.array(range(at, at + len(b)), pa.int64()))
+            at += len(b)
+
+    placed = records.withColumn("partition", partition_of(F.col("key"), partitions)).repartitionById(partitions, F.col("partition"))
+    placed = placed.sortWithinPartitions(*order, "key") if order else placed
+    out = placed.drop(*order)
+    numbered = out.mapInArrow(number, T.StructType([*out.schema.fields, T.StructField("offset", T.LongType())]))
+    numbered.write.mode("append").partitionBy("partition").option("compression", "zstd").parquet(path)
+
+
 def delivery(df: DataFrame, key: str = "key", sequence: str = "sequence", partition: str = "partition", offset: str = "offset") -> DataFrame:
     """(key, records, partitions, out_of_order, repeated) of each key.
 

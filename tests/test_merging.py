@@ -139,7 +139,7 @@ def test_month_grows_with_its_rows(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     try:
-        made = spark.range(20_000).select(F.lit("t").alias("tenant_id"), F.lit(JAN).alias("event_time"), F.col("id").cast("string").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("source"), F.lit("1").alias("seq"))
+        made = spark.range(0, 20_000, 1, 32).select(F.lit("t").alias("tenant_id"), F.lit(JAN).alias("event_time"), F.col("id").cast("string").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("source"), F.lit("1").alias("seq"))
         for c in COLUMNS:
             if c not in made.columns:
                 made = made.withColumn(c, F.lit(""))
