@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LEAST = -(2**63)
-_SHORT, _COUNT = 16, 6  # digits of a hash in keys, and of a number of spans
+_SHORT, _COUNT = 16, 10  # digits of a hash in keys, and of a number of spans
+#: Hashes of sections and of paragraphs that a fingerprint holds at most.
+SECTIONS, PARAGRAPHS = 16, 32
 _NODE = r"\w{%d}" % (64 + _COUNT - 1)
 _SECTION = f"(?:[^08]{_NODE})*+[08]{_NODE}|(?:[^08]{_NODE})++"
 
@@ -68,10 +70,26 @@ def tree(text: Column, span_words: int = 4) -> Column:
 
 
 def fingerprint(t: Column) -> Column:
-    """The tree as a string: root, sections, then each paragraph with its spans, all in hex."""
-    hex32 = lambda h: F.lpad(F.substring(F.hex(h), -8, 8), 8, "0")
-    nodes = F.transform(t["lines"], lambda x: F.concat(F.substring(x["hash"], 1, _SHORT), F.lit("="), F.array_join(F.transform(x["spans"], hex32), "")))
-    return F.concat_ws(":", t["root"], F.array_join(F.transform(t["sections"], lambda k: F.substring(k, 1, _SHORT)), "."), F.array_join(nodes, "/"))
+    """A tree in less than 1,000 characters: root, number of spans, and the least hashes of its sections and paragraphs.
+
+    Trees of equal texts have equal ones, and others differ by their roots. likeness() goes by the whole trees; estimated_likeness()
+    by what fingerprints hold.
+    """
+    spans = F.aggregate(t["sections"], F.lit(0).cast("long"), lambda acc, k: acc + _weight(k))
+    least = lambda hashes, n: F.array_join(F.slice(F.array_sort(F.array_distinct(hashes)), 1, n), ".")
+    start = lambda k: F.substring(k, 1, _SHORT)
+    return F.concat_ws(":", t["root"], spans.cast("string"), least(F.transform(t["sections"], start), SECTIONS), least(F.transform(t["lines"], lambda x: start(x["hash"])), PARAGRAPHS))
+
+
+def estimated_likeness(a: Column, b: Column) -> Column:
+    """The share of paragraphs that two texts have in common, of all they have, by the least hashes of both fingerprints; exact for short texts."""
+    part = lambda c: F.split(F.element_at(F.split(c, ":"), -1), r"\.")
+
+    def share(v: Column) -> Column:
+        both = F.slice(F.array_sort(F.array_union(v["a"], v["b"])), 1, PARAGRAPHS)
+        return F.size(F.array_intersect(both, F.array_intersect(v["a"], v["b"]))) / F.size(both)
+
+    return _let(F.struct(part(a).alias("a"), part(b).alias("b")), share)
 
 
 def _own_paragraphs(a: Column, b: Column) -> Column:
@@ -127,6 +145,16 @@ def with_tree(df: DataFrame, text: Column, name: str) -> DataFrame:
     return df.withColumn(name, tree(text))
 
 
+def _rank(points: list[int], value: Column, holds) -> Column:
+    """How many of the ascending points are before a value, as holds(point, value) says, by halving."""
+    array, steps = F.array(*map(F.lit, points)).cast("array<bigint>"), [1 << k for k in reversed(range(len(points).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(points)) & F.coalesce(holds(F.get(array, at + step - 1), value), F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)).cast("array<int>"), F.lit(0), further)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): next is the following document by descending id; the first follows the last.
 
@@ -141,11 +169,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.withColumn("sid", F.coalesce("doc_id", F.lit(_LEAST)))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(rows.agg(F.percentile_approx("sid", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])
-    points = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     most = max((cuts.count(c) for c in set(cuts)), default=0) + 1
-    same = F.size(F.filter(points, lambda c: c == F.col("sid")))
+    below, before = _rank(cuts, F.col("sid"), lambda c, v: c <= v), _rank(cuts, F.col("sid"), lambda c, v: c < v)
+    same = below - before
     part = F.when(same > 1, F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * same), same - 1)).otherwise(most)
-    below = F.size(F.filter(points, lambda c: c <= F.col("sid")))
     rows = rows.withColumn("bucket", (below * (most + 1) + part).cast("long") if cuts else F.lit(0).cast("long"))
     # as many rows as ranges
     heads = [(r[0], r[1], r[2]) for r in rows.groupBy("bucket").agg(F.max(F.struct("sid", "h")).alias("m")).select("bucket", "m.sid", "m.h").orderBy("bucket").collect()]

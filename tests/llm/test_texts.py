@@ -411,7 +411,7 @@ def plain_tree(text, width=4):
     for i, (h, spans) in enumerate(lines):
         now.append((h, spans))
         if h[0] in "08" or i == len(lines) - 1:
-            sections.append((hashlib.sha256("".join(f"{h}{len(s):06X}" for h, s in now).encode()).hexdigest(), now))
+            sections.append((hashlib.sha256("".join(f"{h}{len(s):010X}" for h, s in now).encode()).hexdigest(), now))
             now = []
     return hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest(), sections
 
@@ -441,15 +441,35 @@ def test_fingerprints_as_plain_python(spark):
         k = len(t) // 3
         edited = t[: len(t) - k] + nxt[:k]
         a, e, x = map(plain_tree, (t, edited, nxt))
-        line = lambda tree: f"{tree[0]}:{'.'.join(h[:16] for h, _ in tree[1])}:{'/'.join(h[:16] + '=' + ''.join(f'{s:08X}' for s in spans) for _, ps in tree[1] for h, spans in ps)}"
+        least = lambda hashes, n: ".".join(sorted({h[:16] for h in hashes})[:n])
+        below = lambda tree: [p for _, ps in tree[1] for p in ps]
+        line = lambda tree: f"{tree[0]}:{sum(len(s) for _, s in below(tree))}:{least((h for h, _ in tree[1]), 16)}:{least((h for h, _ in below(tree)), 32)}"
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (line(a), line(e))
+        assert (r.fingerprint, r.edited_fingerprint) == (line(a), line(e)) and len(r.fingerprint) < 1000
         near, n = plain_likeness(a, e)
         assert r.near_edited == pytest.approx(near, rel=1e-12) and r.n_edited_paragraphs == n
         assert r.near_next == pytest.approx(plain_likeness(a, x)[0], rel=1e-12)
 
 
+def test_fingerprints_alone_estimate_likeness(spark):
+    lines = [f"paragraph {i} of some text" for i in range(400)]
+    rows = [("\n".join(lines[:20]), "\n".join(lines[10:20])), ("\n".join(lines), "\n".join(lines[100:])), ("a", "b"), ("", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y string")
+    df = merkle.with_tree(merkle.with_tree(df, F.col("x"), "p"), F.col("y"), "q").select("i", merkle.estimated_likeness(merkle.fingerprint(F.col("p")), merkle.fingerprint(F.col("q"))).alias("k"))
+    got = [r.k for r in df.orderBy("i").collect()]
+    assert got[0] == 0.5 and abs(got[1] - 0.75) < 0.25 and got[2:] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 1000])
+def test_ranks_among_points(spark, n):
+    import bisect
+
+    points = sorted([(i * 37) % 11 - 3 for i in range(n)])
+    df = spark.range(-5, 12).select("id", merkle._rank(points, F.col("id"), lambda c, v: c <= v).alias("a"), merkle._rank(points, F.col("id"), lambda c, v: c < v).alias("b"))
+    assert all((r.a, r.b) == (bisect.bisect_right(points, r.id), bisect.bisect_left(points, r.id)) for r in df.collect())
+
+
 def test_an_inserted_line_marks_only_itself(spark):
     lines = [f"line {i} of the text, some words" for i in range(200)]
     moved = lines[:50] + ["a new line"] + lines[50:]
