@@ -40,7 +40,7 @@ SIBLINGS = {
     "th": ("td", "th"),
 }
 SCOPES = frozenset("ul ol dl table select article aside section div main body".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml xmp noembed noframes".split())
 
 #: Elements and roles that are no article, and words that, as the last of a class or id, name what is none.
 NEVER = frozenset("nav footer aside form script style noscript template button select head iframe svg textarea object canvas audio video search".split())
@@ -53,6 +53,9 @@ _LAYOUT = frozenset("area bar block box button buttons container form group hold
 #: Elements in which a block may lie within the container of the text around it.
 _WITHIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd menu blockquote figure figcaption table caption tbody thead tfoot tr td th pre address details summary hgroup header".split())
 
+#: Elements of text, which in an article no name of theirs takes out.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
+
 #: What a path's ratio is multiplied by where it is marked as an article, and for each element that a hint is about.
 ARTICLE, HINTED = 1.5, 0.05
 #: Shares of the page's greatest ratio above which a block is the article, and above which it is if it lies within.
@@ -141,6 +144,7 @@ class Page:
         article = tag in ("article", "main")
         if tag in ("html", "body"):
             hinted, out = False, False
+        hinted = hinted and not (self.article[top] and tag in _TEXT)
         key = (self.path[top], f"{tag}.{name}")
         self.parent.append(top)
         self.tag.append(tag)

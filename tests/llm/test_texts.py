@@ -324,6 +324,39 @@ def test_ratios_select_the_article(spark, monkeypatch):
         assert extract.main_text(p) != w and extract.main_text(u) != w
 
 
+def without_names(page):
+    """A page whose tags and names tell nothing: neutral divs, classes and ids."""
+    import re
+
+    number = itertools.count()
+    page = re.sub(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", lambda m: f'{m[1]}="k{next(number)}"', page)
+    return re.sub(r"<(/?)(article|nav|header|footer|aside|form|section|main)\b[^>]*>", r"<\1div>", page)
+
+
+def test_ratios_decide_where_names_are_scrambled(spark, monkeypatch):
+    """With the weights of names kept and ratios constant, no page is right; the ratios alone find nearly all articles."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").filter("html IS NOT NULL").collect()]
+    want, bare = [true_article(p) for p in pages], [without_names(p) for p in pages]
+    right = lambda: sum(extract.main_text(p) == w for p, w in zip(bare, want, strict=True))
+    by_ratio = right()
+    monkeypatch.setattr(extract, "path_ratios", lambda blocks: [b.weight for b in blocks])
+    assert by_ratio >= 0.9 * len(pages) and right() <= 0.05 * len(pages)
+
+
+@pytest.mark.parametrize("name", ["class='sharing'", "id='reply'", "id='notice'", "class='cookie newsletter'"])
+def test_names_of_paragraphs_in_an_article_take_nothing_out(name):
+    p = [f"<p>{x}</p>" for x in PARAGRAPHS[:3]]
+    page = f"<body><article>{p[0]}<p {name}>{SAID}</p>{p[1]}{p[2]}</article></body>"
+    assert extract.main_text(page) == "\n".join([PARAGRAPHS[0], SAID, *PARAGRAPHS[1:3]])
+    assert SAID not in extract.main_text(page.replace(f"<p {name}>{SAID}</p>", f"<div {name}>{SAID}</div>"))
+
+
+def test_formulas_are_text():
+    said = "The sum <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding='tex'>x + 1</annotation></math> is given, as they say."
+    page = f"<article><p>{PARAGRAPHS[0]}</p><p>{said}</p></article>"
+    assert extract.main_text(page) == f"{PARAGRAPHS[0]}\nThe sum x+1 is given, as they say."
+
+
 SAID = "Shares rose to 12 dollars on Monday, traders said."
 
 
