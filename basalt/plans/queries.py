@@ -31,6 +31,7 @@ RULES = [
     Rule("sequence.edges", Any((Predicate("collection.sequence", "above", (9950,)), Predicate("collection.sequence", "at_most", (40,))))),
     Rule("reason.without_tcp", All((Predicate("authentication.outcome_reason", "present"), Not(Predicate("authentication.network.transport", "equals", ("tcp",)))))),
     Rule("user.ends", All((Predicate("authentication.user.name", "ends_with", ("9",)), Predicate("origin.tenant_id", "contains", ("nt-3",))))),
+    Rule("address.inside", Any((Predicate("authentication.network.source.ip", "starts_with", ("10.0.1",)), Predicate("authentication.network.source.ip", "starts_with", ("2001:db8::1",))))),
     Rule("not.run", Predicate("authentication.outcome", "equals", ("failure",)), status="draft"),
 ]
 AGENT_BATCH = 10
@@ -457,12 +458,22 @@ _VIOLATION = """CASE
   WHEN no_origin THEN 'origin|is missing'
   WHEN NOT regexp_full_match(agent_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN 'origin.agent_id|is missing or malformed'
   WHEN tenant_id = '' THEN 'origin.tenant_id|is required'
+  WHEN NOT no_origin AND strlen(hostname) > 255 THEN 'origin.host.hostname|is longer than 255 bytes'
   WHEN host_ip = 'not-an-ip' THEN 'origin.host.ip|is not an IP address'
+  WHEN NOT no_origin AND strlen(os) > 128 THEN 'origin.host.os|is longer than 128 bytes'
+  WHEN NOT no_origin AND strlen(architecture) > 32 THEN 'origin.host.architecture|is longer than 32 bytes'
   WHEN collector = '' THEN 'collection.collector|is required'
   WHEN event_class = 1 AND no_body THEN 'authentication|is required for this event class'
   WHEN event_class <> 1 THEN 'event_class|is unspecified or unknown'
   WHEN activity = 0 THEN 'authentication.activity|is unspecified'
   WHEN outcome = 0 THEN 'authentication.outcome|is unspecified'
+  WHEN strlen(outcome_reason) > 64 THEN 'authentication.outcome_reason|is longer than 64 bytes'
+  WHEN strlen(method) > 32 THEN 'authentication.method|is longer than 32 bytes'
+  WHEN strlen(user_name) > 256 THEN 'authentication.user.name|is longer than 256 bytes'
+  WHEN strlen(user_domain) > 255 THEN 'authentication.user.domain|is longer than 255 bytes'
+  WHEN strlen(user_uid) > 64 THEN 'authentication.user.uid|is longer than 64 bytes'
+  WHEN strlen(service_name) > 64 THEN 'authentication.service.name|is longer than 64 bytes'
+  WHEN strlen(protocol) > 32 THEN 'authentication.service.protocol|is longer than 32 bytes'
   WHEN source_port > 65535 THEN 'authentication.network.source.port|is outside 0..65535'
   WHEN strlen(raw_record) > 4096 THEN 'authentication.raw_record|is longer than 4096 bytes'
 END"""
@@ -473,7 +484,7 @@ _ENGINE = """, e AS (SELECT *,
   CASE WHEN broken THEN 'undecodable' WHEN event_class NOT IN (0, 1) THEN 'unrouted' WHEN bad IS NOT NULL THEN 'contract_violation' ELSE 'analysed' END AS verdict,
   CASE event_class WHEN 0 THEN 'unspecified' WHEN 1 THEN 'authentication' ELSE 'unknown' END AS class,
   lower(rtrim(hostname, '.')) AS c_hostname, lower(trim(os)) AS c_os, lower(architecture) AS c_arch, lower(method) AS c_method, trim(user_name) AS c_user,
-  lower(user_domain) AS c_domain, lower(protocol) AS c_protocol, replace(source_ip, '::ffff:', '') AS c_ip FROM v),
+  lower(user_domain) AS c_domain, lower(protocol) AS c_protocol, lower(replace(source_ip, '::ffff:', '')) AS c_ip FROM v),
 a AS (SELECT *, CASE WHEN verdict = 'analysed' THEN 'authentication' END AS route,
   c_hostname <> hostname OR c_os <> os OR c_arch <> architecture OR c_method <> method OR c_user <> user_name OR c_domain <> user_domain OR c_protocol <> protocol OR c_ip <> source_ip AS changed FROM e)"""
 _ROW = """, s AS (SELECT pos AS write_seq, event_id, cast(schema_version AS BIGINT) AS schema_version, 'authentication' AS event_class, date_trunc('milliseconds', event_time) AS event_time,
@@ -542,6 +553,7 @@ UNION ALL SELECT n, pos, 'host.some', 'medium' FROM c WHERE c_hostname IN ('host
 UNION ALL SELECT n, pos, 'port.range', 'low' FROM c WHERE source_port >= 5000 AND source_port < 5100
 UNION ALL SELECT n, pos, 'sequence.edges', 'medium' FROM c WHERE seq > 9950 OR seq <= 40
 UNION ALL SELECT n, pos, 'reason.without_tcp', 'medium' FROM c WHERE outcome_reason <> '' AND transport <> 1
+UNION ALL SELECT n, pos, 'address.inside', 'medium' FROM c WHERE c_ip LIKE '10.0.1%' OR c_ip LIKE '2001:db8::1%'
 UNION ALL SELECT n, pos, 'user.ends', 'medium' FROM c WHERE c_user LIKE '%9' AND tenant_id LIKE '%nt-3%'""",
     "rule_matches_failed_ssh": _ANALYSIS + " SELECT tenant_id, count(*) AS matches FROM a WHERE verdict = 'analysed' AND outcome <> 1 AND c_protocol IN ('ssh', 'sftp') AND source_port >= 1500 GROUP BY tenant_id",
     "backbone_records": _BASE + " SELECT CASE WHEN NOT no_origin THEN agent_id END AS agent, count(*) AS records, cast(sum(CASE WHEN NOT no_body THEN source_port END) AS BIGINT) AS ports, count(*) * 3 AS headers, min(event_id) AS first_id FROM v WHERE NOT broken GROUP BY 1",

@@ -18,24 +18,24 @@ SELECT n, event_type, user_id, n % 12 AS part, n * 2 + copy AS pos, copy,
   n % 281 = 0 AS no_origin,
   CASE WHEN n % 229 = 0 THEN '' ELSE concat('tenant-', cast(user_id % 4 AS varchar(20))) END AS tenant_id,
   CASE WHEN n % 233 = 0 THEN '../etc/passwd' ELSE concat('agent-', cast(user_id % 16 AS varchar(20))) END AS agent_id,
-  concat(CASE WHEN n % 2 = 0 THEN 'HOST-' ELSE 'host-' END, cast(user_id AS varchar(20)), CASE WHEN n % 2 = 0 THEN '.' ELSE '' END) AS hostname,
+  CASE WHEN n % 313 = 0 THEN repeat('h', 256) ELSE concat(CASE WHEN n % 2 = 0 THEN 'HOST-' ELSE 'host-' END, cast(user_id AS varchar(20)), CASE WHEN n % 2 = 0 THEN '.' ELSE '' END) END AS hostname,
   CASE WHEN n % 239 = 0 THEN 'not-an-ip' ELSE concat('10.1.', cast(user_id % 250 AS varchar(20)), '.7') END AS host_ip,
-  CASE WHEN n % 3 = 0 THEN ' Linux ' ELSE 'linux' END AS os,
-  CASE WHEN n % 4 = 0 THEN 'AMD64' ELSE 'amd64' END AS architecture,
+  CASE WHEN n % 317 = 0 THEN repeat('o', 129) WHEN n % 3 = 0 THEN ' Linux ' ELSE 'linux' END AS os,
+  CASE WHEN n % 331 = 0 THEN repeat('a', 33) WHEN n % 4 = 0 THEN 'AMD64' ELSE 'amd64' END AS architecture,
   CASE WHEN n % 241 = 0 THEN '' ELSE 'ssh.authlog' END AS collector,
   n AS seq,
   concat('batch-', cast(cast(floor(n / 100) AS bigint) AS varchar(20))) AS batch_id,
   n % 277 = 0 AS no_body,
   CASE WHEN n % 251 = 0 THEN 0 ELSE 1 END AS activity,
   CASE WHEN n % 257 = 0 THEN 0 WHEN event_type = 'error' THEN 2 ELSE 1 END AS outcome,
-  CASE WHEN event_type = 'error' THEN 'failed_password' ELSE '' END AS outcome_reason,
-  CASE WHEN n % 3 = 0 THEN 'PASSWORD' ELSE 'password' END AS method,
-  concat(CASE WHEN n % 5 = 0 THEN ' ' ELSE '' END, 'user-', cast(user_id AS varchar(20))) AS user_name,
-  CASE WHEN n % 6 = 0 THEN 'ACME' ELSE 'acme' END AS user_domain,
-  cast(user_id AS varchar(20)) AS user_uid,
-  'sshd' AS service_name,
-  CASE WHEN n % 7 = 0 THEN 'SSH' ELSE 'ssh' END AS protocol,
-  concat(CASE WHEN n % 7 = 0 THEN '::ffff:' ELSE '' END, CASE WHEN n % 13 = 0 THEN '203.0.' ELSE '10.0.' END, cast(user_id % 250 AS varchar(20)), '.', cast(n % 250 AS varchar(20))) AS source_ip,
+  CASE WHEN n % 359 = 0 THEN repeat('r', 65) WHEN event_type = 'error' THEN 'failed_password' ELSE '' END AS outcome_reason,
+  CASE WHEN n % 337 = 0 THEN repeat('m', 33) WHEN n % 3 = 0 THEN 'PASSWORD' ELSE 'password' END AS method,
+  CASE WHEN n % 347 = 0 THEN repeat('u', 257) ELSE concat(CASE WHEN n % 5 = 0 THEN ' ' ELSE '' END, 'user-', cast(user_id AS varchar(20))) END AS user_name,
+  CASE WHEN n % 367 = 0 THEN repeat('d', 256) WHEN n % 6 = 0 THEN 'ACME' ELSE 'acme' END AS user_domain,
+  CASE WHEN n % 349 = 0 THEN repeat('9', 65) ELSE cast(user_id AS varchar(20)) END AS user_uid,
+  CASE WHEN n % 353 = 0 THEN repeat('s', 65) ELSE 'sshd' END AS service_name,
+  CASE WHEN n % 373 = 0 THEN repeat('p', 33) WHEN n % 7 = 0 THEN 'SSH' ELSE 'ssh' END AS protocol,
+  CASE WHEN n % 17 = 0 THEN concat('2001:DB8::', cast(1 + user_id % 250 AS varchar(20))) ELSE concat(CASE WHEN n % 7 = 0 THEN '::ffff:' ELSE '' END, CASE WHEN n % 13 = 0 THEN '203.0.' ELSE '10.0.' END, cast(user_id % 250 AS varchar(20)), '.', cast(n % 250 AS varchar(20))) END AS source_ip,
   CASE WHEN n % 263 = 0 THEN 70000 ELSE 1024 + n % 60000 END AS source_port,
   CASE WHEN n % 5 = 0 THEN 0 WHEN n % 269 = 0 THEN 7 ELSE 1 END AS transport,
   CASE WHEN n % 271 = 0 THEN repeat('r', 4097) ELSE 'Failed password for root' END AS raw_record
