@@ -1,3 +1,4 @@
+import numpy as np
 import oddrows
 from pyspark.sql import functions as F
 
@@ -158,3 +159,31 @@ def test_line_dedup_of_a_million_lines(spark):
     out = {r.doc_id: r for r in linededup.remove_boilerplate(docs).collect()}
     assert out[99].lines_removed == 500_000 and out[99].text == "\n".join(long[1::2])
     assert out[3].text == "tail 3"
+
+
+def test_fit_stops_where_the_enumerated_likelihood_is_highest():
+    """At the fitted weights the penalised likelihood, summed over all labellings, has no slope: any error in the gradient would show."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    per_doc = np.array([1, 2, 3, 4, 2, 3, 1, 4, 3, 2, 1, 4])
+    label = np.array([0, 1, 0, 1, 1, 0, 1, 0, 1, 0, 0, 1])
+    f = rng.normal(size=(per_doc.sum(), 3)) + np.repeat(label, per_doc)[:, None] * np.array([0.8, -0.3, 0.0])
+    n, l2 = rng.integers(1, 9, per_doc.sum()), 0.05
+    model = quality._fit(f, per_doc, n, label, np.ones(len(label)), 6000, l2)
+    x = quality.with_neighbours((f - model.mean) / model.scale, per_doc)
+    theta = np.concatenate([model.weight, model.change.ravel()])
+
+    def objective(theta):
+        score, change, total, at = x @ theta[:-4], theta[-4:].reshape(2, 2), 0.0, 0
+        for k, y in zip(per_doc, label, strict=True):
+            s = score[at : at + k]
+            at += k
+            weigh = lambda path: sum(v * b for v, b in zip(s, path, strict=True)) + sum(change[a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
+            total += weigh((y,) * k) - np.log(sum(np.exp(weigh(path)) for path in itertools.product((0, 1), repeat=int(k))))
+        return total / len(per_doc) - l2 / 2 * (theta @ theta)
+
+    slope = [(objective(theta + h) - objective(theta - h)) / 2e-5 for h in np.eye(len(theta)) * 1e-5]
+    assert np.abs(slope).max() < 2e-3
+    away = theta + rng.normal(0, 0.3, len(theta))
+    assert objective(theta) > objective(away)

@@ -91,16 +91,6 @@ def test_beats_its_base_on_held_out_text(spark):
     assert s[0] > s[1]
 
 
-def test_probabilities_sum_to_one(spark):
-    vocabulary = ["a", "b", "c"]
-    rows = [(i, "a b c a b a") for i in range(30)] + [(100 + i, f"a {w}") for i, w in enumerate([*vocabulary, "unknown"])] + [(200, "a")]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
-    # p(w | a) over all words, the unknown one and the end
-    first = got[200]
-    train = {r.doc_id: r for r in lm.score(spark.createDataFrame([*rows[:30], (300, "")], "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
-    assert first < 0 and all(v < 0 for v in got.values()) and train[300].n_tokens == 1
-
-
 def test_odd_rows(spark):
     got = lm.score(oddrows.docs(spark), F.col("doc_id") == 5).collect()
     assert len(got) == len(oddrows.ROWS)
