@@ -11,6 +11,7 @@ from ..operators.project import COLUMNS, project
 from ..operators.route import analyse, classify_for_analysis, classify_for_store
 from ..operators.rules import All, Any, Not, Predicate, Rule, Technique
 from ..sources.codec import decode, delivery, publish, quarantine, to_records
+from ..sources.log import read_log
 from ..sources.scratch import scratch
 from ..streaming.pipelines import limit_batch, read_backbone, start_writer
 from .workload import RECORDS, flat, nested, records
@@ -434,6 +435,19 @@ def writer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("stored").unionByName(count("quarantined"))
 
 
+def writer_capped_batches(spark: SparkSession, sf_dir: str, most: int = 4000) -> DataFrame:
+    """Batches of a stream that reads the published records from the log, `most` at a time, from what it measured."""
+    at = scratch(spark)
+    publish(to_records(records(spark, sf_dir).filter("NOT undecodable").withColumn("_at", F.col("offset")), keep=("_at",)), f"{at}/log", order=("_at",))
+    source = read_log(spark, f"{at}/log", f"{at}/checkpoint", most)
+    query = start_writer(source, f"{at}/store", f"{at}/refused", f"{at}/checkpoint", measures=f"{at}/measures", every="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return metrics.writer_counters(spark.read.parquet(f"{at}/measures"))
+
+
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by agent, one an event, at its time in seconds."""
     df = flat(spark, sf_dir).filter("copy = 0").select("agent_id", F.col("n").alias("request_id"), F.unix_micros(F.col("observed_time").cast("timestamp")).alias("us"))
@@ -447,7 +461,7 @@ QUERIES = {f.__name__: f for f in (
     admission_rejections, ingest_counters, gateway_statuses, rule_matches, rule_matches_failed_ssh, backbone_records, consumer_lag, 
     key_delivery_order, token_bucket, consumer_lag_state, fetch_counters, writer_batches,
     write_duration_histogram, accepted_batch_histogram, publish_duration_histogram, admission_settled, unapplied_batches, agent_method_drift, expired_months, rule_faults,
-    rule_matches_indexed, rule_index_hits, literal_hits, rule_tree_faults, store_streamed_rows, store_merged_count_by_tenant, writer_measures,
+    rule_matches_indexed, rule_index_hits, literal_hits, rule_tree_faults, store_streamed_rows, store_merged_count_by_tenant, writer_measures, writer_capped_batches,
 )}
 
 _VIOLATION = """CASE
@@ -592,3 +606,4 @@ ORACLES["rule_matches_indexed"] = ORACLES["rule_matches"]
 ORACLES["store_merged_count_by_tenant"] = ORACLES["store_final_count_by_tenant"]
 ORACLES["store_streamed_rows"] = ORACLES["store_final_rows"]
 ORACLES["writer_measures"] = _BASE + _WRITER + " SELECT 'eventstore_events_total' AS metric, CASE verdict WHEN 'row' THEN 'stored' ELSE 'quarantined' END AS label, count(*) AS value FROM w WHERE NOT broken GROUP BY 2"
+ORACLES["writer_capped_batches"] = _BASE + " SELECT 'eventstore_batches_total' AS metric, 'stored' AS label, cast(ceil(count(*) / 4000.0) AS BIGINT) AS value FROM v WHERE NOT broken HAVING count(*) > 0"

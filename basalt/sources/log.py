@@ -76,7 +76,7 @@ class LogReader(DataSourceStreamReader):
                     continue
                 if file not in self.known:
                     meta = pq.ParquetFile(file).metadata
-                    at = meta.schema.to_arrow_schema().names.index("offset")
+                    at = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == "offset")  # of leaves, not of columns
                     stats = [meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups)]
                     self.known[file] = (min(s.min for s in stats), max(s.max for s in stats) + 1) if stats else (0, 0)
                 out.setdefault(int(number), []).append((*self.known[file], file))

@@ -143,12 +143,13 @@ def _epoch(spark: SparkSession, checkpoint: str) -> int:
 
 
 def start_writer(
-    records: DataFrame, store: str, refused: str, checkpoint: str, retry: Retry | None = None, measures: str | None = None, table: str | None = None
+    records: DataFrame, store: str, refused: str, checkpoint: str, retry: Retry | None = None, measures: str | None = None, table: str | None = None, every: str | None = None
 ) -> StreamingQuery:
     """The writer as a query; a batch that fails is tried again until it succeeds or the query is stopped, and holds back those after it.
 
     `retry` may say otherwise. Each batch's attempts are written to a folder of their own under measures, which a batch that is
-    delivered again replaces. A table that readers use, and that lacks columns, keeps the query from starting.
+    delivered again replaces. A table that readers use, and that lacks columns, keeps the query from starting. The query ends
+    with what there is to read, or looks again `every` so often, as a source with a cap on records needs it.
     """
     spark, retry = records.sparkSession, retry or Retry()
     if table is not None:
@@ -171,7 +172,8 @@ def start_writer(
                 df.sparkSession.createDataFrame(rows, MEASURES).coalesce(1).write.mode("overwrite").parquet(f"{measures}/batch_of={epoch:015d}-{n:020d}")
                 del retry.attempts[before:]
 
-    return records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if every is None else query.trigger(processingTime=every)).start()
 
 
 def start_analysis(records: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

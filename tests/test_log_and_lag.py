@@ -12,7 +12,7 @@ from basalt.streaming.lag import Lag, offsets_of
 
 
 def send(spark, path, start, n, partitions=3):
-    made = spark.range(start, start + n).select(F.concat(F.lit("agent-"), (F.col("id") % 7).cast("string")).cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"), F.array().cast("array<string>").alias("headers"), F.col("id").alias("at"))
+    made = spark.range(start, start + n).select(F.concat(F.lit("agent-"), (F.col("id") % 7).cast("string")).cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"), F.array(F.struct(F.lit("k").alias("key"), F.lit(b"v").alias("value"))).alias("headers"), F.col("id").alias("at"))
     publish(made.repartition(4, F.rand(1)), path, partitions, order=("at",))
 
 
