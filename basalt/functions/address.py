@@ -94,5 +94,8 @@ def _canonical_v6(c: Column) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    """The trimmed text; an address in its shortest form, an IPv4 address inside IPv6 as IPv4."""
-    return let(trim(c), lambda t: F.when(is_v6(t), _canonical_v6(t)).otherwise(t))
+    """The trimmed text; an address in its shortest form, an IPv4 address inside IPv6 as IPv4.
+
+    Only texts with a colon can be IPv6; the others are left to generated code, which functions of arrays don't have.
+    """
+    return F.when(F.contains(c, F.lit(":")), let(trim(c), lambda t: F.when(is_v6(t), _canonical_v6(t)).otherwise(t))).otherwise(trim(c))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x{85}\p{Z}]+"
+#: What `[\s\x{85}\p{Z}]` matches: white space of ASCII, the next-line control, and all separators of Unicode.
+SPACE = "\t\n\x0b\f\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, rf"^{_SPACE}|{_SPACE}\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def fold(c: Column) -> Column:
@@ -19,4 +20,5 @@ def fold(c: Column) -> Column:
 
 def hostname(c: Column) -> Column:
     """Folded, and without one trailing dot."""
-    return F.regexp_replace(fold(c), r"\.\z", "")
+    folded = fold(c)
+    return F.when(F.endswith(folded, F.lit(".")), F.left(folded, F.char_length(folded) - 1)).otherwise(folded)

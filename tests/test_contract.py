@@ -200,3 +200,26 @@ def test_admission(spark):
 
 def test_event_helper_makes_copies():
     assert event() == copy.deepcopy(event())
+
+
+def test_trimming_and_hostnames_as_their_patterns(spark):
+    import re
+
+    space = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    ends = [*space, "", "\x1c", "᠎", "​", "é", ".", "..", ". ", " ."]
+    texts = [f"{a}A b{b}" for a in ends for b in ends] + [" ", space, ".", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", trim(F.col("t")).alias("a"), hostname(F.col("t")).alias("h"), F.regexp_replace("t", r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z", "").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == [None if t is None else re.sub(f"^[{space}]+|[{space}]+\\Z", "", t) for t in texts]
+    assert [r.h for r in rows] == [r.b if r.b is None else re.sub(r"\.\Z", "", r.b.lower()) for r in rows]
+
+
+def test_functions_of_arrays_are_left_to_texts_with_a_colon(spark):
+    from conftest import SF
+
+    from basalt.plans.queries import normalized_events
+
+    # generated code has no functions of arrays: what holds one for every row is interpreted for every row
+    plan = normalized_events(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN Contains(") >= 3
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
