@@ -111,3 +111,50 @@ def test_shares_and_options(tmp_path):
         LogReader({"path": "/x", "maxRecords": "0"})
     with pytest.raises(ValueError):
         LogReader({"path": "hdfs://x/y"})
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from basalt.sources import codec
+
+    path = str(tmp_path / "log")
+    send(spark, path, 0, 50)
+    monkeypatch.setattr(codec, "PIECE_BYTES", 8_000)
+    send(spark, path, 50, 2_000)  # seven keys in three partitions, 80 bytes a record
+    back = spark.read.parquet(path)
+    rows = sorted((r.partition, r.offset, int(bytes(r.value)), r.key) for r in back.collect())
+    assert [r[2] for r in sorted(rows, key=lambda r: r[2])] == list(range(2_050))
+    for p in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == p]
+        assert [r[1] for r in mine] == list(range(len(mine))) and [r[2] for r in mine] == sorted(r[2] for r in mine)
+    sizes = [r["count"] for r in back.filter("CAST(CAST(value AS string) AS long) >= 50").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 250
+    assert [x.name for x in tmp_path.iterdir()] == ["log"]  # what was put beside it is gone
+
+
+def test_a_partition_without_order_is_cut_too(spark, tmp_path, monkeypatch):
+    from basalt.sources import codec
+
+    monkeypatch.setattr(codec, "PIECE_BYTES", 4_000)
+    codec.publish(spark.range(500).select(F.when(F.col("id") < 0, F.lit(b"k")).alias("key"), F.col("id").cast("string").cast("binary").alias("value")), str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted(r.offset for r in back.collect()) == list(range(500)) and back.select("partition").distinct().count() == 1
+    assert back.groupBy(F.input_file_name()).count().count() > 4
+
+
+def test_order_is_compared_across_chunks(spark, monkeypatch):
+    from basalt.sources import codec
+
+    rows = [(k, o % 2, o, None if o % 11 == 0 else (o * 7919) % 101 // 3) for k in ("a", "b", None) for o in range(-40, 200) if o % 5]
+    df = spark.createDataFrame(rows, "key string, partition int, offset long, sequence long")
+    whole = sorted(map(tuple, codec.delivery(df).collect()), key=repr)
+    want = []
+    for k in ("a", "b", None):
+        below = same = 0
+        for p in (0, 1):
+            mine = [s for key, part, o, s in sorted((r for r in rows if r[0] == k and r[1] == p), key=lambda r: r[2])]
+            pairs = [(a, b) for a, b in zip(mine, mine[1:], strict=False) if a is not None and b is not None]
+            below, same = below + sum(b < a for a, b in pairs), same + sum(b == a for a, b in pairs)
+        want.append((k, len([r for r in rows if r[0] == k]), 2, below, same))
+    assert whole == sorted(want, key=repr)
+    monkeypatch.setattr(codec, "CHUNK", 7)
+    assert sorted(map(tuple, codec.delivery(df).collect()), key=repr) == whole
