@@ -30,8 +30,12 @@ RECORD = "key binary, value binary, partition int, offset long"
 
 
 def read_backbone(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Records from the earliest on. A Kafka source with the same columns can take this one's place."""
-    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Records from the earliest on. A Kafka source with the same columns can take this one's place.
+
+    Records are small in files and large once decoded, so those of a few files are dealt to all cores.
+    """
+    found = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return found.repartition(2 * spark.sparkContext.defaultParallelism, "partition", "offset")
 
 
 def kafka_records(raw: DataFrame) -> DataFrame:

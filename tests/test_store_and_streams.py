@@ -230,3 +230,11 @@ def test_lag_is_forgotten_on_revoke(spark):
     log = [("t", 0, 1, "end", 5000), ("t", 1, 1, "end", 10), ("t", 1, 2, "commit", 8), ("t", 1, 3, "commit", 6), ("t", 2, 1, "end", 9), ("t", 2, 2, "revoke", None), ("t", 3, 1, "commit", 7), ("t", 3, 2, "revoke", None), ("t", 3, 3, "end", 20)]
     df = spark.createDataFrame(log, "topic string, partition int, seq long, kind string, offset long")
     assert {r.partition: r.lag for r in metrics.lag_state(df).collect()} == {0: 5000, 1: 2, 3: 20}
+
+
+def test_a_few_files_are_dealt_to_all_cores(spark, tmp_path):
+    publish(to_records(frame(spark, [event(event_id=f"evt-{i:08d}") for i in range(60)])), str(tmp_path / "topic"))
+    seen = []
+    sink = lambda df, n: seen.append((df.count(), df.select(F.spark_partition_id()).distinct().count()))
+    read_backbone(spark, str(tmp_path / "topic")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [n for n, _ in seen] == [60] and seen[0][1] > 4  # all have one agent, so they are one file
