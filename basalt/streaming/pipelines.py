@@ -114,9 +114,10 @@ def deliver(batches: DataFrame, write: Callable[[DataFrame], None], policy: admi
     return admission.settle(admitted, F.lit(durable))
 
 
-def write_batch(records: DataFrame, batch: int, store: str, refused: str, epoch: int = 0) -> dict[str, int]:
-    """One micro-batch: rows first, then the quarantine, each into the batch's own folder; returns how many had each outcome.
+def write_batch(records: DataFrame, batch: int, store: str, refused: str, epoch: int = 0) -> dict[tuple[int, str], int]:
+    """One micro-batch: rows first, then the quarantine, each into the batch's own folder; returns how many had each part and outcome.
 
+    Records without a column part, which numbers batches that are read at once, are part 0.
     A failure leaves the batch to be delivered again, which replaces what it had left. epoch says which writer came
     first where their batches' numbers are the same.
     """
@@ -127,12 +128,13 @@ def write_batch(records: DataFrame, batch: int, store: str, refused: str, epoch:
         rows = project(decoded.filter("outcome = 'row'"), keep=("partition", "offset"))
         merging.write_batch(rows.withColumn("write_seq", seq).drop("partition", "offset"), store, name, F.col("write_seq"))
         quarantine(decoded).write.mode("overwrite").parquet(f"{refused}/batch={name}")
-        return {r[0]: r[1] for r in decoded.groupBy("outcome").count().collect()}  # a row for each outcome
+        part = F.col("part") if "part" in records.columns else F.lit(0)
+        return {(r[0], r[1]): r[2] for r in decoded.groupBy(part.alias("part"), "outcome").count().collect()}  # a row for each batch and outcome
     finally:
         decoded.unpersist()
 
 
-MEASURES = "batch long, attempt int, stored boolean, events long, quarantined long, seconds double"
+MEASURES = "batch long, part int, attempt int, stored boolean, events long, quarantined long, seconds double"
 
 
 def _epoch(spark: SparkSession, checkpoint: str) -> int:
@@ -152,7 +154,8 @@ def start_writer(
     """The writer as a query; a batch that fails is tried again until it succeeds or the query is stopped, and holds back those after it.
 
     `retry` may say otherwise. Each batch's attempts are written to a folder of their own under measures, which a batch that is
-    delivered again replaces. A table that readers use, and that lacks columns, keeps the query from starting. The query ends
+    delivered again replaces; batches that are read at once are written at once, so they have a row each where that succeeds,
+    and one for all where it fails. A table that readers use, and that lacks columns, keeps the query from starting. The query ends
     with what there is to read, or looks again `every` so often, as a source with a cap on records needs it.
     """
     spark, retry = records.sparkSession, retry or Retry()
@@ -161,7 +164,7 @@ def start_writer(
     epoch = _epoch(spark, checkpoint)
 
     def sink(df: DataFrame, n: int) -> None:
-        found: dict[str, int] = {}
+        found: dict[tuple[int, str], int] = {}
 
         def attempt() -> None:
             found.update(write_batch(df, n, store, refused, epoch) or {})
@@ -171,8 +174,10 @@ def start_writer(
             retry.run(n, attempt)
         finally:
             if measures is not None:
-                stored = found.get("row", 0)
-                rows = [(b, i, ok, stored if ok else 0, sum(found.values()) - stored if ok else 0, s) for b, i, ok, s in retry.attempts[before:]]
+                parts: dict[int, list[int]] = {}
+                for (part, outcome), count in found.items():
+                    parts.setdefault(part, [0, 0])[outcome != "row"] += count
+                rows = [(b, p, i, ok, *counts, s) for b, i, ok, s in retry.attempts[before:] for p, counts in (sorted(parts.items()) or [(0, [0, 0])] if ok else [(0, [0, 0])])]
                 df.sparkSession.createDataFrame(rows, MEASURES).coalesce(1).write.mode("overwrite").parquet(f"{measures}/batch_of={epoch:015d}-{n:020d}")
                 del retry.attempts[before:]
 

@@ -158,3 +158,52 @@ def test_order_is_compared_across_chunks(spark, monkeypatch):
     assert whole == sorted(want, key=repr)
     monkeypatch.setattr(codec, "CHUNK", 7)
     assert sorted(map(tuple, codec.delivery(df).collect()), key=repr) == whole
+
+
+def test_capped_batches_are_planned_at_once(spark, tmp_path, monkeypatch):
+    from basalt.sources import codec
+    from basalt.sources.log import Batch, Range, cut, groups
+
+    assert cut([Range(0, 5, 12, ["f"]), Range(1, 0, 4, ["g"])], 3) == [Batch(0, [Range(0, 5, 8, ["f"])]), Batch(1, [Range(0, 8, 11, ["f"])]), Batch(2, [Range(0, 11, 12, ["f"]), Range(1, 0, 2, ["g"])]), Batch(3, [Range(1, 2, 4, ["g"])])]
+    path, checkpoint, out = (str(tmp_path / x) for x in ("log", "cp", "out"))
+    monkeypatch.setattr(codec, "PIECE_BYTES", 4_000)
+    monkeypatch.setattr(codec, "GROUP_BYTES", 4_000)
+    send(spark, path, 0, 950)
+    stream, seen = read_log(spark, path, checkpoint, 30, batches=12), []
+
+    def sink(df, n):
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        seen.append(n)
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = spark.read.parquet(out)
+    assert len(seen) == 3 and sorted(int(bytes(r.value)) for r in rows.collect()) == list(range(950))
+    sizes = sorted(r["count"] for r in rows.groupBy("batch", "part").count().collect())
+    assert sizes == [20] + [30] * 31
+    import pyarrow.parquet as pq
+
+    file = next((tmp_path / "log").glob("partition=*/*.parquet"))
+    meta = pq.ParquetFile(file).metadata
+    first = pq.read_table(file, columns=["offset"])["offset"].to_pylist()[0]
+    assert groups(meta, first, first + 1) == [0] and groups(meta, 10**9, 10**9 + 1) == []
+    with pytest.raises(ValueError):
+        LogReader({"path": "/x", "batches": "-1"})
+
+
+def test_batches_read_at_once_are_measured_one_by_one(spark, tmp_path):
+    from basalt.streaming.pipelines import start_writer
+
+    at = str(tmp_path)
+    send(spark, f"{at}/log", 0, 95)
+    query = start_writer(read_log(spark, f"{at}/log", f"{at}/cp", 30, batches=8), f"{at}/store", f"{at}/refused", f"{at}/cp", measures=f"{at}/measures", every="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    told = spark.read.parquet(f"{at}/measures")
+    assert sorted((r.part, r.events + r.quarantined, r.stored) for r in told.collect()) == [(0, 30, True), (1, 30, True), (2, 30, True), (3, 5, True)]
+    assert [(r.label, r["value"]) for r in metrics.writer_counters(told).collect()] == [("stored", 4)] and told.select("batch").distinct().count() == 1
